@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe
+from weft.llm import bpe, chunks, covertree, decontaminate, html, neardup, quality, secrets
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_host_suffixes": html.op4_host_suffixes,
+    "op5_chunk_dedup": chunks.op5_chunk_dedup,
+    "op6_cover_tree": covertree.op6_cover_tree,
+    "op7_quality_votes": quality.op7_quality_votes,
+    "op8_prob_minhash": neardup.op8_prob_minhash,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+    "op10_secret_links": secrets.op10_secret_links,
 }
 
 #: None of the ten is within reach of SQL; tests/llm holds each against a brute-force version.
