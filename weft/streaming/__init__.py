@@ -1 +1 @@
-
+"""No operator of this library works on streams: the workloads that it covers have no windows, watermarks or state."""
