@@ -191,12 +191,13 @@ def _verify(pairs: DataFrame, sigs: DataFrame, shingles: DataFrame, threshold: f
     return map_batches(both, similar, f"a {kind}, b {kind}")
 
 
-def _block_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs, in large buckets, of members that are still in different classes.
+def _block_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Links, in large buckets, that join members which are still in different classes.
 
     A bucket's members are split into those in the class of its least member and the others; both sides go in blocks,
     and each pair of blocks, except two of the first side, is one group. A bucket with one class gives nothing, and one
-    with few others costs little more than its size.
+    with few others costs little more than its size. Inside a group likely pairs are verified, the likeliest first,
+    unless links found before have joined their classes: a group gives at most a link for each of its classes.
     """
     kind = buckets.schema["id"].dataType.simpleString()
     named = buckets.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
@@ -205,7 +206,7 @@ def _block_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame) -> Data
     mixed = mixed.where("lo <> hi").select("key", F.col("x.label").alias("main"))
     rows = named.join(mixed, "key").withColumn("other", F.col("label") != F.col("main"))
     sizes = rows.groupBy("key").agg(F.sum(F.col("other").cast("long")).alias("n_other"), F.sum((~F.col("other")).cast("long")).alias("n_main"))
-    rows = rows.join(sizes, "key").join(sigs.select("id", "sig"), "id")
+    rows = rows.join(sizes, "key").join(sigs.select("id", "sig"), "id").join(shingles, "id")
     rows = rows.withColumn("b_other", F.ceil(F.col("n_other") / BLOCK).cast("int")).withColumn("b_main", F.ceil(F.col("n_main") / BLOCK).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("b_other")).otherwise(F.col("b_main"))).cast("int"))
     # others have negative block numbers; a group is (i, j): j one of others, i either
@@ -214,7 +215,7 @@ def _block_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame) -> Data
           transform(sequence(0, b_main - 1), m -> struct(m as i, blk as j)),
           transform(sequence(0, b_other - 1), o -> struct(-1 - least(o, blk) as i, greatest(o, blk) as j)))
         else transform(sequence(0, b_other - 1), o -> struct(blk as i, o as j)) end"""))
-    rows = rows.select("key", "id", "label", "other", "sig", F.explode("meets").alias("m")).select("key", "m.i", "m.j", "id", "label", "other", "sig")
+    rows = rows.select("key", "id", "label", "other", "sig", "el", "wt", F.explode("meets").alias("m")).select("key", "m.i", "m.j", "id", "label", "other", "sig", "el", "wt")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
@@ -223,18 +224,32 @@ def _block_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame) -> Data
         across = pdf["i"].iloc[0] >= 0
         left = np.flatnonzero(side)
         right = np.flatnonzero(~side) if across else left
+        el = [x.view(np.uint64) for x in pdf["el"]]
+        wt = pdf["wt"].to_numpy()
+        up = {x: x for x in label.tolist()}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         a, b = [], []
         for r in left:
             share = (sig[right] == sig[r]).mean(axis=1)
-            ok = right[(share >= LIKELY) & (label[right] != label[r])]
+            ok = np.flatnonzero((share >= LIKELY) & (label[right] != label[r]))
             if not across:
-                ok = ok[ids[ok] > ids[r]]
-            a.append(np.minimum(ids[ok], ids[r]))
-            b.append(np.maximum(ids[ok], ids[r]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
+                ok = ok[ids[right[ok]] > ids[r]]
+            for c in right[ok[np.argsort(-share[ok], kind="stable")]]:
+                x, y = root(label[r]), root(label[c])
+                if x != y and max(probability_jaccard(el[r], wt[r], el[c], wt[c])) >= threshold:
+                    up[max(x, y)] = min(x, y)
+                    a.append(ids[r])
+                    b.append(ids[c])
+        return pd.DataFrame({"a": np.array(a, ids.dtype), "b": np.array(b, ids.dtype)})
 
     ship()
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -270,7 +285,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sigs = materialize(first.join(involved, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]))
     edges = materialize(_verify(pairs, sigs, shingles, threshold))
     labels = connected_components(edges)
-    more = materialize(_verify(_block_pairs(large.select("key", "id"), labels, sigs), sigs, shingles, threshold))
+    more = materialize(_block_links(large.select("key", "id"), labels, sigs, shingles, threshold))
     if more.limit(1).count():
         labels = connected_components(edges.union(more))
 
