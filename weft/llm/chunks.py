@@ -106,7 +106,7 @@ def repeated_stretches(
     again = chunk.join(firsts, ["d1", "d2"]).where(place != F.col("first")).select("id", "n", "s", "e")
     per_row = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "s", "e"))).alias("c"))
     per_row = per_row.select(F.col("id").alias("i"), F.expr("transform(c, x -> x.s)").alias("s"), F.expr("transform(c, x -> x.e)").alias("e"))
-    rows = table.select("id", F.size("ends").cast("long").alias("n_chunks"), F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = table.select("id", F.size("ends").cast("long").alias("n_chunks"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
     joined = rows.join(per_row, F.col("id").eqNullSafe(F.col("i")), "left").select("id", "n_chunks", "n_bytes", "s", "e")
     kind = docs.schema[id_col].dataType.simpleString()
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
