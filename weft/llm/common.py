@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.session import ship
+
 #: Rows of an Arrow batch; texts may be long.
 BATCH_ROWS = 512
 
 
-def ship() -> None:
-    """Lets functions of this package travel by value, so that executors needn't have the package installed."""
-    for name, module in list(sys.modules.items()):
-        if name == "weft" or name.startswith("weft."):
-            cloudpickle.register_pickle_by_value(module)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(fn, schema) with batches of at most BATCH_ROWS rows."""
     ship()
@@ -75,8 +68,9 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text.
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, hashes, counts): where the words of all texts are in `data`, their 64-bit hashes, and the
+    number of words of each text.
 
     A word is a longest run of bytes that are neither a space nor 0x09 to 0x0D, with A-Z in lower case.
     """
@@ -96,7 +90,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     upto = np.searchsorted(starts, bounds)
-    return hashes, np.diff(np.concatenate([[0], upto]))
+    return joined, starts, ends, hashes, np.diff(np.concatenate([[0], upto]))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the number of words of each text; see word_spans."""
+    return word_spans(texts)[3:]
 
 
 def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
