@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, chunks, covertree, decontaminate, html, neardup, quality, secrets
+from weft.llm import bpe, chunks, covertree, decontaminate, html, lm, neardup, quality, quotes, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_quote_links": quotes.op2_quote_links,
+    "op3_attention_scores": lm.op3_attention_scores,
     "op4_host_suffixes": html.op4_host_suffixes,
     "op5_chunk_dedup": chunks.op5_chunk_dedup,
     "op6_cover_tree": covertree.op6_cover_tree,
