@@ -48,8 +48,8 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOUNDS = f"""
     keys AS (SELECT CAST(l_orderkey AS VARCHAR) AS k, l_linenumber, l_partkey, l_suppkey, l_orderkey FROM lineitem),
-    placed AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS at, count(*) OVER () AS n FROM keys),
-    bounds AS (SELECT i, k FROM placed, range(1, {PARTS}) AS r(i) WHERE at = CAST(floor(i / {PARTS}.0 * n) AS BIGINT)),
+    placed AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM keys),
+    bounds AS (SELECT i, k FROM placed, range(1, {PARTS}) AS r(i) WHERE place = CAST(floor(i / {PARTS}.0 * n) AS BIGINT)),
     listed AS (SELECT list(k ORDER BY i) AS bs FROM bounds),
     bucketed AS (SELECT keys.*, CAST(len(list_filter(bs, lambda x: x < k)) AS BIGINT) AS bucket FROM keys, listed)
 """
@@ -320,7 +320,7 @@ def collective_halves(spark, sf_dir):
     return collectives.traffic(collectives.halves(_messages(spark, sf_dir), 1000, "l_partkey"), F.col("size"))
 
 
-@query(f"""WITH w AS (SELECT user_id % {MEMBERS} AS worker, sum(length(props)) / 1048576.0 AS mib, (max(epoch_ms(ts)) - min(epoch_ms(ts))) / 1000.0 AS seconds FROM events GROUP BY ALL)
+@query(f"""WITH w AS (SELECT user_id % {MEMBERS} AS worker, sum(length(props)) / 1048576.0 AS mib, (max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000))) / 1000.0 AS seconds FROM events GROUP BY ALL)
     SELECT worker, round(mib, 9) AS mib, round(CAST(seconds AS DOUBLE), 3) AS seconds, round(mib / seconds * 1e6, 6) AS micro_mib_per_s FROM w""")
 def collective_throughput(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % MEMBERS).alias("sender"), F.length("props").alias("size"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
@@ -332,7 +332,7 @@ def collective_throughput(spark, sf_dir):
 
 PHASE = "list_extract(['compute', 'alltoall', 'reduce', 'broadcast', 'process'], CAST(event_id % 5 AS INTEGER) + 1)"
 DURATIONS = f"""d AS (SELECT user_id AS worker, CAST(event_id AS INTEGER) AS iter, {PHASE} AS phase,
-    epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS ms FROM events)"""
+    (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY event_id) AS ms FROM events)"""
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,17 +360,17 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.parse_trace(rows.select("worker", F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in marks]).alias("timestamps")))
 
 
-@query("SELECT max(epoch_ms(ts)) - min(epoch_ms(ts)) AS ms FROM events")
+@query("SELECT max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS ms FROM events")
 def trace_makespan(spark, sf_dir):
     return trace.makespan(_ends(spark, sf_dir))
 
 
-@query("SELECT user_id AS worker, 0 AS trial, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS ms FROM events GROUP BY user_id")
+@query("SELECT user_id AS worker, 0 AS trial, max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS ms FROM events GROUP BY user_id")
 def trace_trial_times(spark, sf_dir):
     return trace.trial_times(_ends(spark, sf_dir))
 
 
-@query("SELECT user_id AS worker, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS ms FROM events GROUP BY user_id")
+@query("SELECT user_id AS worker, max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS ms FROM events GROUP BY user_id")
 def trace_load_times(spark, sf_dir):
     return trace.load_times(_ends(spark, sf_dir))
 
