@@ -37,6 +37,16 @@ def held_out(id_col: str, parts: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == 2, F.lit(False))
 
 
+def least_hashes(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The rows of df whose hash of the columns is among the n least (repeated rows share one and stay together).
+
+    Only hashes are ranked, so that no task gathers whole rows of all the others.
+    """
+    h = F.xxhash64(*columns)
+    top = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"]
+    return df.where(h <= top) if top is not None else df.limit(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import map_batches, read, ship
+from weft.llm.common import least_hashes, map_batches, read, ship
 from weft.operators.components import connected_components
 from weft.session import materialize
 
@@ -263,7 +263,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pivots: dict[int, np.ndarray] = {}
     blocks: dict[int, int] = {}
     for d, n in sorted((r["d"], r["n"]) for r in folded.groupBy("d").count().withColumnRenamed("count", "n").collect()):
-        sample = folded.where(F.col("d") == d).orderBy(F.xxhash64("k")).select("u").limit(SAMPLE).collect()
+        sample = least_hashes(folded.where(F.col("d") == d), SAMPLE, "k").select("k", "u").collect()
+        sample.sort(key=lambda r: bytes(r["k"]))
         points = np.stack([np.frombuffer(r["u"]) for r in sample])
         blocks[d] = -(-n // BLOCK)
         pivots[d] = spread_pivots(points, min(PIVOTS, max(1, blocks[d])))
