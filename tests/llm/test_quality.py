@@ -64,6 +64,9 @@ def test_odd_rows(spark):
     rows = score_quality(docs, fit_quality(docs, table)).collect()
     assert len(rows) == docs.count() and all(r["score"] is not None for r in rows)
     assert keep_good(docs, table).columns == docs.columns
+    clash = docs.withColumnRenamed("lang", "Score").withColumnRenamed("source", "predicted")
+    assert keep_good(clash, table).columns == clash.columns and keep_good(clash, table).count() == keep_good(docs, table).count()
+    assert score_quality(clash, None).columns == ["doc_id", "text", "n_chars", "score", "predicted"]
     nothing = table.where("false")
     assert {r["predicted"] for r in score_quality(docs, fit_quality(docs, nothing)).collect()} == {0}
     assert score_quality(docs_frame(spark, []), None).count() == 0

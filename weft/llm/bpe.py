@@ -182,12 +182,11 @@ def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", ke
 
     with_ids adds `ids` (array of int), with_text adds `decoded`. A null text counts as empty (no ids, digests of the
     empty string); rows are handled one by one, so repeated rows give repeated results, an empty table an empty one,
-    and a text of any length is encoded whole. Columns other than `keep` and the text are not read; a kept column may
-    not carry the name of a result. The vocabulary (a few MB, fixed by its file) is broadcast once.
+    and a text of any length is encoded whole. Columns other than `keep` and the text are not read; a kept column
+    of a result's name gives way to the result. The vocabulary (a few MB, fixed by its file) is broadcast once.
     """
-    clash = {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"} & set(keep)
-    if clash:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
+    results = {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}
+    keep = tuple(c for c in keep if c.lower() not in results)
     spark = docs.sparkSession
     # a worker process builds its codec once and keeps it, caches included, beside the broadcast value
     shared = spark.sparkContext.broadcast({"vocabulary": vocabulary})

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import held_out, map_batches, mix, read, text_bytes, word_hashes
 
@@ -178,37 +179,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit(counts, found["y"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 from 0.7 on).
+def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 from 0.7 on), under the given names.
 
     The whole text is read. A null or empty text has no features and gets the mean label of the sample, as every text
-    does without a model (then 0.5). docs may not already have columns of these names.
+    does without a model (then 0.5). Columns of docs that already have these names, in any case of letters, are replaced.
     """
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("docs already has a column score or predicted")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    taken = {n.lower() for n in names}
+    keep = [c for c in docs.columns if c.lower() not in taken]
+    place = keep.index(text_col)
 
     def run(batches):
         fitted = shared.value
         for batch in batches:
             texts = text_bytes(batch.column(place))
             score = vote(fitted, shape_counts(texts)) if fitted else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"]
-            )
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_batches(docs, run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score_quality predicts as 1, with their columns as they are."""
-    model = fit_quality(docs, labels)
-    return score_quality(docs, model).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = ("__weft_score", "__weft_predicted")
+    scored = score_quality(docs, fit_quality(docs, labels), names=names)
+    return scored.where(F.col(names[1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
