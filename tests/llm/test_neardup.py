@@ -65,6 +65,25 @@ def test_words_and_probability_jaccard():
         assert abs(probability_jaccard(*pack(x), *pack(y))[0] - brute_pj(x, y)) < 1e-9
 
 
+def test_bound_keeps_all_that_are_similar():
+    rng = random.Random(5)
+    base = {k: rng.randint(1, 3) for k in range(60)}
+    sets = []
+    for _ in range(60):
+        x = dict(base)
+        for k in rng.sample(sorted(x), rng.randint(0, 20)):
+            x.pop(k)
+        for k in rng.sample(range(100, 200), rng.randint(0, 12)):
+            x[k] = rng.randint(1, 4)
+        sets.append((np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])))
+    group = neardup.ShingleGroup([a for a, _ in sets], [w for _, w in sets])
+    others = np.arange(1, 60)
+    for threshold in (0.6, 0.8):
+        got = group.may_reach(0, others, threshold)
+        real = np.array([max(probability_jaccard(*sets[0], *sets[i])) >= threshold for i in others])
+        assert not (real & ~got).any() and got.sum() < len(others)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(4)
     base = prose(rng, 400).split()

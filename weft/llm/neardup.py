@@ -106,6 +106,38 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / (below / p + above / q)).sum()), plain
 
 
+class ShingleGroup:
+    """Weighted shingles of a group of texts, laid out to hold one against many at once."""
+
+    def __init__(self, elements: list[np.ndarray], weights: list[np.ndarray]):
+        self.n = np.array([len(x) for x in elements], np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        flat, self.place = np.unique(np.concatenate(elements), return_inverse=True)
+        self.share = np.concatenate([w / w.sum() for w in weights])
+        self.dense = np.zeros(len(flat))
+
+    def may_reach(self, r: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the others may be similar enough to text r: all that are, and few that aren't.
+
+        With shares p and q, a common shingle adds at most min(p, q), and at most max(p, q) over the sum of all
+        maxima, to the probability Jaccard similarity.
+        """
+        if not len(others):
+            return np.zeros(0, bool)
+        own = slice(self.begin[r], self.begin[r] + self.n[r])
+        self.dense[self.place[own]] = self.share[own]
+        n = self.n[others]
+        starts = np.cumsum(n) - n
+        at = np.repeat(self.begin[others] - starts, n) + np.arange(n.sum())
+        p, q = self.dense[self.place[at]], self.share[at]
+        self.dense[self.place[own]] = 0
+        common = np.add.reduceat((p > 0).astype(np.int64), starts)
+        least, most = np.minimum(p, q), np.maximum(p, q)
+        whole = 2 - np.add.reduceat(least, starts)
+        bound = np.add.reduceat(np.where(p > 0, np.minimum(least, most / np.repeat(whole, n)), 0.0), starts)
+        return (common / (self.n[r] + n - common) >= threshold - 1e-9) | (bound >= threshold - 1e-9)
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, whole, keys, sig) of the rows that have an id and a word."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -226,6 +258,7 @@ def _block_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, shingle
         right = np.flatnonzero(~side) if across else left
         el = [x.view(np.uint64) for x in pdf["el"]]
         wt = pdf["wt"].to_numpy()
+        group = ShingleGroup(el, wt)
         up = {x: x for x in label.tolist()}
 
         def root(x):
@@ -240,7 +273,8 @@ def _block_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, shingle
             ok = np.flatnonzero((share >= LIKELY) & (label[right] != label[r]))
             if not across:
                 ok = ok[ids[right[ok]] > ids[r]]
-            for c in right[ok[np.argsort(-share[ok], kind="stable")]]:
+            ok = right[ok[np.argsort(-share[ok], kind="stable")]]
+            for c in ok[group.may_reach(r, ok, threshold)]:
                 x, y = root(label[r]), root(label[c])
                 if x != y and max(probability_jaccard(el[r], wt[r], el[c], wt[c])) >= threshold:
                     up[max(x, y)] = min(x, y)
