@@ -174,28 +174,27 @@ def span_text(spans: str) -> Column:
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of find_secrets replaced by `mark`; all columns and rows stay, null texts stay null."""
-    names = docs.columns
+    """docs with every span of find_secrets replaced by `mark` (overlapping ones by one); all columns and rows stay.
+
+    Null texts stay null. Only rows with spans meet the texts again, and a text is read once for its spans and once to
+    be put together anew.
+    """
     parts = materialize(scan_parts(docs, id_col, text_col).where("size(base) + size(weak) > 0"))
-    linked = link_parts(parts, reach).select(F.col("id").alias("__i"), F.col("h").alias("__g"), F.col("linked").alias("__linked"))
-    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    out = hashed.join(linked, F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left")
-    out = out.withColumn("__t", F.col(f"`{text_col}`"))
+    linked = link_parts(parts, reach).select(F.col("id").alias("i"), F.col("h").alias("g"), "linked")
+    spans = parts.dropDuplicates(["id", "h"]).join(linked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    none = F.array().cast("array<struct<s:int,o:int,e:int>>")
+    spans = spans.select(F.col("id").alias("__i"), F.col("h").alias("__g"), F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("__spans"))
+    spans = materialize(spans.where("size(__spans) > 0"))
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    out = hashed.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left")
     quoted = mark.replace("'", "''")
-    out = out.withColumn("__t", F.expr(f"""
-        case when __linked is null then __t else
-          aggregate(__linked, struct(0 as at, cast(array() as array<string>) as out),
+    masked = F.expr(f"""
+        case when __spans is null then `{text_col}` else
+          aggregate(__spans, struct(0 as at, cast(array() as array<string>) as out),
             (a, x) -> struct(greatest(a.at, x.e) as at,
-              case when x.s < a.at then a.out else concat(a.out, array(substring(__t, a.at + 1, x.s - a.at), '{quoted}')) end as out),
-            a -> concat(array_join(a.out, ''), substring(__t, a.at + 1))) end"""))
-    for p in BASE:
-        out = out.withColumn("__m", _matched(p, F.col("__t")))
-        out = out.withColumn("__g2", F.when(F.size("__m") > 0, F.split(F.col("__t"), p.pattern)))
-        out = out.withColumn("__t", F.expr(f"""
-            case when __g2 is null then __t else concat(
-              array_join(transform(__m, (x, i) -> concat(__g2[i], case when length(x.v) >= {p.least} then '{quoted}' else x.m end)), ''),
-              element_at(__g2, -1)) end"""))
-    return out.select(*[F.col("__t").alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+              case when x.s < a.at then a.out else concat(a.out, array(substring(`{text_col}`, a.at + 1, x.s - a.at), '{quoted}')) end as out),
+            a -> concat(array_join(a.out, ''), substring(`{text_col}`, a.at + 1))) end""")
+    return out.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
