@@ -179,7 +179,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null. Only rows with spans meet the texts again, and a text is read once for its spans and once to
     be put together anew.
     """
-    parts = materialize(scan_parts(docs, id_col, text_col).where("size(base) + size(weak) > 0"))
+    # written before it is filtered: a filter on the spans would move below them and find them several times over
+    parts = materialize(scan_parts(docs, id_col, text_col)).where("size(base) + size(weak) > 0")
     linked = link_parts(parts, reach).select(F.col("id").alias("i"), F.col("h").alias("g"), "linked")
     spans = parts.dropDuplicates(["id", "h"]).join(linked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
