@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import collectives, gridsearch, kmeans, trace
+from weft.plans import catalogue
 from weft.sources import tables
 
 
@@ -100,3 +101,25 @@ def test_grid_search(spark):
     assert gridsearch.ngrams("A big, big Dog!", 2) == ["big", "big", "dog", "big big", "big dog"]
     with pytest.raises(ValueError):
         gridsearch.grid_search(rows, grid, mib=1e6)
+
+
+def test_one_run_serves_all_numbers_of_epochs():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 50, 8)), None) for _ in range(60)]
+    rows = [(at, np.full(len(at), 0.3)) for at, _ in rows]
+    y = rng.choice([-1, 1], 60)
+    for penalty in gridsearch.GRID["penalty"]:
+        path = gridsearch.train_sgd_path(rows, y, 1e-3, [1, 3, 40], penalty)
+        for n, (w, b) in path.items():
+            alone, bias = gridsearch.train_sgd(rows, y, 1e-3, n, penalty)
+            assert (w == alone).all() and b == bias
+
+
+def test_registered_searches_cover_the_whole_grid(spark, monkeypatch):
+    # as small as a table gets with both classes in each fold; the grid is what counts here
+    docs = spark.createDataFrame([(i, "good fine day" if i % 2 else "bad poor night") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(catalogue, "table", lambda spark, sf_dir, name: {"documents": docs, "labels": labels}[name])
+    scores = catalogue.grid_search_cv(spark, "")
+    assert {(r["cfg_id"], r["fold"]) for r in scores.collect()} == {(c, f) for c in range(192) for f in range(5)}
+    assert catalogue.grid_search_slices(spark, "").select("cfg_id").distinct().count() == 192

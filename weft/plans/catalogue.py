@@ -409,24 +409,19 @@ def fold_assign(spark, sf_dir):
     return gridsearch.assign_folds(_labelled(spark, sf_dir).select("id", "label"), "id", "label")
 
 
-#: Part of the whole grid, so that the query ends soon.
-SMALL_GRID = {"norm": ["l2"], "ngram_max": [1], "alpha": [1e-3, 1e-4], "max_iter": [10], "penalty": ["l2", "elasticnet"]}
-
-
 @query()
 def grid_search_cv(spark, sf_dir):
-    return gridsearch.grid_search(_labelled(spark, sf_dir), SMALL_GRID, mib=1.0)
+    return gridsearch.grid_search(_labelled(spark, sf_dir))
 
 
 @query()
 def grid_best(spark, sf_dir):
-    return gridsearch.best_configuration(grid_search_cv(spark, sf_dir), gridsearch.enumerate_grid(spark, SMALL_GRID))
+    return gridsearch.best_configuration(materialize(grid_search_cv(spark, sf_dir)), gridsearch.enumerate_grid(spark))
 
 
 @query()
 def grid_search_slices(spark, sf_dir):
-    small = SMALL_GRID | {"alpha": [1e-3], "penalty": ["l2"]}
-    return gridsearch.sliced_search(_labelled(spark, sf_dir), 8, small)
+    return gridsearch.sliced_search(_labelled(spark, sf_dir), 8)
 
 
 # byte ranges
