@@ -120,3 +120,18 @@ def test_rows_without_ids_repeats_and_empty_tables(spark):
     assert sorted(str(r["doc_id"]) for r in out) == ["0", "0", "1", "None"]
     assert near_duplicate_classes(docs_frame(spark, [])).count() == 0
     assert drop_near_duplicates(docs_frame(spark, [])).count() == 0
+
+
+def test_texts_that_differ_in_how_often_a_line_repeats(spark):
+    rng = random.Random(8)
+    docs, n = [], 12
+    for i in range(n):
+        body = [f"w{i}x{rng.randrange(10**9)}" for _ in range(600)]
+        line = " ".join(body[:10])
+        docs += [(10 * i, " ".join(body)), (10 * i + 1, " ".join(body) + (" " + line) * 60), (10 * i + 2, " ".join(body) + (" " + line) * 200)]
+    # the weights alone are far from alike
+    (a, x, _), (b, y, _) = (weighted_shingles([docs[j][1].encode()], 5) for j in (0, 1))
+    weighted, plain = probability_jaccard(a, x, b, y)
+    assert weighted < 0.66 and plain > 0.95
+    found = {r["id"]: r["class"] for r in near_duplicate_classes(docs_frame(spark, [], docs)).collect()}
+    assert all(found[10 * i + j] == 10 * i for i in range(n) for j in range(3))

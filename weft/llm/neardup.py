@@ -88,6 +88,19 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def whole_signatures(stored: list[bytes]) -> np.ndarray:
+    """(signature of the weights, signature of the set) in a row for each text; one that has no shingle twice stores one
+    for both."""
+    parts = [np.frombuffer(x, "<u2") for x in stored]
+    return np.stack([x if len(x) == 2 * REGISTERS else np.concatenate([x, x]) for x in parts])
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of registers in which whole signatures agree, of weights or of sets, whichever is more."""
+    same = a == b
+    return np.maximum(same[:, :REGISTERS].mean(axis=1), same[:, REGISTERS:].mean(axis=1))
+
+
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(probability Jaccard, set Jaccard) of elements a with weights x and elements b with weights y, both sorted."""
     common, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -139,7 +152,11 @@ class ShingleGroup:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, whole, keys, sig) of the rows that have an id and a word."""
+    """(id, whole, keys, sig) of the rows that have an id and a word.
+
+    Keys and signatures are those of the weights and those of the set, whose probability Jaccard similarity is the plain
+    one. The two are the same where no shingle occurs twice, and stored once there.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where("id is not null and t is not null")
@@ -153,12 +170,20 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
             short = (signature & np.uint64(0xFFFF)).astype("<u2")
             some = np.bincount(doc, minlength=len(texts)) > 0
             at = np.flatnonzero(some)
+            all_keys, sigs = dict(zip(at.tolist(), keys[at])), {i: short[i].tobytes() for i in at.tolist()}
+            twice = np.unique(doc[weights > 1])
+            if len(twice):
+                here = np.isin(doc, twice)
+                plain = prob_minhash(elements[here], np.ones(int(here.sum())), np.searchsorted(twice, doc[here]), len(twice))
+                for i, k, x in zip(twice.tolist(), band_keys(plain).view(np.int64), (plain & np.uint64(0xFFFF)).astype("<u2")):
+                    all_keys[i] = np.unique(np.concatenate([all_keys[i], k]))
+                    sigs[i] += x.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at)),
                     pa.array([hashlib.md5(b" ".join(texts[i].lower().split())).digest() for i in at], pa.binary()),
-                    lists(keys[at].ravel(), np.full(len(at), BANDS), pa.int64()),
-                    pa.array([short[i].tobytes() for i in at], pa.binary()),
+                    lists(np.concatenate([np.zeros(0, np.int64), *all_keys.values()]), np.array([len(x) for x in all_keys.values()], np.int64), pa.int64()),
+                    pa.array(list(sigs.values()), pa.binary()),
                 ],
                 names=["id", "whole", "keys", "sig"],
             )
@@ -197,9 +222,8 @@ def _verify(pairs: DataFrame, sigs: DataFrame, shingles: DataFrame, threshold: f
 
     def likely(batches):
         for batch in batches:
-            left, right = ([np.frombuffer(x, "<u2") for x in batch.column(i).to_pylist()] for i in (2, 3))
-            if left:
-                share = (np.stack(left) == np.stack(right)).mean(axis=1)
+            if batch.num_rows:
+                share = agreement(*(whole_signatures(batch.column(i).to_pylist()) for i in (2, 3)))
                 yield batch.filter(pa.array(share >= LIKELY)).select(["a", "b"])
 
     right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
@@ -250,7 +274,7 @@ def _block_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, shingle
     rows = rows.select("key", "id", "label", "other", "sig", "el", "wt", F.explode("meets").alias("m")).select("key", "m.i", "m.j", "id", "label", "other", "sig", "el", "wt")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
+        sig = whole_signatures(list(pdf["sig"]))
         label, ids = pdf["label"].to_numpy(), pdf["id"].to_numpy()
         side = pdf["other"].to_numpy(bool)
         across = pdf["i"].iloc[0] >= 0
@@ -269,7 +293,7 @@ def _block_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, shingle
 
         a, b = [], []
         for r in left:
-            share = (sig[right] == sig[r]).mean(axis=1)
+            share = agreement(sig[right], sig[r])
             ok = np.flatnonzero((share >= LIKELY) & (label[right] != label[r]))
             if not across:
                 ok = ok[ids[right[ok]] > ids[r]]
@@ -295,6 +319,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shingle is one shingle. Texts that are null or have no words are never linked, and neither are rows without an id
     (class null, kept). Rows with one id count as one. `kept` marks the row whose id is the class.
 
+    Candidates come from the bands of two signatures, of the weights and of the set, so that either similarity is found.
     Copies are folded first. Buckets of bands up to SMALL_BUCKET members give all pairs; larger ones compare each
     member with three leaders, and then only members that are still in different classes, in blocks.
     """
