@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tests.llm.helpers import ODD, docs_frame, prose
-from weft.llm.quality import fit, fit_quality, keep_good, score_quality, shape_counts, vote, weigh
+from weft.llm.quality import KINDS, PAIRS, WORDS, _kind_table, fit, fit_quality, keep_good, latent_axes, score_quality, shape_counts, vote, weigh
 
 
 def sample(n=400, seed=1):
@@ -45,7 +45,7 @@ def test_held_out_labels_are_not_used(spark):
 def test_votes_against_brute_force():
     texts, labels = sample(150, 3)
     counts = shape_counts([t.encode() for t in texts])
-    model = fit(counts[:100], np.array(labels[:100]), dimensions=12)
+    model = fit([counts[:64], counts[64:100]], np.array(labels[:100]), dimensions=12)
     latent = weigh(counts[100:], model["idf"]) @ model["axes"]
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
     for block in (7, 64, 1000):
@@ -54,7 +54,39 @@ def test_votes_against_brute_force():
             cosine = model["vectors"] @ x
             near = np.argsort(-cosine)[:9]
             w = np.exp(8.0 * cosine[near])
-            assert abs((w * model["labels"][near]).sum() / w.sum() - s) < 1e-6
+            assert abs((w * model["labels"][near]).sum() / w.sum() - s) < 1e-4
+
+
+def test_axes_are_the_leading_singular_vectors():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((90, 40)) * 0.8 ** np.arange(40)
+    _, _, exact = np.linalg.svd(x)
+    found = latent_axes([x[:50], x[50:]], 40, 6, rounds=60)
+    assert found.shape == (40, 6) and np.allclose(np.abs(np.sum(found * exact[:6].T, axis=0)), 1, atol=1e-6)
+
+
+def test_counts_of_words_and_shapes_by_hand():
+    texts = [b"Ab ab, c9", b"", b"ab\nab"]
+    x = shape_counts(texts)
+    word = x[:, PAIRS : PAIRS + WORDS]
+    assert word.sum(axis=1).tolist() == [3, 0, 2] and word[2].max() == 2
+    kind = _kind_table()
+    runs = {}
+    for t in texts[:1]:
+        k = [kind[b] for b in t + b"\n"]  # a text ends with a line end
+        k = [a for i, a in enumerate(k) if not i or k[i - 1] != a]
+        for a, b in zip(k, k[1:]):
+            runs[a * KINDS + b] = runs.get(a * KINDS + b, 0) + 1
+    assert {i: int(x[0, i]) for i in np.flatnonzero(x[0, :PAIRS])} == runs
+    assert not x[1].any()
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    texts, labels = sample(80)
+    table = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    once = fit_quality(docs_frame(spark, texts), table)
+    often = fit_quality(docs_frame(spark, texts, [(3, texts[3])] * 40), table)
+    assert np.array_equal(once["vectors"], often["vectors"]) and len(once["labels"]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(80))
 
 
 def test_odd_rows(spark):
