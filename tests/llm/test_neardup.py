@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, docs_frame, prose
-from weft.llm import neardup
-from weft.llm.common import word_hashes
+from weft.llm import common, neardup
+from weft.llm.common import maybe_in, without_keys, word_hashes
 from weft.llm.neardup import drop_near_duplicates, near_duplicate_classes, prob_minhash, probability_jaccard, weighted_shingles
 
 
@@ -117,7 +118,7 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
 def test_rows_without_ids_repeats_and_empty_tables(spark):
     docs = docs_frame(spark, ["one two three four five six"], [(None, "one two three four five six"), (0, "one two three four five six"), (1, None), (2, "one two three four five six")])
     out = drop_near_duplicates(docs).collect()
-    assert sorted(str(r["doc_id"]) for r in out) == ["0", "0", "1", "None"]
+    assert sorted(str(r["doc_id"]) for r in out) == ["0", "1"]
     assert near_duplicate_classes(docs_frame(spark, [])).count() == 0
     assert drop_near_duplicates(docs_frame(spark, [])).count() == 0
 
@@ -135,3 +136,36 @@ def test_texts_that_differ_in_how_often_a_line_repeats(spark):
     assert weighted < 0.66 and plain > 0.95
     found = {r["id"]: r["class"] for r in near_duplicate_classes(docs_frame(spark, [], docs)).collect()}
     assert all(found[10 * i + j] == 10 * i for i in range(n) for j in range(3))
+
+
+def test_filter_drops_just_the_keys(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) as text").union(spark.sql("select cast(null as bigint), 'none'"))
+    keys = spark.range(0, 5000, 7)
+    flagged = maybe_in(rows, keys, "id", "f").collect()
+    assert all(r["f"] for r in flagged if r["id"] is not None and r["id"] % 7 == 0)
+    assert sum(r["f"] for r in flagged) < 730 and not [r for r in flagged if r["id"] is None and r["f"]]
+    expected = sorted([i for i in range(5000) if i % 7] + [-1])
+    assert sorted(-1 if r["id"] is None else r["id"] for r in without_keys(rows, keys, "id").collect()) == expected
+    clash = rows.withColumnsRenamed({"text": "weft_key"}).withColumn("weft_maybe", F.lit(1))
+    assert without_keys(clash, keys, "id").columns == clash.columns and without_keys(clash, keys, "id").count() == len(expected)
+
+
+def test_filters_that_let_others_through_and_too_many_keys(spark, monkeypatch):
+    rows, keys = spark.range(3000), spark.range(0, 3000, 3)
+    expected = [i for i in range(3000) if i % 3]
+    # so few bits that most rows pass: the second look decides
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 10)
+    assert sorted(r["id"] for r in without_keys(rows, keys, "id").collect()) == expected
+    monkeypatch.setattr(common, "FEW", 10)
+    assert sorted(r["id"] for r in without_keys(rows, keys, "id").collect()) == expected
+    monkeypatch.setattr(common, "FILTER_KEYS", 5)
+    assert sorted(r["id"] for r in without_keys(rows, keys, "id").collect()) == expected
+
+
+def test_copies_that_share_an_id_or_have_none(spark):
+    words = "one two three four five six"
+    docs = docs_frame(spark, [words, "seven eight nine ten eleven"], [(None, words), (0, words.upper()), (None, "a b c d e f"), (None, "A b c  d e f"), (1, "twelve"), (None, ""), (None, None), (2, words), (3, None)])
+    out = drop_near_duplicates(docs.withColumn("weft_odd", F.lit(1)))
+    found = sorted((str(r["doc_id"]), " ".join((r["text"] or "").lower().split())) for r in out.collect())
+    assert found == sorted([("0", words), ("1", "seven eight nine ten eleven"), ("1", "twelve"), ("3", ""), ("None", "a b c d e f"), ("None", ""), ("None", "")])
+    assert out.columns == [*docs.columns, "weft_odd"]

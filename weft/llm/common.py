@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.session import ship
+from weft.session import materialize, ship
 
 #: Rows of an Arrow batch; texts may be long.
 BATCH_ROWS = 512
@@ -47,6 +47,67 @@ def least_hashes(df: DataFrame, n: int, *columns: str) -> DataFrame:
     return df.where(h <= top) if top is not None else df.limit(0)
 
 
+#: Bits of a filter of keys: 8 MB in rows of 4 KB, whatever the number of keys.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+#: Keys that a filter takes; with more of them it would let too much through.
+FILTER_KEYS = FILTER_BITS // 4
+#: Rows that may be sent to all tasks where they are counted first.
+FEW = 1_000_000
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """rows with a flag: false only if the row's value of `column` is surely not among those of `keys`.
+
+    A hash of each key sets a bit of a bitmap of FILTER_BITS bits, which all tasks get; rows aren't shuffled. `column`
+    names the key on both sides. Null is never among the keys.
+    """
+
+    def place(name: str):
+        return F.pmod(F.xxhash64(F.col(f"`{name}`"), F.lit(17)), F.lit(FILTER_BITS))
+
+    bits = keys.where(F.col(f"`{column}`").isNotNull()).select(place(column).alias("p"))
+    bits = bits.groupBy(F.floor(F.col("p") / FILTER_ROW).alias(f"{flag}_row")).agg(F.bitmap_construct_agg(F.col("p") % FILTER_ROW).alias(f"{flag}_bits"))
+    there = rows.withColumn(f"{flag}_place", place(column)).withColumn(f"{flag}_row", F.floor(F.col(f"{flag}_place") / FILTER_ROW))
+    at = f"({flag}_place % {FILTER_ROW})"
+    byte = f"cast(conv(hex(substring({flag}_bits, cast({at} div 8 + 1 as int), 1)), 16, 10) as bigint)"
+    test = F.expr(f"coalesce(`{column}` is not null and getbit({byte}, cast({at} % 8 as int)) = 1, false)")
+    return there.join(F.broadcast(bits), f"{flag}_row", "left").withColumn(flag, test).drop(f"{flag}_row", f"{flag}_place", f"{flag}_bits")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of `column` isn't among those of `keys` (nulls stay); columns as they are.
+
+    Whole rows are not shuffled as long as a filter takes the keys: of the rows that it lets through, only the values of
+    `column` are held against the keys, and the few that it let through wrongly are sent to all tasks. Else both sides
+    are shuffled.
+    """
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    key = spare_name(rows.columns, "key")
+    gone = materialize(keys.select(F.col(f"`{column}`").alias(key)).where(F.col(key).isNotNull()).distinct())
+    n = gone.count()
+    if not n:
+        return rows
+    copied = rows.withColumn(key, F.col(f"`{column}`"))
+    if n <= FILTER_KEYS:
+        flag = spare_name(rows.columns, "maybe")
+        marked = maybe_in(copied, gone, key, flag)
+        wrong = materialize(marked.where(flag).select(key).distinct().join(gone, key, "left_anti"))
+        if wrong.limit(FEW + 1).count() <= FEW:
+            right = spare_name(rows.columns, "right")
+            kept = marked.join(F.broadcast(wrong.withColumn(right, F.lit(True))), key, "left").where(f"not {flag} or {right}")
+            return kept.select(*names)
+    return copied.join(gone, key, "left_anti").select(*names)
+
+
+def spare_name(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of the taken ones clashes with, in any case of letters."""
+    low = {c.lower() for c in taken}
+    out = f"weft_{name}"
+    while any(c.startswith(out) for c in low):
+        out += "_"
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, map_batches, mix, read, shingle_hashes, ship, text_bytes
+from weft.llm.common import FILTER_KEYS, lists, map_batches, maybe_in, mix, read, shingle_hashes, ship, spare_name, text_bytes, without_keys
 from weft.operators.components import connected_components
 from weft.session import materialize
 
@@ -192,10 +193,14 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
 
 
 def _shingle_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, el, wt) of the rows whose id is in `ids`."""
+    """(id, el, wt) of the rows whose id is in `ids`, and of few others. Texts are shuffled only where there are too many
+    ids for a filter."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = rows.where("t is not null").join(ids.hint("shuffle_hash"), "id", "left_semi")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
+    if ids.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
+        rows = maybe_in(rows, ids, "id", "maybe").where("maybe").select("id", "t")
+    else:
+        rows = rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -358,10 +363,30 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class; columns stay as they are. Of rows that share a kept id, all stay."""
+    """docs with one document of each class; columns stay as they are.
+
+    Of rows that share a kept id and have the same words one stays, as of rows without an id that have the same words;
+    the latter go too where a row with an id has their words. Rows without words all stay. Whole texts aren't shuffled
+    to drop rows (see without_keys), except those of rows whose id is null or repeated.
+    """
     classes = materialize(near_duplicate_classes(docs, id_col, text_col))
-    gone = classes.where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = without_keys(docs, classes.where(~F.col("kept")).select(F.col("id").alias(id_col)), id_col)
+    again = materialize(classes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1").select(F.col("id").alias(id_col)))
+    if not again.limit(1).count():
+        return kept
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    odd, words = spare_name(docs.columns, "odd"), spare_name(docs.columns, "words")
+    rows = kept.join(again.where(F.col(id_col).isNotNull()).withColumn(odd, F.lit(True)), id_col, "left").select(*names, F.coalesce(odd, F.col(f"`{id_col}`").isNull()).alias(odd))
+    plain = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.trim(F.regexp_replace(plain, "[\\x09-\\x0D ]+", " "))
+    rows = rows.withColumn(words, F.when(F.length(plain) > 0, F.md5(F.encode(plain, "UTF-8"))))
+    # rows without an id meet the digests of the others
+    some = rows.where(F.col(f"`{id_col}`").isNotNull() & F.col(words).isNotNull()).select(words).distinct()
+    alone = rows.where(odd).where(F.col(words).isNull())
+    named = rows.where(odd).where(F.col(f"`{id_col}`").isNotNull() & F.col(words).isNotNull()).dropDuplicates([id_col, words])
+    nameless = rows.where(odd).where(F.col(f"`{id_col}`").isNull() & F.col(words).isNotNull()).dropDuplicates([words]).join(some, words, "left_anti")
+    parts = [rows.where(~F.col(odd)), alone, named, nameless]
+    return reduce(DataFrame.union, [p.select(*names) for p in parts])
 
 
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
