@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.helpers import ODD, docs_frame, prose
-from weft.llm.chunks import LEAST, MOST, cut_points, gear_hash, gear_table, repeated_stretches
+from weft.llm.chunks import LEAST, LEFT, MOST, RUN, cut_points, gear_hash, gear_table, repeated_stretches, without_repeats
 
 
 def brute_gear(data, table):
@@ -30,19 +30,40 @@ def test_gear_hash_and_cuts():
 
 
 def brute(texts):
+    """Stretches of chunks seen before, with what they share with their first occurrence on both sides."""
     table, seen, out = gear_table(), {}, []
-    for text in texts:
-        raw = (text or "").encode()
-        cuts = cut_points(np.frombuffer(raw, np.uint8), table)
+    raws = [(t or "").encode() for t in texts]
+    cuts = [[0, *cut_points(np.frombuffer(r, np.uint8), table)] for r in raws]
+    for d, raw in enumerate(raws):
+        runs = []
+        for n, (s, e) in enumerate(zip(cuts[d], cuts[d][1:])):
+            f = seen.setdefault(raw[s:e], (d, n))
+            if f == (d, n):
+                continue
+            if runs and runs[-1][1] + 1 == n and runs[-1][2] == f[0] and runs[-1][4] + 1 == f[1]:
+                runs[-1][1], runs[-1][4] = n, f[1]
+            else:
+                runs.append([n, n, f[0], f[1], f[1]])
         spans = []
-        for s, e in zip([0, *cuts], cuts):
-            if raw[s:e] in seen:
-                if spans and spans[-1][1] == s:
-                    spans[-1][1] = e
-                else:
-                    spans.append([s, e])
-            seen.setdefault(raw[s:e], 1)
-        out.append([tuple(x) for x in spans if x[1] - x[0] >= 96])
+        for k, (a, b, fd, fa, fb) in enumerate(runs):
+            s, e = cuts[d][a], cuts[d][b + 1]
+            room = s - cuts[d][fb + 1] if fd == d else len(raw)
+            left = right = 0
+            if not k or runs[k - 1][1] + 1 < a:
+                x, y = raw[max(s - LEFT, 0) : s], raws[fd][max(cuts[fd][fa] - LEFT, 0) : cuts[fd][fa]]
+                while left < min(len(x), len(y)) and x[-1 - left] == y[-1 - left]:
+                    left += 1
+            if k + 1 == len(runs) or b + 1 < runs[k + 1][0]:
+                x, y = raw[e : cuts[d][min(b + 2, len(cuts[d]) - 1)]], raws[fd][cuts[fd][fb + 1] : cuts[fd][min(fb + 2, len(cuts[fd]) - 1)]]
+                while right < min(len(x), len(y)) and x[right] == y[right]:
+                    right += 1
+            left = min(left, room)
+            s, e = s - left, e + min(right, room - left)
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e])
+        out.append([tuple(x) for x in spans if x[1] - x[0] >= RUN])
     return out
 
 
@@ -54,14 +75,48 @@ def test_repeats_against_brute_force(spark):
         w = texts[i].split()
         k = rng.randint(0, len(w))
         texts[i] = " ".join(w[:k] + [passage] + w[k:])
-    texts += [texts[7], texts[7] + " more", *ODD, ODD[4]]
-    rows = {r["id"]: r for r in repeated_stretches(docs_frame(spark, texts)).collect()}
+    texts += [texts[7], texts[7] + " more", *ODD, ODD[4], "ab " * 3000, (passage + " ") * 9]
+    docs = docs_frame(spark, texts)
+    rows = {r["id"]: r for r in repeated_stretches(docs).collect()}
     assert len(rows) == len(texts)
     for i, spans in enumerate(brute(texts)):
-        assert [(x["s"], x["e"]) for x in rows[i]["spans"]] == spans
-        assert rows[i]["n_bytes"] == len((texts[i] or "").encode())
+        assert [(x["s"], x["e"]) for x in rows[i]["spans"]] == spans, i
+        assert rows[i]["n_bytes"] == len((texts[i] or "").encode()) and bool(rows[i]["n_repeated"]) == bool(spans)
     assert all(rows[i]["spans"] for i in range(8, 25, 3))
     assert not any(rows[i]["spans"] for i in range(5))
+    left = {r["doc_id"]: r["text"] for r in without_repeats(docs).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        for x in reversed(rows[i]["spans"]):
+            raw = raw[: x["s"]] + raw[x["e"] :]
+        assert left[i] == (None if t is None else raw.decode())
+
+
+def test_passages_of_51_words_in_other_surroundings(spark):
+    rng = random.Random(11)
+    texts, where = [], []
+    for _ in range(150):
+        passage = prose(rng, 51)
+        for _ in range(2):
+            before = prose(rng, rng.randint(0, 60))
+            texts.append(f"{before} {passage} {prose(rng, rng.randint(0, 60))}")
+            where.append((len(before) + 1, len(before) + 1 + len(passage)))
+    rows = {r["id"]: r["spans"] for r in repeated_stretches(docs_frame(spark, texts)).collect()}
+    for i in range(1, 300, 2):
+        s, e = where[i]
+        assert not rows[i - 1]
+        assert sum(max(0, min(x["e"], e) - max(x["s"], s)) for x in rows[i]) >= 0.95 * (e - s), i
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 80)
+    docs = docs_frame(spark, [passage + " x"], [(2, "short text"), (2, "y " + passage), (3, passage), (3, passage)]).withColumnRenamed("source", "weft_cut")
+    rows = repeated_stretches(docs).collect()
+    assert sorted((r["id"], len(r["spans"])) for r in rows) == [(0, 0), (2, 0), (2, 1), (3, 1), (3, 1)]
+    assert all(x["e"] <= r["n_bytes"] for r in rows for x in r["spans"])
+    out = without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == 5 and "short text" in [r["text"] for r in out.collect()]
 
 
 def test_null_ids_and_empty_table(spark):

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import lists, map_batches, mix, read, text_bytes
+from weft.llm.common import FILTER_KEYS, lists, map_batches, maybe_in, mix, read, spare_name, text_bytes
 from weft.session import materialize
 
 #: Chunk sizes in bytes: no cut before LEAST, a cut by chance about every 2**BITS bytes after it, always one at MOST.
 LEAST, BITS, MOST = 32, 5, 1024
-#: A repeated stretch is removed if its chunks hold so many bytes in a row; less may be chance.
-RUN = 96
+#: A repeated stretch is removed if it holds so many bytes in a row, about 25 words; less may be chance.
+RUN = 160
+#: Bytes before a stretch that are held against those before its first occurrence: cuts before a stretch needn't agree.
+LEFT = 384
 
 
 def gear_table() -> np.ndarray:
@@ -59,17 +61,22 @@ def cut_points(data: np.ndarray, table: np.ndarray, least: int = LEAST, bits: in
     return out
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, least: int, bits: int, most: int) -> DataFrame:
-    """(id, ends, digests) per row: the chunks' ends in bytes and their 128-bit digests as pairs of longs."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, t): h is a hash of the text; (id, h) stands for a row, as rows that agree in both are the same document."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return rows.select("id", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h"), "t")
+
+
+def chunk_table(rows: DataFrame, least: int, bits: int, most: int) -> DataFrame:
+    """(id, h, ends, d1, d2) per row of (id, h, t): the chunks' ends in bytes and their 128-bit digests as pairs of longs."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         table = gear_table()
         blake = hashlib.blake2b
         for batch in batches:
             ends, counts, digests = [], [], []
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(batch.column(2)):
                 cuts = cut_points(np.frombuffer(text, np.uint8), table, least, bits, most)
                 counts.append(len(cuts))
                 ends += cuts
@@ -80,55 +87,189 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, least: int, bits: i
             halves = np.frombuffer(b"".join(digests), "<i8")
             n = np.array(counts, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(np.array(ends, np.int32), n, pa.int32()), lists(halves[0::2], n, pa.int64()), lists(halves[1::2], n, pa.int64())],
-                names=["id", "ends", "d1", "d2"],
+                [*batch.columns[:2], lists(np.array(ends, np.int32), n, pa.int32()), lists(halves[0::2], n, pa.int64()), lists(halves[1::2], n, pa.int64())],
+                names=["id", "h", "ends", "d1", "d2"],
             )
 
-    return map_batches(rows, run, f"id {kind}, ends array<int>, d1 array<bigint>, d2 array<bigint>")
+    return map_batches(rows, run, f"id {kind}, h bigint, ends array<int>, d1 array<bigint>, d2 array<bigint>")
+
+
+def _edges(rows: DataFrame, wanted: DataFrame, least: int, bits: int, most: int) -> DataFrame:
+    """(id, h, n, left, bytes): what lies next to chunk n, from `wanted` (id, h, n, left): LEFT bytes before it, or the
+    chunk after it. Only texts with something wanted are shuffled."""
+    kind = rows.schema["id"].dataType.simpleString()
+    asked = materialize(wanted.groupBy("id", "h").agg(F.collect_set(F.struct("n", "left")).alias("ask")))
+    some = rows.where("t is not null")
+    if asked.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
+        some = maybe_in(some, asked.select("h"), "h", "maybe").where("maybe").select("id", "h", "t")
+    asked = asked.select(F.col("id").alias("i"), F.col("h").alias("g"), "ask")
+    some = some.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("id", "h", "t", "ask")
+
+    def run(batches):
+        table = gear_table()
+        for batch in batches:
+            at, ns, lefts, parts = [], [], [], []
+            for i, (text, ask) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist())):
+                ends = [0, *cut_points(np.frombuffer(text, np.uint8), table, least, bits, most)]
+                for x in ask:
+                    n = x["n"]
+                    at.append(i)
+                    ns.append(n)
+                    lefts.append(x["left"])
+                    parts.append(text[max(ends[n] - LEFT, 0) : ends[n]] if x["left"] else text[ends[n + 1] : ends[min(n + 2, len(ends) - 1)]])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ns, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(parts, pa.binary())], names=["id", "h", "n", "left", "bytes"])
+
+    # repeated rows ask the same
+    return map_batches(some, run, f"id {kind}, h bigint, n int, left boolean, bytes binary").dropDuplicates(["id", "h", "n", "left"])
+
+
+def shared_length(a: bytes, b: bytes, at_end: bool) -> int:
+    """How many bytes a and b have in common at their ends, or at their beginnings."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = (np.frombuffer(v[len(v) - n :][::-1] if at_end else v[:n], np.uint8) for v in (a, b))
+    differ = np.flatnonzero(x != y)
+    return int(differ[0]) if len(differ) else n
 
 
 def repeated_stretches(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, bits: int = BITS, most: int = MOST, run: int = RUN
 ) -> DataFrame:
-    """(id, n_chunks, n_bytes, n_repeated, spans): each row's chunks that occurred before, joined into stretches.
+    """(id, h, n_chunks, n_bytes, n_repeated, spans): each row's stretches that occurred before. h is a hash of the text.
 
     A chunk occurs before if an equal one (by digest) is in a row of smaller id or earlier in the same text; the first
-    occurrence always stays. Neighbouring repeated chunks form a stretch; stretches of under `run` bytes are left, as
-    short ones may be chance. spans: (start, end) in bytes of the UTF-8 text, by start. A null text is empty and has no
-    chunks; rows with a null id come after all others; rows that share an id count as copies of one place.
+    occurrence always stays. Neighbouring repeated chunks form a stretch, which is then held byte by byte against its
+    first occurrence to both sides of it, so that a passage counts whole although chunks cross its ends. To the right
+    that ends inside the next chunk, as equal bytes after a cut are cut alike; to the left LEFT bytes are compared. Stretches of under `run` bytes are left, as short ones may be chance; n_repeated counts the
+    chunks of the others. spans: (start, end) in bytes of the UTF-8 text, by start. A null text is empty and has no
+    chunks; rows with a null id come after all others; rows that share an id and the text count as one place.
     """
-    table = materialize(chunk_table(docs, id_col, text_col, least, bits, most))
-    chunk = table.select("id", F.posexplode(F.arrays_zip("ends", "d1", "d2", F.expr("concat(array(0), ends)").alias("begins"))).alias("n", "c"))
-    chunk = chunk.where("c.ends is not null").select("id", "n", F.col("c.begins").alias("s"), F.col("c.ends").alias("e"), "c.d1", "c.d2")
+    rows = _rows(docs, id_col, text_col)
+    table = materialize(chunk_table(rows, least, bits, most))
+    chunk = table.select("id", "h", F.posexplode(F.arrays_zip("d1", "d2")).alias("n", "c")).select("id", "h", "n", "c.d1", "c.d2")
     # ids that are null come last
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "n")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "h", "n")
     firsts = chunk.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first")).where("k > 1").select("d1", "d2", "first")
-    again = chunk.join(firsts, ["d1", "d2"]).where(place != F.col("first")).select("id", "n", "s", "e")
-    per_row = again.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("n", "s", "e"))).alias("c"))
-    per_row = per_row.select(F.col("id").alias("i"), F.expr("transform(c, x -> x.s)").alias("s"), F.expr("transform(c, x -> x.e)").alias("e"))
-    rows = table.select("id", F.size("ends").cast("long").alias("n_chunks"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = rows.join(per_row, F.col("id").eqNullSafe(F.col("i")), "left").select("id", "n_chunks", "n_bytes", "s", "e")
+    again = chunk.join(firsts, ["d1", "d2"]).where(place != F.col("first")).select("id", "h", "n", F.struct("first.id", "first.h", "first.n").alias("f"))
+    per_row = again.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("n", "f"))).alias("c"))
+    runs = materialize(map_runs(per_row, docs.schema[id_col].dataType.simpleString()))
+    sides = runs.select("id", "h", F.explode("runs").alias("r"))
+    left = sides.where("r.open_left").select("id", "h", F.col("r.a").alias("n"), F.lit(True).alias("left"), F.col("r.fid").alias("fid"), F.col("r.fh").alias("fh"), F.col("r.fa").alias("fn"))
+    right = sides.where("r.open_right").select("id", "h", F.col("r.b").alias("n"), F.lit(False).alias("left"), F.col("r.fid").alias("fid"), F.col("r.fh").alias("fh"), F.col("r.fb").alias("fn"))
+    ends = materialize(left.union(right))
+    wanted = ends.select("id", "h", "n", "left").union(ends.select(F.col("fid").alias("id"), F.col("fh").alias("h"), F.col("fn").alias("n"), "left"))
+    edges = materialize(_edges(rows, wanted, least, bits, most))
     kind = docs.schema[id_col].dataType.simpleString()
+    own = edges.select(F.col("id").alias("i"), F.col("h").alias("g"), F.col("n").alias("m"), F.col("left").alias("l"), F.col("bytes").alias("x"))
+    first = edges.select(F.col("id").alias("i2"), F.col("h").alias("g2"), F.col("n").alias("m2"), F.col("left").alias("l2"), F.col("bytes").alias("y"))
+    both = ends.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("n") == F.col("m")) & (F.col("left") == F.col("l")))
+    both = both.join(first, F.col("fid").eqNullSafe(F.col("i2")) & (F.col("fh") == F.col("g2")) & (F.col("fn") == F.col("m2")) & (F.col("left") == F.col("l2")))
+
+    def compare(batches):
+        for batch in batches:
+            shared = [shared_length(a, b, at_end) for at_end, a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int32())], names=["id", "h", "n", "left", "more"])
+
+    longer = map_batches(both.select("id", "h", "n", "left", "x", "y"), compare, f"id {kind}, h bigint, n int, left boolean, more int")
+    longer = longer.where("more > 0").groupBy("id", "h").agg(F.collect_list(F.struct("n", "left", "more")).alias("more"))
+    found = runs.select(F.col("id").alias("i"), F.col("h").alias("g"), "runs").join(longer.select(F.col("id").alias("i2"), F.col("h").alias("g2"), "more"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("g") == F.col("g2")), "left")
+    found = found.select("i", "g", F.expr("transform(runs, r -> struct(r.a as a, r.b as b, r.own as own))").alias("runs"), "more")
+    out = table.select("id", "h", "ends").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "h", "ends", "runs", "more")
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def join_up(batches):
         for batch in batches:
-            counts, spans = [], []
-            for starts, ends in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                out: list[dict] = []
-                for s, e in zip(starts or (), ends or ()):
-                    if out and out[-1]["e"] == s:
-                        out[-1]["e"] = e
+            n_chunks, n_bytes, n_repeated, spans = [], [], [], []
+            for ends, chunk_runs, more in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                cuts = [0, *ends]
+                extra = {(x["n"], x["left"]): x["more"] for x in more or ()}
+                whole: list[list[int]] = []
+                for r in chunk_runs or ():
+                    s, e = cuts[r["a"]], cuts[r["b"] + 1]
+                    # in the same text the first occurrence may not grow into the stretch
+                    room = s - cuts[r["own"] + 1] if r["own"] >= 0 else cuts[-1]
+                    before = min(extra.get((r["a"], True), 0), room)
+                    s, e = s - before, e + min(extra.get((r["b"], False), 0), room - before)
+                    if whole and s <= whole[-1][1]:
+                        whole[-1][1:] = [max(e, whole[-1][1]), whole[-1][2] + r["b"] - r["a"] + 1]
                     else:
-                        out.append({"s": s, "e": e})
-                counts.append(len(starts or ()))
-                spans.append([x for x in out if x["e"] - x["s"] >= run])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(spans, spans_type)], names=["id", "n_chunks", "n_bytes", "n_repeated", "spans"])
+                        whole.append([s, e, r["b"] - r["a"] + 1])
+                kept = [x for x in whole if x[1] - x[0] >= run]
+                n_chunks.append(len(ends))
+                n_bytes.append(cuts[-1])
+                n_repeated.append(sum(x[2] for x in kept))
+                spans.append([{"s": s, "e": e} for s, e, _ in kept])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (n_chunks, n_bytes, n_repeated)), pa.array(spans, spans_type)], names=["id", "h", "n_chunks", "n_bytes", "n_repeated", "spans"])
+
+    return map_batches(out, join_up, f"id {kind}, h bigint, n_chunks bigint, n_bytes bigint, n_repeated bigint, spans array<struct<s:int,e:int>>")
+
+
+def map_runs(per_row: DataFrame, kind: str) -> DataFrame:
+    """(id, h, runs) from (id, h, c: repeated chunks with their first occurrences, in order): runs of neighbouring chunks
+    whose first occurrences are neighbours as well, whether a side has no repeated chunk next to it, and as `own` the last
+    chunk of the first occurrence if that is in the same text, else -1."""
+    parts = [("a", "int"), ("b", "int"), ("fid", kind), ("fh", "bigint"), ("fa", "int"), ("fb", "int"), ("open_left", "boolean"), ("open_right", "boolean"), ("own", "int")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, h, chunks in zip(*(c.to_pylist() for c in batch.columns)):
+                runs: list[dict] = []
+                for x in chunks:
+                    n, f = x["n"], x["f"]
+                    last = runs[-1] if runs else None
+                    if last and last["b"] + 1 == n and last["fid"] == f["id"] and last["fh"] == f["h"] and last["fb"] + 1 == f["n"]:
+                        last["b"], last["fb"] = n, f["n"]
+                    else:
+                        touching = last is not None and last["b"] + 1 == n
+                        if touching:
+                            last["open_right"] = False
+                        runs.append({"a": n, "b": n, "fid": f["id"], "fh": f["h"], "fa": f["n"], "fb": f["n"], "open_left": not touching, "open_right": True})
+                for r in runs:
+                    r["own"] = r["fb"] if (r["fid"], r["fh"]) == (i, h) else -1
+                out.append(runs)
+            field = batch.schema.field(2).type.value_type.field("f").type.field("id").type
+            types = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+            kinds = pa.list_(pa.struct([(name, field if name == "fid" else types[sql]) for name, sql in parts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kinds)], names=["id", "h", "runs"])
+
+    return map_batches(per_row, run, f"id {kind}, h bigint, runs array<struct<{','.join(f'{n}:{t}' for n, t in parts)}>>")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """docs with the repeated stretches cut out of their texts; rows and columns stay as they are, null texts null.
+
+    Ends that fall inside a character move inwards, so that what is left is UTF-8. Texts with stretches are shuffled.
+    """
+    found = repeated_stretches(docs, id_col, text_col, **options).where("size(spans) > 0").dropDuplicates(["id", "h"])
+    i, g, cut = (spare_name(docs.columns, x) for x in ("i", "g", "cut"))
+    found = found.select(F.col("id").alias(i), F.col("h").alias(g), F.col("spans").alias(cut))
+    hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    out = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (hashed == F.col(g)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], cut)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for x in reversed(spans or ()):
+                    s, e = x["s"], x["e"]
+                    while s < e and texts[k][s] & 0xC0 == 0x80:
+                        s += 1
+                    while e > s and e < len(texts[k]) and texts[k][e] & 0xC0 == 0x80:
+                        e -= 1
+                    texts[k] = texts[k][:s] + texts[k][e:]
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return map_batches(joined, join_up, f"id {kind}, n_chunks bigint, n_bytes bigint, n_repeated bigint, spans array<struct<s:int,e:int>>")
+    return map_batches(out, run, docs.schema)
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its chunks, bytes and repeated chunks, and the stretches that occurred before (start:end in bytes)."""
     found = repeated_stretches(read(spark, sf_dir, "documents"))
     gone = F.expr("aggregate(spans, 0L, (a, x) -> a + x.e - x.s)")
     return found.select(
