@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -108,3 +109,65 @@ def test_empty_tables(spark):
     assert drop_leaked(docs_frame(spark, ["a"]), none).count() == 1
     some = spark.createDataFrame([(1, prose(random.Random(1), 30))], "item_id long, text string")
     assert leaks_of(docs_frame(spark, []), some).count() == 0
+
+
+def best_in(pattern, text):
+    """The fewest edits that turn the pattern into some part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j in range(1, len(text) + 1):
+            new.append(min(row[j - 1] + (text[j - 1] != c), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_all_items_against_all_texts():
+    rng = random.Random(21)
+    words = ["ab", "cde", "fg", "hijk", "lm", "nop", "---", "=="]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(12, 30))) for _ in range(14)] + ["-" * 60, "ab " * 25, "ab cde " * 9]
+    index = decontaminate.PassageIndex(list(enumerate(items)), 12, 0.05, 40)
+    at_least = 0
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        for k in rng.sample(range(len(items)), rng.randint(0, 2)):
+            passage = list(items[k])
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(passage))
+                passage[at : at + 1] = rng.choice([[], ["q"], [passage[at], "z"]])
+            text += " " + "".join(passage) + " " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        plain, _ = decontaminate.normalise(codes(text), index.lower)
+        got = {k for k, *_ in index.leaks(plain)}
+        text = "".join(map(chr, plain))
+        expected = {k for k in range(len(index.ids)) if best_in("".join(map(chr, index.codes[k])), text) <= index.budget[k]}
+        assert got == expected
+        at_least += len(got)
+    assert at_least > 40
+
+
+def test_short_items_stand_as_whole_words():
+    items = [(0, "the long road"), (1, "a b"), (2, "Ein Käse 12345")]
+    index = decontaminate.PassageIndex(items, 12, 0.05, 40)
+    found = lambda text: sorted(index.ids[k] for k, *_ in index.leaks(decontaminate.normalise(codes(text), index.lower)[0]))
+    assert found("on the long  ROAD.") == [0] and found("bathe long road") == found("the long roads") == []
+    assert found("the long roads, the long road") == [0] and found("a b") == [] and found("ein käse 12345") == [2]
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    items = [(0, "-" * 300), (1, "-" * 150 + "x" + "-" * 150)]
+    index = decontaminate.PassageIndex(items, 12, 0.05, 40)
+    began = time.process_time()
+    found = index.leaks(codes("-" * 100_000))
+    assert {index.ids[k]: e for k, _, _, e in found} == {0: 0, 1: 1}
+    assert time.process_time() - began < 10
+
+
+def test_rows_that_share_an_id_keep_their_own_leaks(spark, monkeypatch):
+    rng = random.Random(3)
+    bench = [prose(rng, 30), prose(rng, 30)]
+    docs = docs_frame(spark, [], [(7, bench[0]), (7, bench[1]), (7, "clean"), (None, bench[1])])
+    benchmark = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    for size in (10**6, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", size)
+        assert sorted((str(r["id"]), [x["item"] for x in r["leaks"]]) for r in leaks_of(docs, benchmark).collect()) == [("7", []), ("7", [0]), ("7", [1]), ("None", [1])]
+        assert [r["text"] for r in drop_leaked(docs, benchmark).collect()] == ["clean"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import map_batches, mix, read
+from weft.session import materialize
 
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in blocks of so much.
 BLOCK_CHARS = 4_000_000
+#: Entries of the index that are laid out at once, and diagonals that are aligned at once.
+LAID_OUT, DIAGONALS = 1_000_000, 8192
 
 
 def _lower_table() -> np.ndarray:
@@ -108,20 +113,21 @@ class PassageIndex:
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, least: int):
         self.q = q
         self.lower = _lower_table()
-        self.ids, self.codes, self.budget, self.bound = [], [], [], []
+        self.ids, self.codes, self.budget, self.bound, self.words = [], [], [], [], []
         grams, owners, places = [], [], []
         for item, text in items:
             codes, _ = normalise(np.frombuffer((text or "").strip().encode("utf-32-le", "replace"), np.uint32), self.lower)
             m = len(codes)
-            if m < max(least, q):
+            if m < q:
                 continue
             # the largest budget within `rate` for which the lemma still asks for a fair number of q-grams
-            budget = min(int(m * rate), max((m + 1 - q) // (2 * q), 0))
+            budget = min(int(m * rate), max((m + 1 - q) // (2 * q), 0)) if m >= least else 0
             k = len(self.ids)
             self.ids.append(item)
             self.codes.append(codes)
             self.budget.append(budget)
             self.bound.append(m + 1 - q - budget * q)
+            self.words.append(m < least)
             g = qgrams(codes, q)
             grams.append(g)
             owners.append(np.full(len(g), k, np.int64))
@@ -129,16 +135,26 @@ class PassageIndex:
         self.budget = np.array(self.budget, np.int64)
         self.bound = np.array(self.bound, np.int64)
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.grams = g[order]
-        self.owner = np.concatenate(owners)[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if grams else np.zeros(0, np.int64)
+        owner = np.concatenate(owners) if grams else np.zeros(0, np.int64)
+        place = np.concatenate(places) if grams else np.zeros(0, np.int64)
+        # equal q-grams of an item that lie less than half a band apart are one entry, at the first place of them: a q-gram
+        # of a text then meets few entries of an item, however often the item repeats itself
+        part = place // (self.budget[owner] + 1) if grams else place
+        order = np.lexsort((place, part, owner, g))
+        g, owner, place, part = g[order], owner[order], place[order], part[order]
+        first = np.ones(len(g), bool)
+        first[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(first)
+        self.several = np.diff(np.append(at, len(g))) > 1
+        self.grams, self.owner, self.place = g[at], owner[at], place[at]
+        self.longest = max(map(len, self.codes), default=0)
         self.bits = max(16, int(len(g)).bit_length() + 5)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.grams >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, band's first diagonal) of every band with as many q-grams as the lemma asks for."""
+        """(item, band's first diagonal) of every band in which as many places of the text as the lemma asks for begin a
+        q-gram that the item has there."""
         g = qgrams(codes, self.q)
         if not len(g) or not len(self.grams):
             return
@@ -151,19 +167,27 @@ class PassageIndex:
         at, left, n = at[n > 0], left[n > 0], n[n > 0]
         if not len(at):
             return
-        row = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner = self.owner[row]
-        diagonal = np.repeat(at, n) - self.place[row]
-        half = self.budget[owner] + 1
-        # band b holds the diagonals from b * half on, 2 * half of them; each hit is in two bands
-        band = diagonal // half
-        shift = int(band.min()) - 1
-        span = int(band.max()) - shift + 1
-        keys = np.concatenate([owner * span + band - shift, owner * span + band - 1 - shift])
-        keys, counts = np.unique(keys, return_counts=True)
+        shift, span = self.longest + 3, len(codes) + self.longest + 6
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.cumsum(n)
+        begin = 0
+        while begin < len(at):
+            # so many entries are laid out at once
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + LAID_OUT, "right")))
+            k = n[begin:end]
+            row = np.repeat(left[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            owner = self.owner[row]
+            # band b holds the diagonals from b * half on, 2 * half of them; each hit is in two bands, and where an entry
+            # stands for several places less than half apart, in one more
+            band = (np.repeat(at[begin:end], k) - self.place[row]) // (self.budget[owner] + 1)
+            base = owner * span + band + shift
+            more, times = np.unique(np.concatenate([base, base - 1, base[self.several[row]] - 2]), return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, times]), minlength=len(keys)).astype(np.int64)
+            begin = end
         for key in keys[counts >= self.bound[keys // span]]:
             k = int(key) // span
-            yield k, (int(key) % span + shift) * (int(self.budget[k]) + 1)
+            yield k, (int(key) % span - shift) * (int(self.budget[k]) + 1)
 
     def leaks(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the item's best aligned place in each run of touching bands; places are kept ones."""
@@ -180,28 +204,36 @@ class PassageIndex:
             pattern, budget = self.codes[k], int(self.budget[k])
             m = len(pattern)
             for first, last in runs:
-                low = max(first - budget, 0)
-                piece = codes[low : last + m + budget + 1]
-                # a run of bands from overlapping copies can be long: it is aligned band by band
-                step = max(2 * (budget + 1), 1)
                 best = None
-                for a in range(first, last + 1, step):
-                    b = min(a + step - 1, last)
-                    exact = self._exact(pattern, piece, a - low, b - low)
-                    got = (0, exact, exact + m) if exact is not None else banded_distance(pattern, piece, a - low, b - low, budget)
-                    if got and (best is None or got[0] < best[0]):
-                        best = got
-                    if best and best[0] == 0:
+                # a run of bands from overlapping copies can be long: so many diagonals are aligned at once
+                for a in range(first, last + 1, DIAGONALS):
+                    b = min(a + DIAGONALS - 1, last)
+                    low = max(a - budget, 0)
+                    piece = codes[low : b + m + budget + 1]
+                    exact = self._exact(pattern, piece, a - low, b - low, codes[low - 1] if self.words[k] and low else 32, self.words[k])
+                    if exact is not None:
+                        best = (0, exact + low, exact + low + m)
                         break
+                    got = None if self.words[k] else banded_distance(pattern, piece, a - low, b - low, budget)
+                    if got and (best is None or got[0] < best[0]):
+                        best = (got[0], got[1] + low, got[2] + low)
                 if best:
-                    out.append((k, best[1] + low, best[2] + low, best[0]))
+                    out.append((k, best[1], best[2], best[0]))
         return out
 
     @staticmethod
-    def _exact(pattern: np.ndarray, text: np.ndarray, first: int, last: int) -> int | None:
+    def _exact(pattern: np.ndarray, text: np.ndarray, first: int, last: int, before: int, whole_words: bool) -> int | None:
+        """Where the pattern stands as it is, beginning between first and last; with whole_words between other characters
+        than letters and digits. before: the character before the text."""
+
+        def joins(c: int) -> bool:
+            return chr(c).isalnum()
+
+        m = len(pattern)
         for a in np.flatnonzero(text[max(first, 0) : last + 1] == pattern[0]) + max(first, 0):
-            if a + len(pattern) <= len(text) and np.array_equal(text[a : a + len(pattern)], pattern):
-                return int(a)
+            if a + m <= len(text) and np.array_equal(text[a : a + m], pattern):
+                if not whole_words or not (joins(int(text[a - 1]) if a else int(before)) or (a + m < len(text) and joins(int(text[a + m])))):
+                    return int(a)
         return None
 
 
@@ -219,28 +251,41 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def find_leaks(
+def _index(shared, q: int, rate: float, least: int) -> PassageIndex:
+    """The index of a broadcast block, built once in each worker."""
+    state = shared.value
+    if "index" not in state:
+        state["index"] = PassageIndex(state["items"], q, rate, least)
+    return state["index"]
+
+
+def leaks_of(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", q: int = 12, rate: float = 0.05, least: int = 40,
-) -> Iterator[DataFrame]:
-    """For each block of the benchmark: (row of docs' id, leaks), leaks an array of (item, start, end, edits).
+) -> DataFrame:
+    """(id, leaks) per row of docs, leaks an array of (item, start, end, edits).
 
     An item leaks into a text if some part of the text is within its budget of edits, after lower case and runs of
     white space as one space. The budget is `rate` of the item's characters, but at most what leaves the q-gram lemma
-    half of its q-grams. Items of under `least` characters, null ones included, can't be told from chance and are not
-    looked for. Starts and ends count code points of the text. A null text is empty; every row of docs gives a row.
+    half of its q-grams. Items of under `least` characters leak where they stand as whole words without an edit; those of
+    under q characters, null ones included, can't be told from chance and are not looked for. Starts and ends count code
+    points of the text. A null text is empty; every row of docs gives a row, also with null or repeated ids.
+
+    The benchmark is broadcast in blocks of at most BLOCK_CHARS characters, one after the other: each is a pass over the
+    texts, whose finds are written before the next block is sent.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    rows = rows.select("id", "t", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h"))
+    whole = item_kind in ("bigint", "int")
+    kinds = pa.list_(pa.struct([("item", pa.int64() if whole else pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+    leaks_sql = f"array<struct<item:{'bigint' if whole else 'string'},start:int,end:int,edits:int>>"
 
     def finder(shared):
         def run(batches):
-            state = shared.value
-            if "index" not in state:
-                state["index"] = PassageIndex(state["items"], q, rate, least)
-            index = state["index"]
+            index = _index(shared, q, rate, least)
             for batch in batches:
                 found = []
                 for text in batch.column(1).to_pylist():
@@ -249,49 +294,35 @@ def find_leaks(
                         {"item": index.ids[k], "start": int(at[a]) if a < len(at) else len(text), "end": int(at[b - 1]) + 1 if b else 0, "edits": e}
                         for k, a, b, e in index.leaks(codes)
                     ])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kinds)], names=["id", "leaks"])
-
-        return run
-
-    arrow_item = pa.int64() if item_kind in ("bigint", "int") else pa.string()
-    kinds = pa.list_(pa.struct([("item", arrow_item), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
-    item_sql = "bigint" if item_kind in ("bigint", "int") else "string"
-    schema = f"id {kind}, leaks array<struct<item:{item_sql},start:int,end:int,edits:int>>"
-    for block in _blocks(benchmark, item_col, item_text_col):
-        yield map_batches(rows, finder(spark.sparkContext.broadcast({"items": block})), schema)
-
-
-def leaks_of(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(id, leaks) per row of docs over the whole benchmark; see find_leaks."""
-    id_col = options.get("id_col", "doc_id")
-    parts = list(find_leaks(docs, benchmark, **options))
-    if len(parts) == 1:
-        return parts[0]
-    if not parts:
-        none = F.array().cast("array<struct<item:bigint,start:int,end:int,edits:int>>")
-        return docs.select(F.col(f"`{id_col}`").alias("id"), none.alias("leaks"))
-    # rows that share an id gather their leaks
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    some = every.where("size(leaks) > 0").groupBy("id").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("i"))
-    joined = ids.join(some, F.col("i").eqNullSafe(F.col("id")), "left")
-    return joined.select(F.col("i").alias("id"), F.coalesce("leaks", F.expr("slice(array(leaks[0]), 1, 0)")).alias("leaks"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kinds)], names=["id", "h", "leaks"])
+
+        return map_batches(rows, run, f"id {kind}, h bigint, leaks {leaks_sql}")
+
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return rows.select("id", F.array().cast(leaks_sql).alias("leaks"))
+    if second is None:
+        return finder(spark.sparkContext.broadcast({"items": first})).select("id", "leaks")
+    parts = []
+    for block in chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast({"items": block})
+        parts.append(materialize(finder(shared).where("size(leaks) > 0")))
+        shared.destroy()
+    some = reduce(DataFrame.union, parts).groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    ids = rows.select(F.col("id").alias("i"), F.col("h").alias("g"))
+    joined = ids.join(some, F.col("i").eqNullSafe(F.col("id")) & (F.col("g") == F.col("h")), "left")
+    return joined.select(F.col("i").alias("id"), F.coalesce("leaks", F.array().cast(leaks_sql)).alias("leaks"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = 12, rate: float = 0.05, least: int = 40) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; columns stay as they are."""
+    """docs without the rows whose text holds a benchmark item (see leaks_of); columns stay as they are."""
     spark = docs.sparkSession
-    out = docs
     place = docs.columns.index(text_col)
 
-    def keeper(shared):
+    def kept(rows, shared):
         def run(batches):
-            state = shared.value
-            if "index" not in state:
-                state["index"] = PassageIndex(state["items"], q, rate, least)
-            index = state["index"]
+            index = _index(shared, q, rate, least)
             for batch in batches:
                 clean = []
                 for text in batch.column(place).to_pylist():
@@ -299,10 +330,19 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q
                     clean.append(not index.leaks(codes))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        return run
+        return map_batches(rows, run, docs.schema)
 
-    for block in _blocks(benchmark, "item_id", "text"):
-        out = map_batches(out, keeper(spark.sparkContext.broadcast({"items": block})), docs.schema)
+    blocks = _blocks(benchmark, "item_id", "text")
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return kept(docs, spark.sparkContext.broadcast({"items": first}))
+    out = docs
+    for block in chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast({"items": block})
+        out = materialize(kept(out, shared))
+        shared.destroy()
     return out
 
 
