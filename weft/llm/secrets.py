@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import read
+from weft.llm.common import read, spare_name
 from weft.session import materialize
 
 #: Kinds in the order in which spans with one start are listed. The first three are the base kinds.
@@ -37,6 +37,8 @@ WEAK = [
     Part("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}", 0, 20, "secret"),
     Part("endpoint", r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|sftp|ssh)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", 0, 10, "endpoint"),
 ]
+#: What divides a text into scopes: blank lines.
+BREAK = Part("break", r"\n[\x20\t\r]*(?=\n)", 0, 1, "")
 #: A cheap test that a text without a match of the kind mostly fails.
 HINT = {
     "assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
@@ -45,8 +47,9 @@ HINT = {
     "ident": r"(?i)(?:_?id|username|login)[\"']?\x20*[:=]",
     "opaque": r"[A-Za-z0-9+/_-]{20}",
     "endpoint": "://",
+    "break": r"\n[\x20\t\r]*\n",
 }
-#: Prefix sums run over blocks of so many matches, so that a text with n matches costs n * BLOCK steps, not n * n.
+#: Prefix sums run over blocks of so many matches: a text with n matches costs n * BLOCK + n * n / (2 * BLOCK) steps.
 BLOCK = 256
 
 
@@ -64,7 +67,7 @@ def _matched(part: Part, text: Column) -> Column:
 def _spans(kind: str, least: int) -> Column:
     """Starts and ends, as code points, of the matches in column m_<kind> that are long enough; gaps are in g_<kind>."""
     m, g = f"m_{kind}", f"g_{kind}"
-    order = KINDS.index(kind)
+    order = KINDS.index(kind) if kind in KINDS else len(KINDS)
     return F.expr(f"""
         case when size({m}) = 0 then cast(array() as array<struct<s:int,o:int,e:int>>) else
         transform(filter(
@@ -99,7 +102,8 @@ def _with_spans(docs: DataFrame, parts: list[Part], text: str) -> DataFrame:
 
 
 def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, base, weak): every row's base spans and weak candidates, each an array of (s, o, e) by start.
+    """(id, h, base, weak, breaks): every row's base spans and weak candidates, and where its scopes end if it has weak
+    candidates, each an array of (s, o, e) by start.
 
     `h` is a hash of the text; (id, h) stands for the row, as rows that agree in both have the same spans.
     """
@@ -111,25 +115,30 @@ def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         names = ", ".join(f"s_{p.kind}" for p in parts)
         return F.expr(f"array_sort(transform(concat({names}), x -> struct(x.s as s, x.o as o, x.e as e)))")
 
-    return found.select("id", "h", gathered(BASE).alias("base"), gathered(WEAK).alias("weak"))
+    # texts without candidates need no scopes
+    found = found.select("id", "h", "t", gathered(BASE).alias("base"), gathered(WEAK).alias("weak"))
+    found = found.withColumn("t", F.when(F.size("weak") > 0, F.col("t")).otherwise(F.lit("")))
+    return _with_spans(found, [BREAK], "t").select("id", "h", "base", "weak", F.col("s_break").alias("breaks"))
 
 
 def link_parts(parts: DataFrame, reach: int) -> DataFrame:
-    """(id, h, linked): the weak candidates near enough to what completes them.
+    """(id, h, linked): the weak candidates near enough to what completes them, in the same scope.
 
-    The interval join is a sweep: with a text's parts in order of start, a part lies within `reach` of one on its left
-    if the greatest end so far says so, and of one on its right if the least start still to come does. That takes a
-    sort per text and emits a row per part, never a pair of parts.
+    Scopes are the stretches of a text between blank lines. The interval join is a sweep: with a scope's parts in order
+    of start, a part lies within `reach` of one on its left if the greatest end so far says so, and of one on its right if
+    the least start still to come does. That takes two sorts per text and emits a row per part, never a pair of parts.
     """
     side = {i: p.side for p in BASE + WEAK for i, k in enumerate(KINDS) if k == p.kind}
     rows = (
         parts.where("size(weak) > 0 and size(weak) + size(base) > 1")
         .dropDuplicates(["id", "h"])
-        .select("id", "h", F.explode(F.concat("base", "weak")).alias("x"))
+        .select("id", "h", F.explode(F.concat("base", "weak", "breaks")).alias("x"))
         .select("id", "h", "x.s", "x.o", "x.e")
     )
-    left = Window.partitionBy("id", "h").orderBy("s", "o", "e").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("id", "h").orderBy(F.desc("s"), F.desc("o"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = Window.partitionBy("id", "h").orderBy("s", F.desc("o"), "e").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("scope", F.sum((F.col("o") == len(KINDS)).cast("int")).over(sofar)).where(F.col("o") < len(KINDS))
+    left = Window.partitionBy("id", "h", "scope").orderBy("s", "o", "e").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("id", "h", "scope").orderBy(F.desc("s"), F.desc("o"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(test: Column, by: int) -> Column:
         before = F.max(F.when(test, F.col("e"))).over(left) >= F.col("s") - by
@@ -157,7 +166,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are (s, o, e): start, place of the kind in KINDS, end (exclusive), in code points. An account name counts
     within `reach` code points of a secret, an opaque string within reach of an access identifier or account name, an
-    address within reach of both; a candidate inside a base span never counts. A null text is empty and has no spans;
+    address within reach of both, all without a blank line between; a candidate inside a base span never counts. A null text is empty and has no spans;
     each input row gives one output row, also where ids are null or repeated; other columns aren't read.
     """
     parts = materialize(scan_parts(docs, id_col, text_col))
@@ -184,21 +193,26 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = link_parts(parts, reach).select(F.col("id").alias("i"), F.col("h").alias("g"), "linked")
     spans = parts.dropDuplicates(["id", "h"]).join(linked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
-    spans = spans.select(F.col("id").alias("__i"), F.col("h").alias("__g"), F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("__spans"))
-    spans = materialize(spans.where("size(__spans) > 0"))
-    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    out = hashed.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left")
+    # names that no column of docs has
+    i, g, found, h = (spare_name(docs.columns, x) for x in ("i", "g", "spans", "h"))
+    spans = spans.select(F.col("id").alias(i), F.col("h").alias(g), F.array_sort(F.concat("base", F.coalesce("linked", none))).alias(found))
+    spans = materialize(spans.where(F.size(found) > 0))
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    out = hashed.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(h) == F.col(g)), "left")
     quoted = mark.replace("'", "''")
     masked = F.expr(f"""
-        case when __spans is null then `{text_col}` else
-          aggregate(__spans, struct(0 as at, cast(array() as array<string>) as out),
-            (a, x) -> struct(greatest(a.at, x.e) as at,
-              case when x.s < a.at then a.out else concat(a.out, array(substring(`{text_col}`, a.at + 1, x.s - a.at), '{quoted}')) end as out),
-            a -> concat(array_join(a.out, ''), substring(`{text_col}`, a.at + 1))) end""")
+        case when {found} is null then `{text_col}` else
+          array_join(transform(
+            aggregate({found}, struct(0 as at, cast(array() as array<struct<s:int,e:int>>) as out),
+              (a, x) -> struct(greatest(a.at, x.e) as at,
+                case when x.s < a.at then a.out else concat(a.out, array(struct(a.at as s, x.s as e))) end as out),
+              a -> concat(a.out, array(struct(a.at as s, length(`{text_col}`) as e)))),
+            x -> substring(`{text_col}`, x.s + 1, x.e - x.s)), '{quoted}') end""")
     return out.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind, their digest, and all spans with the linked candidates. Null texts are empty."""
     found = find_secrets(read(spark, sf_dir, "documents"))
     count = {k: F.expr(f"cast(size(filter(base, x -> x.o = {KINDS.index(k)})) as bigint)").alias(f"n_{k}") for k in KINDS[:3]}
     return found.select(
