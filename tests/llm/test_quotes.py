@@ -1,21 +1,72 @@
 import random
 
 from tests.llm.helpers import prose
-from weft.llm.quotes import link_quotes, marks, parse_message, reply_ordered
+from weft.llm.quotes import link_quotes, marks, parse_message, quoted, reply_ordered, without_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 def test_levels_and_own_text():
-    text = "Thanks!\n\nOn Monday, Ann wrote:\n> yes, it is\n>> is it so?\n> > really?\n>\n> fine\nNot at all.\n  > inset\n5 > 3"
-    own, passages = parse_message(text)
-    assert own == "Thanks!\n\nNot at all.\n5 > 3"
-    assert passages == [(1, "yes, it is"), (2, "is it so?\nreally?"), (1, "fine"), (1, "inset")]
-    assert parse_message("") == ("", []) and parse_message(">") == ("", [(1, "")])
-    assert marks("short") == set() and len(marks("One, two: THREE four.\n\nfive six seven eight")) == 3
+    text = "Thanks!\n\nOn Monday, Ann wrote:\n\n> yes, it is\n>> is it so?\n> > really?\n>\n> fine\nNot at all.\n  > inset\n5 > 3"
+    parts = parse_message(text)
+    assert [(level, quoted(t), a) for level, t, a in parts if level > 0] == [(1, "yes, it is", True), (2, "is it so?\nreally?", True), (1, "fine", True), (1, "inset", False)]
+    assert without_quotes(parts, set()) == ("Thanks!\n\nNot at all.\n  > inset\n5 > 3", 3)
+    last = max(i for i, (level, _, _) in enumerate(parts) if level > 0)
+    assert without_quotes(parts, {last}) == ("Thanks!\n\nNot at all.\n5 > 3", 4)
+    assert parse_message("") == [(0, "", False)] and without_quotes(parse_message(">"), set()) == (">", 0)
+    assert marks("?!") == set() and len(marks("One, two: THREE four.\n\nfive six seven eight")) == 3
     assert marks("One, two:  THREE four.") == marks("one two three four")
 
 
+def test_code_that_looks_quoted_stays(spark):
+    text = "Try this:\n>>> print(\"hello world again\")\nhello world again\n> diff line"
+    found = links(spark, [(1, 0, "user", "how?"), (1, 1, "assistant", text), (1, 2, "user", "On 5 May Bo wrote:\n> gone\nok"), (1, 3, "user", "> how?\n> else\nfine")])
+    assert found[1, 1]["text"] == text and found[1, 1]["parent"] is None and found[1, 1]["n_quotes"] == 0
+    assert found[1, 2]["text"] == "ok" and found[1, 2]["n_quotes"] == 1
+    # a short line is an original too
+    assert found[1, 3]["parent"] == 0 and found[1, 3]["text"] == "fine"
+
+
+def brute(rows):
+    """{place: (parent, text)} by holding every quote against every earlier message of the conversation."""
+    parsed = [parse_message(t or "") for *_, t in rows]
+    own = [marks("\n".join(t for level, t, _ in p if level == 0).strip()) for p in parsed]
+    out = {}
+    for i, (conv, turn, _, _) in enumerate(rows):
+        votes, linked = {}, set()
+        for p, (level, t, _) in enumerate(parsed[i]):
+            for m in marks(quoted(t)) if level > 0 and conv is not None and turn is not None else ():
+                found = [rows[j][1] for j in range(len(rows)) if rows[j][0] == conv and rows[j][1] is not None and rows[j][1] < turn and m in own[j]]
+                if found:
+                    votes.setdefault((level, max(found)), set()).add((p, m))
+                    linked.add(p)
+        best = max(((-level, len(x), source) for (level, source), x in votes.items()), default=None)
+        out[i] = (best and best[2], without_quotes(parsed[i], linked)[0])
+    return out
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(31)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 14)):
+            text = "\n".join(rng.choice([prose(rng, rng.randint(1, 6)), "same line here", ""]) for _ in range(rng.randint(1, 4)))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if said:
+                    lines = rng.choice(said).split("\n")
+                    some = lines[: rng.randint(1, len(lines))]
+                    quote = "\n".join(rng.choice([">", "> ", ">> ", "> > "]) + x for x in some)
+                    text = rng.choice([f"{quote}\n{text}", f"{text}\n{quote}", f"{text}\nOn Friday Al wrote:\n{quote}"])
+            said.append(text)
+            rows.append((conv, turn, "user", text))
+    found = links(spark, rows)
+    for i, (parent, text) in brute(rows).items():
+        r = found[rows[i][0], rows[i][1]]
+        assert (r["parent"], r["text"]) == (parent, text), rows[i]
+    assert sum(r["parent"] is not None for r in found.values()) > 20
+
+
 def links(spark, rows):
     return {(r["conv"], r["turn"]): r for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
 
@@ -26,7 +77,7 @@ def test_quotes_are_linked_to_the_latest_original_before(spark):
     rows = [
         (1, 0, "user", a), (1, 1, "assistant", b), (1, 2, "user", f"{quote(a)}\nto the first"), (1, 3, "user", a.upper() + "!"),
         (1, 4, "user", f"{quote(a)}\nto the third"), (1, 5, "user", f"{quote(b + chr(10) + c)}\nmixed"), (1, 6, "user", f"> to the third\n{quote(a, 2)}\nnested"),
-        (1, 7, "user", f"{quote(c)}\nquotes what is nowhere before"), (1, 8, "user", c), (2, 0, "user", f"{quote(a)}\nother conversation"), (2, 1, "user", quote("ok") + "\ntoo short"),
+        (1, 7, "user", f"{quote(c)}\nquotes what is nowhere before"), (1, 8, "user", c), (2, 0, "user", f"{quote(a)}\nother conversation"), (2, 1, "user", quote("?!") + "\nno letters"),
         (None, 0, "user", quote(a)), (1, None, "user", quote(a)), (3, 0, None, None), (3, 1, "user", ""), (3, 1, "user", ""),
     ]
     found = links(spark, rows)

@@ -21,7 +21,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the split pattern of the byte-level format.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a cache before it is emptied: bounds a worker's memory.
-CACHE = 250_000
+CACHE = 160_000
 
 
 def byte_letters() -> list[str]:
@@ -177,20 +177,20 @@ def load_vocabulary(path: str | None = None) -> dict:
         return json.load(f)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool = False, text_name: str = "decoded") -> DataFrame:
     """Per row: the kept columns, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text.
 
-    with_ids adds `ids` (array of int), with_text adds `decoded`. A null text counts as empty (no ids, digests of the
+    with_ids adds `ids` (array of int), with_text adds the decoded text as `text_name`. A null text counts as empty (no ids, digests of the
     empty string); rows are handled one by one, so repeated rows give repeated results, an empty table an empty one,
     and a text of any length is encoded whole. Columns other than `keep` and the text are not read; a kept column
     of a result's name gives way to the result. The vocabulary (a few MB, fixed by its file) is broadcast once.
     """
-    results = {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}
+    results = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if with_ids else set()) | ({text_name.lower()} if with_text else set())
     keep = tuple(c for c in keep if c.lower() not in results)
     spark = docs.sparkSession
     # a worker process builds its codec once and keeps it, caches included, beside the broadcast value
     shared = spark.sparkContext.broadcast({"vocabulary": vocabulary})
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids + ["decoded string"] * with_text)
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids + [f"`{text_name}` string"] * with_text)
     keep_list = list(keep)
 
     def run(batches):
@@ -219,11 +219,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", ke
                 names.append("ids")
             if with_text:
                 columns.append(pa.array(all_text, pa.string()))
-                names.append("decoded")
+                names.append(text_name)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text")), run, schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, digest of the ids and of the decoded text. Null texts are empty."""
     return bpe_round_trip(read(spark, sf_dir, "documents"), load_vocabulary())

@@ -17,8 +17,8 @@ from weft.session import materialize
 LEVEL = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 #: Lines that only introduce a quote.
 INTRO = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|(?:am|le|el)\b.{0,200}(?:schrieb|écrit|escribió).{0,80}|[-_]{2,}\s*original message\s*[-_]{2,}|.{1,80}\b(?:wrote|said))\s*:?\s*$", re.I)
-#: A passage or line of fewer letters and digits proves nothing and isn't linked.
-LEAST = 12
+#: A passage or line without so many letters and digits proves nothing and isn't linked.
+LEAST = 2
 
 
 def normal(text: str) -> str:
@@ -42,29 +42,51 @@ def levels(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def parse_message(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """(own text without quotes and the lines that introduce them, quoted passages as (level, text) in order).
+def parse_message(text: str) -> list[tuple[int, str, bool]]:
+    """(quote level, text as it stands, is it announced) of the stretches of a message in order.
 
-    A passage is a run of lines of one level; blank quoted lines divide paragraphs inside it.
+    A stretch is a run of lines of one level; blank quoted lines divide paragraphs inside it. A line that only introduces a
+    quote and the blank lines after it are a stretch of level -1, and the quote after it is announced, as are all levels
+    that follow without a line of level 0 between.
     """
-    lines = levels(text)
-    own: list[str] = []
-    passages: list[tuple[int, list[str]]] = []
-    last = 0
-    for level, line in lines:
-        if level:
-            if last != level or not passages:
-                if last == 0:
-                    while own and not own[-1].strip():
-                        own.pop()
-                    if own and INTRO.match(own[-1]):
-                        own.pop()
-                passages.append((level, []))
-            passages[-1][1].append(line)
+    out: list[tuple[int, list[str], bool]] = []
+    for raw, (level, _) in zip(text.split("\n"), levels(text)):
+        if level and (not out or out[-1][0] != level):
+            announced = False
+            if out and out[-1][0] == 0:
+                own = out[-1][1]
+                end = len(own)
+                while end and not own[end - 1].strip():
+                    end -= 1
+                if end and INTRO.match(own[end - 1]):
+                    out.append((-1, own[end - 1 :], True))
+                    del own[end - 1 :]
+                    announced = True
+            elif out:
+                announced = out[-1][2]
+            out.append((level, [raw], announced))
+        elif not level and (not out or out[-1][0] != 0):
+            out.append((0, [raw], False))
         else:
-            own.append(line)
-        last = level
-    return "\n".join(own).strip(), [(level, "\n".join(x).strip()) for level, x in passages]
+            out[-1][1].append(raw)
+    return [(level, "\n".join(x), announced) for level, x, announced in out if x]
+
+
+def quoted(text: str) -> str:
+    """A stretch of quoted lines without their marks."""
+    return "\n".join(line for _, line in levels(text)).strip()
+
+
+def without_quotes(parts: list[tuple[int, str, bool]], linked: set[int]) -> tuple[str, int]:
+    """(the message without its quotes, number of quotes): the stretches that are linked or announced go, and with them what
+    introduces them."""
+    own, n = [], 0
+    for i, (level, text, announced) in enumerate(parts):
+        if level > 0 and (i in linked or announced):
+            n += 1
+        elif level >= 0:
+            own.append(text)
+    return "\n".join(own).strip(), n
 
 
 def marks(text: str) -> set[int]:
@@ -80,10 +102,12 @@ def marks(text: str) -> set[int]:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turn, role, text, n_quotes, parent, root) for every message, texts without their quotes.
 
-    parent: the turn of the conversation that the message's quotes of level 1 come from (the one with most of their
-    passages, paragraphs and lines, of equals the latest), null if they come from none or there are none; deeper quotes
-    count if no level 1 quote is found. Only earlier turns can be parents. root: where the chain of parents ends. In
-    order of (conv, root, turn) a conversation reads thread by thread, and each reply after what it answers.
+    A passage behind quote marks is a quote if it is linked to an earlier message or a line before it announces it ("On
+    .. wrote:"); only these go, so code and other lines that begin with the mark stay. parent: the turn of the
+    conversation that the message's quotes of level 1 come from (the one with most of their passages, paragraphs and
+    lines, of equals the latest), null if they come from none or there are none; deeper quotes count if no level 1 quote
+    is found. Only earlier turns can be parents. root: where the chain of parents ends. In order of (conv, root, turn) a
+    conversation reads thread by thread, and each reply after what it answers.
 
     Passages are compared by digests of their normalised text: letters and digits in lower case. Equal originals of a
     conversation meet in one sweep for each digest, which links a quote to the latest of them before it, so that no
@@ -94,32 +118,37 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     conv = messages.schema[conv_col].dataType.simpleString()
     turn = messages.schema[turn_col].dataType.simpleString()
     rows = messages.select(
-        F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("t")
+        F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"),
     )
+    # (conv, turn, h) stands for a message, as rows that agree in all three have the same quotes
+    rows = rows.withColumn("h", F.xxhash64("t"))
 
     def run(batches):
         for batch in batches:
-            own_text, n_quotes, originals, quotes = [], [], [], []
+            parts, originals, quotes = [], [], []
             for text in batch.column(3).to_pylist():
-                own, passages = parse_message(text or "")
-                own_text.append(own)
-                n_quotes.append(len(passages))
-                originals.append(sorted(marks(own)))
-                quotes.append([{"h": h, "level": level} for level, passage in passages for h in sorted(marks(passage))])
+                found = parse_message(text)
+                parts.append([{"level": level, "t": t, "a": a} for level, t, a in found])
+                originals.append(sorted(marks("\n".join(t for level, t, _ in found if level == 0).strip())))
+                quotes.append([{"m": m, "level": level, "p": p} for p, (level, t, _) in enumerate(found) if level > 0 for m in sorted(marks(quoted(t)))])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(own_text, pa.string()), pa.array(n_quotes, pa.int32()), pa.array(originals, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("h", pa.int64()), ("level", pa.int32())])))],
-                names=["conv", "turn", "role", "text", "n_quotes", "marks", "quotes"],
+                [*batch.columns[:3], batch.column(4), pa.array(parts, parts_type), pa.array(originals, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("m", pa.int64()), ("level", pa.int32()), ("p", pa.int32())])))],
+                names=["conv", "turn", "role", "h", "parts", "marks", "quotes"],
             )
 
-    parsed = materialize(map_batches(rows, run, f"conv {conv}, turn {turn}, role string, text string, n_quotes int, marks array<bigint>, quotes array<struct<h:bigint,level:int>>"))
+    parts_type = pa.list_(pa.struct([("level", pa.int32()), ("t", pa.string()), ("a", pa.bool_())]))
+    parsed = materialize(map_batches(rows, run, f"conv {conv}, turn {turn}, role string, h bigint, parts array<struct<level:int,t:string,a:boolean>>, marks array<bigint>, quotes array<struct<m:bigint,level:int,p:int>>"))
     placed = parsed.where("conv is not null and turn is not null")
-    quoted = placed.where("size(quotes) > 0").select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.h", "q.level").distinct()
+    asked = placed.where("size(quotes) > 0").select("conv", "turn", "h", F.explode("quotes").alias("q")).select("conv", "turn", "h", "q.m", "q.level", "q.p").distinct()
     # only digests that some message of the conversation quotes are of interest
-    wanted = quoted.select("conv", "h").distinct()
-    original = placed.select("conv", "turn", F.explode("marks").alias("h")).join(wanted, ["conv", "h"], "left_semi")
-    both = original.distinct().select("conv", "h", "turn", F.lit(None).cast("int").alias("level")).union(quoted.select("conv", "h", "turn", "level"))
-    before = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    wanted = asked.select("conv", "m").distinct()
+    original = placed.select("conv", "turn", F.explode("marks").alias("m")).join(wanted, ["conv", "m"], "left_semi").distinct()
+    none = F.lit(None)
+    both = original.select("conv", "m", "turn", none.cast("bigint").alias("h"), none.cast("int").alias("level"), none.cast("int").alias("p")).union(asked.select("conv", "m", "turn", "h", "level", "p"))
+    before = Window.partitionBy("conv", "m").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("source", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null and source is not null")
+    found = materialize(found.select("conv", "turn", "h", "level", "p", "source"))
     votes = found.groupBy("conv", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "source"))["source"].alias("parent"))
     links = materialize(best)
@@ -134,8 +163,20 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         if not moved:
             break
     known = links.join(roots, ["conv", "turn"])
-    out = parsed.select("conv", "turn", "role", "text", "n_quotes").join(known, ["conv", "turn"], "left")
-    return out.select("conv", "turn", "role", "text", F.col("n_quotes").cast("long").alias("n_quotes"), "parent", F.coalesce("root", "turn").alias("root"))
+    linked = found.groupBy("conv", "turn", "h").agg(F.collect_set("p").alias("linked"))
+    out = parsed.select("conv", "turn", "role", "h", "parts").join(linked, ["conv", "turn", "h"], "left").join(known, ["conv", "turn"], "left")
+    out = out.select("conv", "turn", "role", "parent", F.coalesce("root", "turn").alias("root"), "parts", "linked")
+
+    def assemble(batches):
+        for batch in batches:
+            texts, n = [], []
+            for parts, places in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                text, k = without_quotes([(x["level"], x["t"], x["a"]) for x in parts], set(places or ()))
+                texts.append(text)
+                n.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(n, pa.int64()), batch.column(3), batch.column(4)], names=["conv", "turn", "role", "text", "n_quotes", "parent", "root"])
+
+    return map_batches(out, assemble, f"conv {conv}, turn {turn}, role string, text string, n_quotes bigint, parent {turn}, root {turn}")
 
 
 def reply_ordered(messages: DataFrame, **columns: str) -> DataFrame:
@@ -144,5 +185,6 @@ def reply_ordered(messages: DataFrame, **columns: str) -> DataFrame:
 
 
 def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per message, thread by thread: its text without quotes, and the turn that it answers. Null texts are empty."""
     found = reply_ordered(read(spark, sf_dir, "conversations"))
     return found.select(F.col("conv").alias("conv_id"), "turn", "role", "text", "n_quotes", F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), (F.col("root") < F.col("turn")).alias("is_reply"))
