@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, decoded text and digests, beside its columns other than the text."""
-    keep = tuple(c for c in docs.columns if c not in ("text", "decoded"))
-    return bpe.bpe_round_trip(docs, bpe.load_vocabulary(), keep=keep, with_ids=True, with_text=True).withColumnRenamed("decoded", "text")
+    keep = tuple(c for c in docs.columns if c != "text")
+    return bpe.bpe_round_trip(docs, bpe.load_vocabulary(), keep=keep, with_ids=True, with_text=True, text_name="text")
 
 
 STAGES = [
