@@ -5,6 +5,7 @@ import pytest
 
 from weft.operators import graph
 from weft.operators.components import connected_components
+from weft.session import materialize_by
 from weft.sources import csr, tables
 
 #: The small graph of the golden values.
@@ -22,7 +23,7 @@ def sources(spark, *nodes):
 def test_golden_distances_by_every_strategy(spark):
     expected = {(0, n, d) for n, d in {0: 0, 1: 1, 3: 1, 2: 2, 4: 2}.items()} | {(1, n, d) for n, d in {2: 0, 3: 1, 4: 2, 0: 3, 1: 3}.items()}
     results = []
-    for strategy in ("shuffle", "broadcast", "block"):
+    for strategy in ("shuffle", "broadcast", "block", "halves", "scatter_reduce", "replicate"):
         found = graph.bfs(frame(spark, EDGES + EDGES[:2]), sources(spark, 0, 2), strategy)
         assert {tuple(r) for r in found.select("trial", "node", "dist").collect()} == expected
         results.append(found)
@@ -100,3 +101,42 @@ def test_components(spark):
             up[max(a, b)] = min(a, b)
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in up}
+
+
+def test_edges_and_ranks_stay_where_they_are(spark):
+    rng = random.Random(4)
+    edges = frame(spark, [(rng.randrange(300), rng.randrange(300)) for _ in range(2000)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links, name = materialize_by(edges, "src")
+        ranks, _ = materialize_by(spark.range(300).withColumnRenamed("id", "node"), "node")
+        joined = links.join(ranks, links.src == ranks.node)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        step = joined.groupBy("dst").count()
+        plan = ranks.join(step, ranks.node == step.dst, "left")._jdf.queryExecution().executedPlan().toString()
+        # what nodes are given moves, nothing else
+        assert plan.count("Exchange hashpartitioning(dst") == 1 and plan.count("Exchange ") == 1
+        more, _ = materialize_by(edges.limit(5), "src", into=name)
+        assert more.count() == links.count() + 5 or more.count() == 2005
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_strategies_agree_on_a_random_graph(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(None, 1), (2, None), (70, 71)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+    expected = set()
+    for trial, source in enumerate((0, 3, 71, 999)):
+        dist, front = {source: 0}, [source]
+        while front:
+            front = [b for a in front for b in links.get(a, ()) if b is not None and b not in dist and not dist.update({b: dist[a] + 1})]
+        expected |= {(trial, n, d) for n, d in dist.items()}
+    for strategy in ("shuffle", "broadcast", "block", "halves", "scatter_reduce", "replicate"):
+        found = graph.bfs(frame(spark, edges), sources(spark, 0, 3, 71, 999), strategy)
+        assert {tuple(r) for r in found.select("trial", "node", "dist").collect()} == expected, strategy
+    capped = graph.bfs(frame(spark, edges), sources(spark, 0), "replicate", max_levels=1).collect()
+    assert {(r["trial"], r["node"], r["dist"]) for r in capped} == {x for x in expected if x[0] == 0 and x[2] <= 1}

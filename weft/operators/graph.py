@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.exprs import owner_block
-from weft.session import materialize, parallelism
+from weft.functions.exprs import fold_node, owner_block
+from weft.session import materialize, materialize_by, parallelism, ship
 
 #: A frontier of at most so many nodes is broadcast; a larger one is shuffled.
 BROADCAST_NODES = 100_000
+#: Edges of a graph that may be sent to all tasks: 12 bytes each.
+REPLICATED_EDGES = 20_000_000
 
 
 def out_degree(edges: DataFrame, distinct: bool = True) -> DataFrame:
@@ -40,39 +44,100 @@ def pick_sources(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def bfs(edges: DataFrame, sources: DataFrame, strategy: str = "shuffle", max_levels: int | None = None) -> DataFrame:
     """(trial, node, dist): hops from each trial's source to every node that it reaches along the edges' direction.
 
-    Strategies differ in the exchange alone. "shuffle": edges stay partitioned by source and the frontier comes to them.
-    "broadcast": a frontier of at most BROADCAST_NODES rows is sent to all tasks, a larger one shuffled. "block": as
-    shuffle, with edges dealt by runs of node ids. Each level is one join and one anti-join; levels are written to the
-    shared folder, so a lost executor costs at most the level in hand.
+    Strategies differ in the exchange alone:
+    "shuffle" and "halves": edges and visited nodes lie bucketed by node id, "halves" with the ids' upper and lower half in
+    buckets of their own; in each level the nodes reached are the one thing that moves.
+    "broadcast": a frontier of at most BROADCAST_NODES rows is sent to all tasks, a larger one moves to the edges.
+    "block": as shuffle, with edges dealt by runs of node ids.
+    "scatter_reduce": every task gathers what its edges reach into one set for each owner of nodes, and owners merge sets.
+    "replicate": a graph of at most REPLICATED_EDGES edges goes to all tasks, which take trials whole; a larger one is
+    shuffled.
+    Levels are written to the shared folder, so a lost executor costs at most the level in hand.
     """
-    if strategy not in ("shuffle", "broadcast", "block"):
+    if strategy not in ("shuffle", "broadcast", "block", "halves", "scatter_reduce", "replicate"):
         raise ValueError(f"unknown strategy {strategy}")
     spark = edges.sparkSession
     links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    if strategy == "block":
-        parts = parallelism(spark)
+    start = sources.select("trial", "node").where("trial is not null and node is not null").distinct()
+    if strategy == "replicate":
+        links = materialize(links)
+        if links.limit(REPLICATED_EDGES + 1).count() <= REPLICATED_EDGES:
+            return _bfs_replicated(links, start, max_levels)
+    # with owners of nodes other than their hash, the owner takes the node's place as a key
+    owner = None
+    if strategy in ("block", "halves"):
+        parts = parallelism(spark) if strategy == "block" else 2
         top = links.agg(F.max(F.greatest("src", "dst")).alias("m")).first()["m"]
-        links = links.repartitionById(parts, owner_block(F.col("src"), (top or 0) + 1, parts).cast("int"))
-    elif strategy == "shuffle":
-        links = links.repartition("src")
-    links = materialize(links)
-    frontier = materialize(sources.select("trial", "node").distinct())
-    seen = frontier.withColumn("dist", F.lit(0))
+        half = parallelism(spark) // 2 or 1
+
+        def owner(node: Column) -> Column:
+            own = owner_block(node, (top or 0) + 1, parts)
+            return own if strategy == "block" else own * half + F.pmod(node, F.lit(half))
+
+    def place(node: str) -> Column:
+        return F.col(node) if owner is None else owner(F.col(node))
+
+    links, _ = materialize_by(links.select(place("src").alias("at"), "src", "dst"), "at")
+    fresh = start.select(place("node").alias("at"), "trial", "node", F.lit(0).alias("dist"))
+    seen, name = materialize_by(fresh, "at", partition_by="dist")
     level = 0
     while max_levels is None or level < max_levels:
+        frontier = seen.where(F.col("dist") == level).select("at", "trial", "node")
         level += 1
-        from_here = frontier
         if strategy == "broadcast" and frontier.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-            from_here = F.broadcast(frontier)
-        reached = links.join(from_here, links.src == from_here.node).select("trial", F.col("dst").alias("node")).distinct()
-        fresh = materialize(reached.join(seen, ["trial", "node"], "left_anti"))
-        if not fresh.limit(1).count():
+            frontier = F.broadcast(frontier)
+        reached = links.alias("e").join(frontier.alias("f"), (F.col("e.at") == F.col("f.at")) & (F.col("e.src") == F.col("f.node"))).select(place("dst").alias("at"), F.col("dst").alias("node"), "trial")
+        if strategy == "scatter_reduce":
+            sets = reached.groupBy("at", "trial").agg(F.collect_set("node").alias("nodes"))
+            reached = sets.select("at", "trial", F.explode("nodes").alias("node"))
+        else:
+            # all trials that reach a node meet at its owner, in one exchange
+            reached = reached.groupBy("at", "node").agg(F.collect_set("trial").alias("trials")).select("at", "node", F.explode("trials").alias("trial"))
+        known = seen.select(F.col("at").alias("at_"), F.col("trial").alias("trial_"), F.col("node").alias("node_"))
+        fresh = reached.join(known, (F.col("at") == F.col("at_")) & (F.col("node") == F.col("node_")) & (F.col("trial") == F.col("trial_")), "left_anti")
+        seen, name = materialize_by(fresh.select("at", "trial", "node", F.lit(level).alias("dist")), "at", into=name, partition_by="dist")
+        if seen.where(F.col("dist") == level).isEmpty():
             break
-        seen = seen.unionByName(fresh.withColumn("dist", F.lit(level)))
-        if level % 8 == 0:
-            seen = materialize(seen)
-        frontier = fresh
-    return seen
+    return seen.select("trial", "node", "dist")
+
+
+def _bfs_replicated(links: DataFrame, sources: DataFrame, max_levels: int | None) -> DataFrame:
+    """BFS of each trial in one task over the whole graph, which all tasks get as sorted arrays."""
+    spark = links.sparkSession
+    rows = links.orderBy("src", "dst").toArrow()
+    src, dst = (rows[c].to_numpy() for c in ("src", "dst"))
+    nodes, begins = np.unique(src, return_index=True)
+    ids = np.unique(np.concatenate([nodes, dst]))
+    offsets = np.zeros(len(ids) + 1, np.int64)
+    offsets[np.searchsorted(ids, nodes) + 1] = np.diff(np.append(begins, len(src)))
+    shared = spark.sparkContext.broadcast((ids, np.cumsum(offsets), np.searchsorted(ids, dst).astype(np.int32)))
+
+    def run(frames):
+        ids, offsets, targets = shared.value
+        for frame in frames:
+            for trial, node in zip(frame["trial"], frame["node"]):
+                dist = np.full(len(ids), -1, np.int32)
+                at = int(np.searchsorted(ids, node))
+                if at == len(ids) or ids[at] != node:
+                    # a source without edges reaches itself
+                    yield pd.DataFrame({"trial": [trial], "node": [node], "dist": np.zeros(1, np.int32)})
+                    continue
+                front, level = np.array([at]), 0
+                dist[front] = 0
+                while len(front) and (max_levels is None or level < max_levels):
+                    level += 1
+                    n = offsets[front + 1] - offsets[front]
+                    to = targets[np.repeat(offsets[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    to = to[dist[to] < 0]
+                    dist[to] = level
+                    front = np.unique(to)
+                found = np.flatnonzero(dist >= 0)
+                for a in range(0, len(found), 1 << 18):
+                    part = found[a : a + (1 << 18)]
+                    yield pd.DataFrame({"trial": np.full(len(part), trial), "node": ids[part], "dist": dist[part]})
+
+    ship()
+    return sources.repartition(parallelism(spark), "trial", "node").mapInPandas(run, "trial bigint, node bigint, dist int")
 
 
 def level_sizes(distances: DataFrame) -> DataFrame:
@@ -100,15 +165,17 @@ def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, erro
         raise ValueError("a graph needs nodes")
     links = edges.select("src", "dst").distinct()
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = materialize(links.join(degree, "src").select("src", (F.col("dst") % n_nodes).alias("dst"), "deg").repartition("src"))
-    ranks = materialize(spark.range(n_nodes).select(F.col("id").alias("node"), F.lit(1.0 / n_nodes).alias("rank")))
+    # edges and ranks lie bucketed by node: in each step only what nodes are given moves
+    links, _ = materialize_by(links.join(degree, "src").select("src", fold_node(F.col("dst"), n_nodes).alias("dst"), "deg"), "src")
+    ranks, _ = materialize_by(spark.range(n_nodes).select(F.col("id").alias("node"), F.lit(1.0 / n_nodes).alias("rank")), "node")
     errors: list[float] = []
     while len(errors) < (iterations if iterations is not None else most):
         given = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         step = ranks.join(given, ranks.node == given.dst, "left").select("node", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("rank"))
-        step = materialize(step)
-        errors.append(step.agg(F.sqrt(F.sum(F.pow(F.col("rank") - F.col("old"), 2))).alias("e")).first()["e"])
-        ranks = step.select("node", "rank")
+        change = Observation()
+        step = step.observe(change, F.sum(F.pow(F.col("rank") - F.col("old"), 2)).alias("e"))
+        ranks, _ = materialize_by(step.select("node", "rank"), "node")
+        errors.append(float(change.get["e"]) ** 0.5)
         if iterations is None and errors[-1] < error:
             break
     return ranks, errors

@@ -46,6 +46,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, key: str, into: str | None = None, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """(table, name): df as a table in the shared folder, bucketed by `key` into as many buckets as there are shuffle
+    partitions. Joins and groupings by the key then leave its rows where they are. With `into` the rows are added to that
+    table. The table reads as it is now: what is added later isn't in it.
+    """
+    spark = df.sparkSession
+    name = into or f"weft_{uuid.uuid4().hex}"
+    n = parallelism(spark)
+    writer = df.repartition(n, key).write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.saveAsTable(name)
+    return spark.table(name), name
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
