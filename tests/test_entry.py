@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from weft.plans import catalogue
+from weft.plans import catalogue, formats  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

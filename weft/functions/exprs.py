@@ -37,6 +37,11 @@ def fold_node(node: Column, n_nodes: int) -> Column:
     return node % F.lit(n_nodes)
 
 
+def part_name(number: Column) -> Column:
+    """The name of a part file: part- and the number in five digits at least."""
+    return F.format_string("part-%05d", number)
+
+
 def label_and_text(line: Column) -> tuple[Column, Column]:
     """(label, text) of a review line: the digit after "__label__", less one, and what follows a space."""
     return F.substring(line, 10, 1).try_cast("int") - 1, F.substring(line, 12, 2_147_483_647)

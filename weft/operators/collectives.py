@@ -60,6 +60,27 @@ def concat_ordered(rows: DataFrame, key: str, place: str, body: str) -> DataFram
     return rows.groupBy(key).agg(F.array_join(ordered, "").alias(body))
 
 
+#: Collectives by name, as functions of messages, place of the receiver, and number of members.
+COLLECTIVES = {
+    "all_to_all": all_to_all,
+    "broadcast": lambda rows, place, members: broadcast(rows, members),
+    "gather": lambda rows, place, members: gather(rows),
+    "scatter": lambda rows, place, members: scatter(rows, place, members),
+    "pair": lambda rows, place, members: pair(rows, members),
+}
+
+
+def records(rows: DataFrame, place: Column, size: Column, members: int, names: list[str] | None = None) -> DataFrame:
+    """(benchmark, senders, receivers, n, payload_size): what each of the named collectives (all without names) moves."""
+    out = None
+    for name in names or COLLECTIVES:
+        moved = COLLECTIVES[name](rows, place, members)
+        one = moved.agg(F.countDistinct("sender").alias("senders"), F.countDistinct("receiver").alias("receivers"), F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("payload_size"))
+        one = one.select(F.lit(name).alias("benchmark"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def traffic(moved: DataFrame, size: Column) -> DataFrame:
     """(sender, receiver, n, bytes) of what is moved."""
     return moved.groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("bytes"))

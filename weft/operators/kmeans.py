@@ -16,17 +16,20 @@ MOST_VALUES = 4_000_000
 
 
 def _nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster, squared distance); of clusters equally near the first. Differences are squared and added as they are."""
-    best = np.full(len(points), np.inf)
-    owner = np.zeros(len(points), np.int64)
-    for i, c in enumerate(centroids):
-        d = np.zeros(len(points))
-        for j in range(points.shape[1]):
-            d += (points[:, j] - c[j]) ** 2
-        closer = d < best
-        best[closer] = d[closer]
-        owner[closer] = i
-    return owner, best
+    """(cluster, squared distance); of clusters equally near the first.
+
+    One matrix product tells the near clusters; where several are near within rounding, their distances are worked out
+    from squared differences, as is every distance that is given.
+    """
+    size, own = (points**2).sum(axis=1), (centroids**2).sum(axis=1)
+    rough = size[:, None] - 2 * points @ centroids.T + own
+    owner = rough.argmin(axis=1)
+    slack = 1e-9 * (size + own.max()) + 1e-12
+    close = rough <= (rough.min(axis=1) + slack)[:, None]
+    for i in np.flatnonzero(close.sum(axis=1) > 1):
+        at = np.flatnonzero(close[i])
+        owner[i] = at[((points[i] - centroids[at]) ** 2).sum(axis=1).argmin()]
+    return owner, ((points - centroids[owner]) ** 2).sum(axis=1)
 
 
 def _check(centroids: np.ndarray) -> np.ndarray:
@@ -73,7 +76,8 @@ def step(points: DataFrame, centroids: np.ndarray, features: str) -> DataFrame:
                 x = np.stack(f["x"].to_numpy())
                 owner, _ = _nearest(x, shared.value)
                 n += np.bincount(owner, minlength=k)
-                np.add.at(total, owner, x)
+                for j in range(d):
+                    total[:, j] += np.bincount(owner, weights=x[:, j], minlength=k)
         at = np.flatnonzero(n)
         yield pd.DataFrame({"cluster": at.astype(np.int32), "n": n[at], "total": list(total[at])})
 
@@ -115,6 +119,11 @@ def first_points(points: DataFrame, id_col: str, features: str, k: int) -> np.nd
     return np.array([r["x"] for r in rows])
 
 
+def uniform_points(k: int, dims: int, low: float = 0.0, high: float = 100.0, seed: int = 33) -> np.ndarray:
+    """k centroids whose values lie evenly from low to below high, the same for a seed."""
+    return np.random.default_rng(seed).uniform(low, high, (k, dims))
+
+
 def centroid_frame(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
     """(cluster, j, value), a row for each number."""
     rows = [(i, j, float(v)) for i, c in enumerate(centroids) for j, v in enumerate(c)]

@@ -9,32 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.exprs import range_bucket
-from weft.session import shared_dir
+from weft.session import materialize, parallelism, shared_dir
+from weft.sources.tables import sample_rows
 
 
 def quantile_bounds(df: DataFrame, key: Column, parts: int) -> DataFrame:
     """(bounds): the keys at places int(i / parts * n), i = 1 .. parts - 1, of the sorted keys that aren't null.
 
-    Keys are counted first, and running counts are taken over the counts of coarse ranges and then inside the few
-    ranges that hold a wanted place, so that no task sorts all rows.
+    Keys are counted first and dealt into ranges of about equal numbers of keys, whatever they begin with. Running counts
+    are taken over the ranges, a row each, and inside the few ranges that hold a wanted place.
     """
     counts = df.select(key.alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    # a range of keys is a prefix of their bytes, so ranges are in order of keys
-    coarse = counts.withColumn("p", F.substring(F.hex(F.col("k").cast("binary")), 1, 6))
+    # written first: what each range holds may not change between counting and picking
+    dealt = materialize(counts.repartitionByRange(parallelism(df.sparkSession), "k").withColumn("p", F.spark_partition_id()))
     by_range = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = coarse.groupBy("p").agg(F.sum("n").alias("rn")).withColumn("start", F.coalesce(F.sum("rn").over(by_range), F.lit(0)))
-    total = counts.agg(F.sum("n").alias("total"))
+    ranges = dealt.groupBy("p").agg(F.sum("n").alias("rn")).withColumn("start", F.coalesce(F.sum("rn").over(by_range), F.lit(0)))
+    total = dealt.agg(F.sum("n").alias("total"))
     wanted = total.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.struct(i.alias("i"), F.floor(i / F.lit(parts) * F.col("total")).cast("long").alias("at")))).alias("w")).select("w.i", "w.at") if parts > 1 else None
     if wanted is None:
         return total.select(F.array().cast("array<string>").alias("bounds"))
     # parts - 1 rows
     hit = ranges.join(F.broadcast(wanted), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("rn")))
-    inside = Window.partitionBy("i").orderBy("k")
-    picked = coarse.join(F.broadcast(hit.select("p", "i", "at", "start")), "p").withColumn("upto", F.col("start") + F.sum("n").over(inside))
-    picked = picked.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+    inside = Window.partitionBy("p").orderBy("k")
+    some = hit.groupBy("p").agg(F.first("start").alias("start"), F.collect_list(F.struct("at", "i")).alias("places"))
+    picked = dealt.join(F.broadcast(some), "p").withColumn("upto", F.col("start") + F.sum("n").over(inside))
+    picked = picked.select("k", "n", "upto", F.explode(F.filter("places", lambda x: (x["at"] < F.col("upto")) & (x["at"] >= F.col("upto") - F.col("n")))).alias("x")).select("k", "x.i")
     return picked.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda x: x["k"]).alias("bounds"))
 
 
+def sampled_bounds(df: DataFrame, key_col: str, parts: int, one_in: int) -> DataFrame:
+    """quantile_bounds of one row in `one_in`, picked by the key's hash: cheap, and the same on every run."""
+    return quantile_bounds(sample_rows(df, key_col, one_in), F.col(key_col), parts)
+
+
 def with_bucket(df: DataFrame, key: Column, bounds: DataFrame) -> DataFrame:
     """df with the array of bounds (one row) and each row's bucket."""
     return df.crossJoin(F.broadcast(bounds)).withColumn("bucket", range_bucket(key, F.col("bounds"))).drop("bounds")
@@ -47,7 +54,8 @@ def bucket_stats(df: DataFrame, key: Column, parts: int) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[str], parts: int) -> DataFrame:
-    """df with `rank`, each row's place (from 1) in the order of the given columns, nulls last; ties in no set order.
+    """df with `rank`, each row's place (from 1) in the order of the given columns, nulls last. Rows that agree in all of
+    these columns follow each other in no set order.
 
     Rows are dealt by range and ranked inside their partition; the partitions' sizes give what comes before each, so
     that no single task ranks everything.
@@ -106,12 +114,13 @@ def size_map(sizes: DataFrame) -> DataFrame:
 
 
 def validate_sort(ranked: DataFrame, order: list[str]) -> DataFrame:
-    """(n, distinct_ranks, inversions): rows whose first key is below that of the row before are inversions.
+    """(n, distinct_ranks, inversions): rows whose order columns, nulls last, are below those of the row before are
+    inversions.
 
     Neighbours are compared inside blocks of ranks and across the blocks' edges.
     """
-    key = order[0]
-    block = ranked.select("rank", F.col(key).alias("k"), F.floor(F.col("rank") / 65_536).alias("b"))
+    key = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"z_{c}"), F.col(c).alias(f"k_{c}"))])
+    block = ranked.select("rank", key.alias("k"), F.floor(F.col("rank") / 65_536).alias("b"))
     # the last row of a block also begins the next one's comparison
     edge = block.where("rank % 65536 = 65535").select("rank", "k", (F.col("b") + 1).alias("b")).withColumn("copy", F.lit(True))
     both = block.withColumn("copy", F.lit(False)).union(edge)

@@ -60,6 +60,12 @@ def load_times(events: DataFrame) -> DataFrame:
     return out.select("worker", F.coalesce(F.col("b") - F.col("a"), F.lit(0)).alias("ms"))
 
 
+def distinct_trials(events: DataFrame) -> DataFrame:
+    """(trial, n_iterations, first, last): the trials of the traces and their distinct iterations."""
+    rows = events.where("trial is not null and iter is not null")
+    return rows.groupBy("trial").agg(F.countDistinct("iter").alias("n_iterations"), F.min("iter").alias("first"), F.max("iter").alias("last"))
+
+
 def makespan(events: DataFrame) -> DataFrame:
     """(ms): the last worker's end less the first one's start."""
     last = F.max(F.when(F.col("key") == "worker_end", F.col("ts")))

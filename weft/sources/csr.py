@@ -17,11 +17,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEADER = 17
 
 
-def _open(path: str):
+def _file_system(path: str):
     if "://" in path or path.startswith("file:"):
-        fs, inner = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-    else:
-        fs, inner = pafs.LocalFileSystem(), path
+        return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return pafs.LocalFileSystem(), path
+
+
+def _open(path: str):
+    fs, inner = _file_system(path)
     return fs.open_input_file(inner)
 
 
@@ -64,13 +67,13 @@ class CsrReader(DataSourceReader):
             f.seek(HEADER + 8 * a)
             offsets = np.frombuffer(f.read(8 * (b - a + 1)), "<u8").astype(np.int64)
             f.seek(HEADER + 8 * (nodes + 1) + 4 * int(offsets[0]))
-            at = 0
-            degrees = np.diff(offsets)
-            source = np.repeat(np.arange(a, b, dtype=np.int64), degrees)
-            while at < len(source):
-                n = min(1 << 16, len(source) - at)
+            at, end = int(offsets[0]), int(offsets[-1])
+            while at < end:
+                n = min(1 << 16, end - at)
                 dst = np.frombuffer(f.read(4 * n), "<i4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(source[at : at + n]), pa.array(dst)], schema=schema)
+                # an edge's source is the last node that begins at or before it
+                source = a + np.searchsorted(offsets, np.arange(at, at + n), "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(dst)], schema=schema)
                 at += n
 
 
@@ -112,3 +115,32 @@ def write_csr(path: str, edges: list[tuple[int, int]], directed: bool = True) ->
         f.write(np.array([len(edges), n], "<u8").tobytes())
         f.write(offsets.astype("<u8").tobytes())
         f.write(np.array([edges[i][1] for i in order], "<i4").tobytes())
+
+
+def write_csr_frame(edges: DataFrame, path: str, directed: bool = True) -> None:
+    """A graph file from (src, dst), nodes in order and a node's targets in order. The format is one file, so the sorted
+    table passes the driver, a partition at a time; nothing is held whole but the partition."""
+    from pyspark.sql import functions as F
+
+    links = edges.select("src", "dst").where("src is not null and dst is not null")
+    size = links.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).alias("n")).first()
+    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("d")).orderBy("src")
+    fs, inner = _file_system(path)
+    with fs.open_output_stream(inner) as f:
+        f.write(bytes([directed]))
+        f.write(np.array([size["m"], size["n"], 0], "<u8").tobytes())
+        at, upto = 0, 0
+        for r in degrees.toLocalIterator():
+            # nodes without edges begin where the next one does
+            f.write(np.full(r["src"] - at, upto, "<u8").tobytes())
+            upto += r["d"]
+            f.write(np.array([upto], "<u8").tobytes())
+            at = r["src"] + 1
+        f.write(np.full(size["n"] - at, upto, "<u8").tobytes())
+        held: list[int] = []
+        for r in links.orderBy("src", "dst").toLocalIterator():
+            held.append(r["dst"])
+            if len(held) >= 1 << 16:
+                f.write(np.array(held, "<i4").tobytes())
+                held.clear()
+        f.write(np.array(held, "<i4").tobytes())

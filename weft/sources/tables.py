@@ -43,10 +43,7 @@ def read_graph(spark: SparkSession, path: str, first: int | None = None, last: i
     if path.endswith(".sg"):
         from weft.sources.csr import read_csr
 
-        edges = read_csr(spark, path)
-        if first is not None:
-            edges = edges.where(F.col("src") >= first)
-        return edges if last is None else edges.where(F.col("src") < last)
+        return read_csr(spark, path, first, last)
     return read_edge_list(spark, path, first, last)
 
 
@@ -92,16 +89,18 @@ def take_mebibytes(texts: DataFrame, order_col: str, text_col: str, mib: float)
     return out.where(F.col("before") <= F.lit(int(mib * 2**20))).drop("__block", "__start")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(worker, node, dist) of result files: arrays of workers with lists of [node, distance]."""
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(worker, node, dist) of result files: arrays of workers with lists of [node, distance]; with `lines` one worker in
+    each line."""
     schema = "worker_id long, timestamps array<struct<key:string,value:string>>, local_distances array<array<long>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     return rows.select(F.col("worker_id").alias("worker"), F.explode("local_distances").alias("x")).select("worker", F.col("x")[0].alias("node"), F.col("x")[1].cast("int").alias("dist"))
 
 
 def sample_rows(df: DataFrame, key: str, one_in: int) -> DataFrame:
-    """Every row whose key's hash is divisible by `one_in`: the same rows on every run."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)
+    """Every row whose key's hash (the first 32 bits of its MD5) is divisible by `one_in`: the same rows on every run. A
+    null key is never in it."""
+    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % one_in == 0)
 
 
 def row_ranges(spark: SparkSession, size: int, workers: int, row_size: int) -> DataFrame:
