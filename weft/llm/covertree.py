@@ -19,8 +19,8 @@ from weft.session import materialize
 BLOCK, PIVOTS, SAMPLE = 6000, 256, 4096
 #: A node with so few vectors is a leaf and is compared vector by vector.
 LEAF = 16
-#: Guards against rounding: of single precision products, and of bounds in double precision.
-SLACK32, SLACK = 1e-5, 1e-9
+#: Guards against rounding: of single precision products, for each dimension, and of bounds in double precision.
+SLACK32, SLACK = 2.4e-7, 1e-9
 
 
 def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,36 +110,49 @@ class Links:
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         self.ids, self.counts = ids, counts
         self.n = np.zeros(len(ids), np.int64)
-        self.up = list(range(len(ids)))
+        self.up = np.arange(len(ids))
 
     def root(self, i: int) -> int:
         up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            if self.ids[j] < self.ids[i]:
-                i, j = j, i
-            self.up[j] = i
+        return int(i)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        """The roots of these vectors, which point straight to them from now on."""
+        top = self.up[at]
+        while True:
+            above = self.up[top]
+            if np.array_equal(above, top):
+                self.up[at] = top
+                return top
+            top = above
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a[i] with b[i]: a step for each pair of classes that differ, not for each pair of vectors."""
+        x, y = self.roots(a), self.roots(b)
+        differ = x != y
+        if differ.any():
+            for key in np.unique(np.minimum(x, y)[differ] * len(self.up) + np.maximum(x, y)[differ]).tolist():
+                i, j = self.root(key // len(self.up)), self.root(key % len(self.up))
+                if i != j:
+                    if self.ids[j] < self.ids[i]:
+                        i, j = j, i
+                    self.up[j] = i
 
     def whole(self, a: range, b: range) -> None:
         """Every vector of a links with every vector of b."""
         self.n[a.start : a.stop] += self.counts[b.start : b.stop].sum()
         self.n[b.start : b.stop] += self.counts[a.start : a.stop].sum()
-        for i in a:
-            self.join(i, b.start)
-        for j in b:
-            self.join(a.start, j)
+        self.join(np.arange(a.start, a.stop), np.full(len(a), b.start))
+        self.join(np.arange(b.start, b.stop), np.full(len(b), a.start))
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
         np.add.at(self.n, a, self.counts[b])
         np.add.at(self.n, b, self.counts[a])
-        for i, j in zip(a.tolist(), b.tolist()):
-            self.join(i, j)
+        if len(a):
+            self.join(a, b)
 
 
 def dual_traversal(a: CoverTree, b: CoverTree, links: Links, shift: int, cosine: float) -> None:
@@ -150,6 +163,7 @@ def dual_traversal(a: CoverTree, b: CoverTree, links: Links, shift: int, cosine:
     """
     own = a is b
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
+    slack = SLACK32 * (a.points.shape[1] + 4)
     todo = [(0, 0)]
 
     def kids(tree: CoverTree, node: int) -> np.ndarray:
@@ -182,11 +196,11 @@ def dual_traversal(a: CoverTree, b: CoverTree, links: Links, shift: int, cosine:
                     continue
                 product = a.single[a.centre[rows]] @ b.single[b.centre[part]].T
                 if not a.radius[rows].any() and not b.radius[part].any():
-                    i, j = np.nonzero(product >= np.float32(cosine - SLACK32))
+                    i, j = np.nonzero(product >= np.float32(cosine - slack))
                 else:
                     # a distance of at most `limit` is a cosine of at least 1 - limit**2 / 2
                     limit = np.minimum(reach + a.radius[rows][:, None] + b.radius[part][None, :], 2.0)
-                    i, j = np.nonzero(product >= 1.0 - limit**2 / 2 - SLACK32)
+                    i, j = np.nonzero(product >= 1.0 - limit**2 / 2 - slack)
                 p, q = rows[i], part[j]
                 if same:
                     p, q = p[p <= q], q[p <= q]
@@ -331,8 +345,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 links = Links(ids, n)
                 dual_traversal(a, b, links, shift, cosine)
                 at = np.flatnonzero(links.n)
-                roots = [ids[links.root(int(i))] for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links.n[at], pa.int64()), pa.array(roots, type=pa.array(ids).type)], names=["id", "n", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links.n[at], pa.int64()), pa.array(ids[links.roots(at)])], names=["id", "n", "root"])
 
     pairs = wanted.hint("shuffle_hash").join(left, ["d", "ca", "sa"]).join(right, ["d", "cb", "sb"])
     pairs = pairs.select(F.expr("ca = cb and sa = sb").alias("same"), "ta", "tb")
@@ -354,5 +367,6 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: its links, the least id that links reach, and whether that is its own."""
     found = embedding_links(read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
