@@ -169,3 +169,24 @@ def test_copies_that_share_an_id_or_have_none(spark):
     found = sorted((str(r["doc_id"]), " ".join((r["text"] or "").lower().split())) for r in out.collect())
     assert found == sorted([("0", words), ("1", "seven eight nine ten eleven"), ("1", "twelve"), ("3", ""), ("None", "a b c d e f"), ("None", ""), ("None", "")])
     assert out.columns == [*docs.columns, "weft_odd"]
+
+
+def test_recall_just_above_the_threshold():
+    rng = random.Random(17)
+    found = total = 0
+    while total < 250:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(60, 300))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 60)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**9)}"
+        el, w, doc = weighted_shingles([" ".join(words).encode(), " ".join(other).encode()], 5)
+        a, b = ((el[doc == i], w[doc == i]) for i in (0, 1))
+        likeness = max(probability_jaccard(*a, *b))
+        if not 0.8 <= likeness < 0.86:
+            continue
+        total += 1
+        sig = prob_minhash(el, w.astype(float), doc, 2)
+        keys = neardup.band_keys(sig)
+        found += bool((keys[0] == keys[1]).any()) and (sig[0] == sig[1]).mean() >= neardup.LIKELY
+    # one in 10,000 by the bands, and 4.8 standard deviations by the gate
+    assert found >= total - 1
