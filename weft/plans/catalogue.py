@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.exprs import owner_block, owner_cyclic, owner_half
 from weft.operators import collectives, graph, gridsearch, kmeans, sort, trace
-from weft.session import materialize
+from weft.session import materialize, spread
 from weft.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,7 +390,7 @@ def text_parse_limit(spark, sf_dir):
     g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w)
     SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def text_ngrams(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)).alias("w"))
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)).alias("w"))
     pairs = F.expr("transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(x, ' ', w[i + 1]))")
     return words.select(F.explode(F.concat("w", pairs)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 

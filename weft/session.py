@@ -65,6 +65,12 @@ def materialize_by(df: DataFrame, key: str, into: str | None = None, partition_b
     return spark.table(name), name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes in fewer partitions than there are cores, as small files do; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
