@@ -2,10 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import graph
 from weft.operators.components import connected_components
-from weft.session import materialize_by
+from weft.session import joined_by_part_of_keys, materialize_by
 from weft.sources import csr, tables
 
 #: The small graph of the golden values.
@@ -117,6 +118,15 @@ def test_edges_and_ranks_stay_where_they_are(spark):
         plan = ranks.join(step, ranks.node == step.dst, "left")._jdf.queryExecution().executedPlan().toString()
         # what nodes are given moves, nothing else
         assert plan.count("Exchange hashpartitioning(dst") == 1 and plan.count("Exchange ") == 1
+        # in a level of a search the nodes reached move, and neither edges nor frontier nor visited nodes do
+        at = edges.select(F.col("src").alias("at"), "src", "dst")
+        around, _ = materialize_by(at, "at")
+        seen, _ = materialize_by(spark.range(20).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("trial"), F.col("id").alias("node"), F.lit(0).alias("dist")), "at", partition_by="dist")
+        frontier = seen.where("dist = 0").select("at", "trial", "node")
+        with joined_by_part_of_keys(spark):
+            for sets in (False, True):
+                plan = graph._next_level(around, frontier, seen, None, sets)._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("Exchange ") == 1, plan
         more, _ = materialize_by(edges.limit(5), "src", into=name)
         assert more.count() == links.count() + 5 or more.count() == 2005
     finally:

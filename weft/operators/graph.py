@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.exprs import fold_node, owner_block
-from weft.session import materialize, materialize_by, parallelism, ship
+from weft.session import joined_by_part_of_keys, materialize, materialize_by, parallelism, ship
 
 #: A frontier of at most so many nodes is broadcast; a larger one is shuffled.
 BROADCAST_NODES = 100_000
@@ -49,7 +51,8 @@ def bfs(edges: DataFrame, sources: DataFrame, strategy: str = "shuffle", max_lev
     buckets of their own; in each level the nodes reached are the one thing that moves.
     "broadcast": a frontier of at most BROADCAST_NODES rows is sent to all tasks, a larger one moves to the edges.
     "block": as shuffle, with edges dealt by runs of node ids.
-    "scatter_reduce": every task gathers what its edges reach into one set for each owner of nodes, and owners merge sets.
+    "scatter_reduce": every task gathers what its edges reach into sets of trials and nodes, which are merged where the
+    nodes belong.
     "replicate": a graph of at most REPLICATED_EDGES edges goes to all tasks, which take trials whole; a larger one is
     shuffled.
     Levels are written to the shared folder, so a lost executor costs at most the level in hand.
@@ -86,21 +89,32 @@ def bfs(edges: DataFrame, sources: DataFrame, strategy: str = "shuffle", max_lev
         level += 1
         if strategy == "broadcast" and frontier.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
             frontier = F.broadcast(frontier)
-        reached = links.alias("e").join(frontier.alias("f"), (F.col("e.at") == F.col("f.at")) & (F.col("e.src") == F.col("f.node"))).select(place("dst").alias("at"), F.col("dst").alias("node"), "trial")
-        if strategy == "scatter_reduce":
-            sets = reached.groupBy("at", "trial").agg(F.collect_set("node").alias("nodes"))
-            reached = sets.select("at", "trial", F.explode("nodes").alias("node"))
-        else:
-            # all trials that reach a node meet at its owner, in one exchange
-            reached = reached.groupBy("at", "node").agg(F.collect_set("trial").alias("trials")).select("at", "node", F.explode("trials").alias("trial"))
-        known = seen.select(F.col("at").alias("at_"), F.col("trial").alias("trial_"), F.col("node").alias("node_"))
-        fresh = reached.join(known, (F.col("at") == F.col("at_")) & (F.col("node") == F.col("node_")) & (F.col("trial") == F.col("trial_")), "left_anti")
-        seen, name = materialize_by(fresh.select("at", "trial", "node", F.lit(level).alias("dist")), "at", into=name, partition_by="dist")
+        with joined_by_part_of_keys(spark):
+            fresh = _next_level(links, frontier, seen, owner, strategy == "scatter_reduce").withColumn("dist", F.lit(level))
+            seen, name = materialize_by(fresh, "at", into=name, partition_by="dist", dealt=True)
         if seen.where(F.col("dist") == level).isEmpty():
             break
     return seen.select("trial", "node", "dist")
 
 
+def _next_level(links: DataFrame, frontier: DataFrame, seen: DataFrame, owner: Callable[[Column], Column] | None, sets: bool = False) -> DataFrame:
+    """(at, trial, node) of the nodes that the frontier reaches first. What is reached moves to its owner's place; edges,
+    frontier and visited nodes stay."""
+    both = links.alias("e").join(frontier.alias("f"), (F.col("e.at") == F.col("f.at")) & (F.col("e.src") == F.col("f.node")))
+    reached = both.select((F.col("dst") if owner is None else owner(F.col("dst"))).alias("at"), F.col("dst").alias("node"), "trial")
+    if owner is not None:
+        reached = reached.repartition(parallelism(links.sparkSession), "at").distinct()
+    elif sets:
+        # one set of nodes for each place and trial, merged where they belong
+        reached = reached.groupBy("at").agg(F.collect_set(F.struct("trial", "node")).alias("found")).select("at", F.explode("found").alias("x")).select("at", "x.trial", "x.node")
+    else:
+        # all trials that reach a node meet there, in one exchange
+        reached = reached.groupBy("at").agg(F.collect_set("trial").alias("trials")).select("at", F.col("at").alias("node"), F.explode("trials").alias("trial"))
+    known = seen.select(F.col("at").alias("at_"), F.col("trial").alias("trial_"), F.col("node").alias("node_"))
+    fresh = reached.join(known, (F.col("at") == F.col("at_")) & (F.col("node") == F.col("node_")) & (F.col("trial") == F.col("trial_")), "left_anti")
+    return fresh.select("at", "trial", "node")
+
+
 def _bfs_replicated(links: DataFrame, sources: DataFrame, max_levels: int | None) -> DataFrame:
     """BFS of each trial in one task over the whole graph, which all tasks get as sorted arrays."""
     spark = links.sparkSession

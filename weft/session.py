@@ -6,6 +6,8 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -50,21 +52,33 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, key: str, into: str | None = None, partition_by: str | None = None) -> tuple[DataFrame, str]:
+def materialize_by(df: DataFrame, key: str, into: str | None = None, partition_by: str | None = None, dealt: bool = False) -> tuple[DataFrame, str]:
     """(table, name): df as a table in the shared folder, bucketed by `key` into as many buckets as there are shuffle
     partitions. Joins and groupings by the key then leave its rows where they are. With `into` the rows are added to that
-    table. The table reads as it is now: what is added later isn't in it.
+    table. The table reads as it is now: what is added later isn't in it. dealt: df already lies in partitions by the key.
     """
     spark = df.sparkSession
     name = into or f"weft_{uuid.uuid4().hex}"
     n = parallelism(spark)
-    writer = df.repartition(n, key).write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key)
+    writer = (df if dealt else df.repartition(n, key)).write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.saveAsTable(name)
     return spark.table(name), name
 
 
+@contextmanager
+def joined_by_part_of_keys(spark: SparkSession) -> Iterator[None]:
+    """Here joins take rows that lie together by some of their keys as they lie, as groupings do anyway."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if it comes in fewer partitions than there are cores, as small files do; else df itself."""
     cores = df.sparkSession.sparkContext.defaultParallelism
