@@ -390,5 +390,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the least id with the same words, its class of near-duplicates, and whether it is the one kept."""
     found = near_duplicate_classes(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"), F.col("class").alias("class_id"), "kept")
