@@ -21,7 +21,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the split pattern of the byte-level format.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a cache before it is emptied: bounds a worker's memory.
-CACHE = 200_000
+CACHE = 250_000
 
 
 def byte_letters() -> list[str]:
