@@ -35,3 +35,36 @@ OP8 = r"""
     component AS (SELECT node, min(reached) AS c FROM walk GROUP BY node)
     SELECT d.doc_id, coalesce(rep.rep, d.doc_id) AS copy_of, coalesce(component.c, d.doc_id) AS class_id, coalesce(component.c, d.doc_id) = d.doc_id AS kept
     FROM documents d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN component ON component.node = rep.rep"""
+#: Scores of all anchors with all rows, positives by rank, negatives by rank among those in the window.
+OP11 = """
+    WITH r AS MATERIALIZED (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor, a.label AS own, a.v AS av, b.vec_id AS other, b.label, CAST(coalesce(list_inner_product(a.v, b.v), 0) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v)),
+    p AS (SELECT anchor, own, av, other AS positive_id, score AS positive_score FROM s WHERE label = own AND other <> anchor QUALIFY row_number() OVER (PARTITION BY anchor, own, av ORDER BY score DESC, other) <= 5),
+    n AS (SELECT p.anchor AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.own, p.av, positive_id, positive_score ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor = p.anchor AND s.own = p.own AND s.av = p.av AND s.label <> s.own WHERE 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT * FROM n WHERE rank <= 5"""
+#: Words by pattern, buckets by a CRC-32 table made from its polynomial, shares, gains, ranks.
+OP12 = r"""
+    WITH RECURSIVE crc(i, v, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crc WHERE k < 8),
+    crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+    word(kind, doc_id, row, w) AS (
+        SELECT kind, doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+        FROM (SELECT 's' AS kind, doc_id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 't', NULL, NULL, text FROM benchmark)),
+    counted AS MATERIALIZED (SELECT kind, doc_id, row, w, count(*) AS n FROM word GROUP BY ALL),
+    vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM counted)),
+    placed AS MATERIALIZED (SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM vocabulary, crc_table),
+    total AS (SELECT bucket, sum(CASE WHEN kind = 's' THEN n ELSE 0 END) AS s, sum(CASE WHEN kind = 't' THEN n ELSE 0 END) AS t FROM counted JOIN placed USING (w) GROUP BY bucket),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST((s + 1) AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM total),
+    weighed AS (SELECT row, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS g FROM counted JOIN placed USING (w) JOIN gain USING (bucket) WHERE kind = 's' GROUP BY row),
+    d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+        ('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT AS h FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) LEFT JOIN weighed USING (row)),
+    scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+    able AS (SELECT *, n_features >= 20 AS ok, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM able WHERE ok) THEN place END AS rank FROM able"""
+#: Digests of the payloads and the first page of each.
+OP13 = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    f AS (SELECT page_id, h, strlen(h) AS n, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS place FROM p)
+    SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND place > 1 THEN first END AS refers_to FROM f"""

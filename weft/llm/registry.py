@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, chunks, covertree, decontaminate, html, lm, neardup, oracles, quality, quotes, secrets
+from weft.llm import archives, bpe, chunks, covertree, decontaminate, html, lm, neardup, negatives, oracles, quality, quotes, resample, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_prob_minhash": neardup.op8_prob_minhash,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_secret_links": secrets.op10_secret_links,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_resample": resample.op12_resample,
+    "op13_arc_converter": archives.op13_arc_converter,
 }
 
 #: The others are held against brute force in tests/llm.
-ORACLE = {"op6_cover_tree": oracles.OP6, "op8_prob_minhash": oracles.OP8}
+ORACLE = {"op6_cover_tree": oracles.OP6, "op8_prob_minhash": oracles.OP8, "op11_hard_negatives": oracles.OP11, "op12_resample": oracles.OP12, "op13_arc_converter": oracles.OP13}
