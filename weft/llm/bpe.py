@@ -11,8 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.common import map_batches, read, text_bytes
+from weft.llm.common import map_batches, read, spare_name, text_bytes
 
 #: Fixed values of the byte-level format: bytes that stand for themselves; the others follow from code point 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -177,21 +178,25 @@ def load_vocabulary(path: str | None = None) -> dict:
         return json.load(f)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool = False, text_name: str = "decoded") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool = False, text_name: str = "decoded", rename: bool = False) -> DataFrame:
     """Per row: the kept columns, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text.
 
     with_ids adds `ids` (array of int), with_text adds the decoded text as `text_name`. A null text counts as empty (no ids, digests of the
     empty string); rows are handled one by one, so repeated rows give repeated results, an empty table an empty one,
-    and a text of any length is encoded whole. Columns other than `keep` and the text are not read; a kept column
-    of a result's name gives way to the result. The vocabulary (a few MB, fixed by its file) is broadcast once.
+    and a text of any length is encoded whole. Columns other than `keep` and the text are not read. A kept column
+    of a result's name, in any case of letters, gives way to the result; with `rename` it stays, and the result is called
+    weft_ and its name. The vocabulary (a few MB, fixed by its file) is broadcast once.
     """
-    results = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if with_ids else set()) | ({text_name.lower()} if with_text else set())
-    keep = tuple(c for c in keep if c.lower() not in results)
+    results = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids + [(text_name, "string")] * with_text
+    if rename:
+        taken = {c.lower() for c in keep}
+        results = [(spare_name([*keep], n) if n.lower() in taken else n, t) for n, t in results]
+    keep = tuple(c for c in keep if c.lower() not in {n.lower() for n, _ in results})
     spark = docs.sparkSession
     # a worker process builds its codec once and keeps it, caches included, beside the broadcast value
     shared = spark.sparkContext.broadcast({"vocabulary": vocabulary})
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids + [f"`{text_name}` string"] * with_text)
-    keep_list = list(keep)
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in results]])
+    raw_text = spare_name([*keep], "text")
 
     def run(batches):
         state = shared.value
@@ -213,16 +218,13 @@ def bpe_round_trip(docs: DataFrame, vocabulary: dict, text_col: str = "text", ke
                 if with_text:
                     all_text.append(decoded)
             columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            names = [*keep_list, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
             if with_text:
                 columns.append(pa.array(all_text, pa.string()))
-                names.append(text_name)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[n for n, _ in results]])
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text")), run, schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(raw_text)), run, schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

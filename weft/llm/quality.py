@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import held_out, map_batches, mix, read, text_bytes, word_hashes
+from weft.llm.common import held_out, map_batches, mix, read, spare_name, text_bytes, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most: those with the least hashes of their ids, so that labels keep
 #: their shares at any size.
@@ -255,7 +255,7 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text", n
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score_quality predicts as 1, with their columns as they are."""
-    names = ("__weft_score", "__weft_predicted")
+    names = (spare_name(docs.columns, "score"), spare_name(docs.columns, "predicted"))
     scored = score_quality(docs, fit_quality(docs, labels), names=names)
     return scored.where(F.col(names[1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
