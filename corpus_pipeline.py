@@ -32,9 +32,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids, decoded text and digests, beside its columns other than the text."""
+    """Every document's token ids, decoded text and digests, beside its columns other than the text; where one of those has
+    a result's name, the result is called weft_ and its name."""
     keep = tuple(c for c in docs.columns if c != "text")
-    return bpe.bpe_round_trip(docs, bpe.load_vocabulary(), keep=keep, with_ids=True, with_text=True, text_name="text")
+    return bpe.bpe_round_trip(docs, bpe.load_vocabulary(), keep=keep, with_ids=True, with_text=True, text_name="text", rename=True)
 
 
 STAGES = [
