@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.exprs import fold_node, owner_block
+from weft.operators.multibfs import bfs_masks, bfs_regions
 from weft.session import joined_by_part_of_keys, materialize, materialize_by, parallelism, ship
 
 #: A frontier of at most so many nodes is broadcast; a larger one is shuffled.
@@ -55,8 +56,12 @@ def bfs(edges: DataFrame, sources: DataFrame, strategy: str = "shuffle", max_lev
     nodes belong.
     "replicate": a graph of at most REPLICATED_EDGES edges goes to all tasks, which take trials whole; a larger one is
     shuffled.
+    "masks": a row for each node with a bit for each of 64 trials, and hubs' edges in parts; many levels go on by regions.
+    "regions": a task searches a run of node ids to the end, and what crosses into another moves; for graphs of many levels.
     Levels are written to the shared folder, so a lost executor costs at most the level in hand.
     """
+    if strategy in ("masks", "regions"):
+        return (bfs_masks if strategy == "masks" else bfs_regions)(edges, sources, max_levels)
     if strategy not in ("shuffle", "broadcast", "block", "halves", "scatter_reduce", "replicate"):
         raise ValueError(f"unknown strategy {strategy}")
     spark = edges.sparkSession

@@ -153,6 +153,46 @@ bfs_scatter_reduce = _same_walk("scatter_reduce")
 bfs_halves = _same_walk("halves")
 bfs_replicate = _same_walk("replicate")
 
+#: Distances from the first 64 suppliers: a level of all trials in each round, of nodes that weren't reached before.
+WALK_64 = f"""WITH RECURSIVE {EDGES}, walk(trial, node, dist) USING KEY (trial, node) AS (
+    SELECT s_suppkey, 2 * s_suppkey, 0 FROM supplier WHERE s_suppkey < 64
+    UNION SELECT DISTINCT trial, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE NOT EXISTS (FROM recurring.walk r WHERE r.trial = walk.trial AND r.node = dst))
+    SELECT trial, node, dist FROM walk"""
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_suppkey < 64").select(F.col("s_suppkey").alias("trial"), (2 * F.col("s_suppkey")).alias("node"))
+
+
+@query(WALK_64)
+def bfs_masks(spark, sf_dir):
+    """64 searches at once, a bit for each in a node's row."""
+    return graph.bfs(_bipartite(spark, sf_dir), _suppliers(spark, sf_dir), "masks")
+
+
+@query(WALK_64)
+def bfs_regions(spark, sf_dir):
+    """64 searches at once, by regions of node ids."""
+    return graph.bfs(_bipartite(spark, sf_dir), _suppliers(spark, sf_dir), "regions")
+
+
+#: Nodes in a row of the grid of parts.
+WIDTH = 40
+
+
+@query(f"""WITH p AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS node FROM part), s AS (SELECT node AS trial, node AS source FROM p WHERE node < 64),
+    d AS (SELECT trial, CAST(abs(source // {WIDTH} - node // {WIDTH}) + abs(source % {WIDTH} - node % {WIDTH}) AS INTEGER) AS dist FROM s, p)
+    SELECT trial, dist, count(*) AS n FROM d GROUP BY trial, dist""")
+def bfs_part_grid(spark, sf_dir):
+    """64 searches over a grid of all parts, 40 in a row: a graph as deep as the table is long."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    node = part.crossJoin(F.broadcast(part.agg(F.min("p_partkey").alias("first")))).select((F.col("p_partkey") - F.col("first")).alias("node"))
+    right = node.where(F.col("node") % WIDTH < WIDTH - 1).select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    down = node.select(F.col("node").alias("src"), (F.col("node") + WIDTH).alias("dst"))
+    one_way = right.union(down).join(node.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return graph.level_sizes(graph.bfs(one_way.union(one_way.select("dst", "src")), node.where("node < 64").select(F.col("node").alias("trial"), "node"), "regions"))
+
+
 #: The published benchmark: a grid of 500 x 500 nodes and 64 trials.
 SIDE, TRIALS = 500, 64
 
