@@ -1,21 +1,80 @@
-"""Distributed sort: exact quantile bounds, range buckets, exchange, local sort, staged variant, validation."""
+"""Distributed sort: exact, sketched and sampled quantile bounds, range buckets, exchange, local sort, staged variant, validation."""
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.exprs import range_bucket
+from weft.operators.sketch import ROOM, key_sketch
 from weft.session import materialize, parallelism, shared_dir
+from weft.sources.byteranges import read_fragments
 from weft.sources.tables import sample_rows
 
+#: Distinct keys that one window may run over.
+WINDOW_KEYS = 1_000_000
 
-def quantile_bounds(df: DataFrame, key: Column, parts: int) -> DataFrame:
+
+def planned_bounds(df: DataFrame, key: Column, parts: int, room: int = ROOM) -> DataFrame:
+    """(bounds): parts - 1 keys at about even places, from a sketch of each task's keys; no key moves. A bound is off by the
+    sketch's own error at most, about log2(n / room) / room of all n keys."""
+    return bounds_frame(df.sparkSession, key_sketch(df, key, room).quantiles(parts))
+
+
+def bounds_frame(spark: SparkSession, bounds: list[str]) -> DataFrame:
+    return spark.createDataFrame([(bounds,)], "bounds array<string>")
+
+
+def fragment_bounds(spark: SparkSession, path: str, column: int, parts: int, fragments: int = 20, length: int = 1 << 16, seed: int = 0, delimiter: str = ",") -> DataFrame:
+    """(bounds) from a column of delimited lines in seeded fragments of the files alone: what is read doesn't grow with them."""
+    fields = F.split(F.col("line").cast("string"), re.escape(delimiter), -1)
+    return planned_bounds(read_fragments(spark, path, fragments, length, seed), F.get(fields, F.lit(column)), parts)
+
+
+def quantile_bounds(df: DataFrame, key: Column, parts: int, room: int = ROOM) -> DataFrame:
     """(bounds): the keys at places int(i / parts * n), i = 1 .. parts - 1, of the sorted keys that aren't null.
 
+    A sketch of each task's keys says between which keys each of them lies; a second pass counts what lies outside of these
+    few ranges and keeps the keys inside. Where even those are too many for a window, all keys are dealt into ranges.
+    """
+    spark = df.sparkSession
+    sketch = key_sketch(df, key, room)
+    places = [int(i / parts * sketch.n) for i in range(1, parts)]
+    if not sketch.error or not places:
+        return bounds_frame(spark, sketch.quantiles(parts))
+    brackets = [sketch.bracket(p) for p in places]
+    edges = sorted({k for b in brackets for k in b if k is not None})
+    slots: set[int] = set()
+    for low, high in brackets:
+        slots.update(range(bisect_left(edges, low) if low is not None else 0, (bisect_left(edges, high) if high is not None else len(edges)) + 1))
+    rows = df.select(key.cast("string").alias("k")).where("k is not null").withColumn("slot", range_bucket(F.col("k"), F.array(*map(F.lit, edges))))
+    kept = F.when(F.col("slot").isin(sorted(slots)), F.col("k"))
+    counts = materialize(rows.groupBy("slot", kept.alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    # a row for each slot: twice as many as parts at most
+    sizes = {r["slot"]: (r["n"], r["keys"]) for r in counts.groupBy("slot").agg(F.sum("n").alias("n"), F.count("k").alias("keys")).collect()}
+    ends = dict(zip(sorted(sizes), accumulate(sizes[s][0] for s in sorted(sizes))))
+    wanted = []
+    for i, at in enumerate(places, 1):
+        slot = next(s for s in sorted(sizes) if at < ends[s])
+        wanted.append((slot, at - (ends[slot] - sizes[slot][0]), i))
+    if max(sizes[s][1] for s, _, _ in wanted) > WINDOW_KEYS:
+        return dealt_bounds(df, key, parts)
+    inside = Window.partitionBy("slot").orderBy("k")
+    # parts - 1 rows
+    asked = F.broadcast(spark.createDataFrame(wanted, "slot long, at long, i int"))
+    picked = counts.join(F.broadcast(spark.createDataFrame([(s,) for s in {w[0] for w in wanted}], "slot long")), "slot", "left_semi").withColumn("upto", F.sum("n").over(inside)).join(asked, "slot").where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+    return picked.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda x: x["k"]).alias("bounds"))
+
+
+def dealt_bounds(df: DataFrame, key: Column, parts: int) -> DataFrame:
+    """quantile_bounds by a shuffle of all keys.
+
     Keys are counted first and dealt into ranges of about equal numbers of keys, whatever they begin with. Running counts
     are taken over the ranges, a row each, and inside the few ranges that hold a wanted place.
     """
@@ -80,9 +139,10 @@ def sort_exchange(df: DataFrame, order: list[str], parts: int) -> DataFrame:
     return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
 
-def sort_map(df: DataFrame, key: Column, parts: int, path: str) -> DataFrame:
-    """The first stage on its own: rows with their buckets, staged as Parquet by bucket; gives what was written."""
-    rows = with_bucket(df, key, quantile_bounds(df, key, parts))
+def sort_map(df: DataFrame, key: Column, parts: int, path: str, bounds: DataFrame | None = None) -> DataFrame:
+    """The first stage on its own: rows with their buckets, staged as Parquet by bucket; gives what was written. Without
+    bounds a sketch plans them."""
+    rows = with_bucket(df, key, planned_bounds(df, key, parts) if bounds is None else bounds)
     rows.write.partitionBy("bucket").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -97,9 +157,9 @@ def sort_reduce(staged: DataFrame, order: list[str]) -> DataFrame:
     return ranked.withColumn("rank", (F.col("__start") + F.col("__row")).cast("long")).drop("__start", "__row")
 
 
-def staged_sort(df: DataFrame, key: Column, order: list[str], parts: int) -> DataFrame:
+def staged_sort(df: DataFrame, key: Column, order: list[str], parts: int, bounds: DataFrame | None = None) -> DataFrame:
     """Both stages, with the shared folder between them."""
-    return sort_reduce(sort_map(df, key, parts, f"{shared_dir(df.sparkSession)}/weft-sort-{uuid.uuid4().hex}"), order)
+    return sort_reduce(sort_map(df, key, parts, f"{shared_dir(df.sparkSession)}/weft-sort-{uuid.uuid4().hex}", bounds), order)
 
 
 def partition_sizes(df: DataFrame, source: Column, key: Column, size: Column, parts: int) -> DataFrame:

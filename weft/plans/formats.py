@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from weft.functions.exprs import epoch_micros, epoch_millis, part_name
 from weft.operators import collectives, graph, kmeans, sort, trace
-from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, PARTS, USERS, _bipartite, _from, _keyed, _transitions, _walk, query, table
+from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, RANKED, USERS, _bipartite, _from, _keyed, _transitions, _walk, query, table
 from weft.session import shared_dir
-from weft.sources import csr, sinks, tables
+from weft.sources import byteranges, csr, sinks, tables, transactions
 
 
 def _path(spark: SparkSession) -> str:
@@ -80,6 +80,34 @@ def scan_reviews(spark, sf_dir):
     return tables.read_reviews(spark, path).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+#: Columns of lineitem that text files hold, of many lengths.
+TEXT_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+
+
+def _line_files(spark: SparkSession, sf_dir: str) -> str:
+    rows = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string") for c in TEXT_COLUMNS])
+    rows.repartition(3).write.csv(path := _path(spark))
+    return path
+
+
+@query(f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in TEXT_COLUMNS)} FROM lineitem")
+def scan_byte_ranges(spark, sf_dir):
+    """A table of text files, read in 7 byte ranges."""
+    return byteranges.read_range_table(spark, _line_files(spark, sf_dir), len(TEXT_COLUMNS), 7).toDF(*TEXT_COLUMNS)
+
+
+@query("""WITH r AS (SELECT doc_id, quality AS label, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, label, length(text) AS chars, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+    SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS place, label, chars, CAST(before AS BIGINT) AS before FROM b WHERE before <= 131072""")
+def scan_reviews_limit(spark, sf_dir):
+    """Labelled lines in order up to an eighth of a MiB; the files are not read beyond."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("text is not null")
+    line = F.concat(F.lit("__label__"), (F.col("quality") + 1).cast("string"), F.lit(" "), F.regexp_replace("text", "[\r\n]", " "))
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path := _path(spark))
+    found, _ = byteranges.read_reviews_head(spark, path, 0.125)
+    return sort.global_rank(found, ["before"], 4).select(F.col("rank").alias("place"), "label", F.length("text").cast("long").alias("chars"), "before")
+
+
 @query(f"{_walk(FROM_0)} SELECT node % {MEMBERS} AS worker, node, dist FROM found")
 def scan_results(spark, sf_dir):
     found = graph.bfs(_bipartite(spark, sf_dir), _from(spark, 0))
@@ -106,6 +134,15 @@ def sink_sorted_csv(spark, sf_dir):
     return last.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("low") < F.col("last"), 1).otherwise(0)).cast("long").alias("overlaps"))
 
 
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS k, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+def sink_parts(spark, sf_dir):
+    """Two transactions of sorted parts, read by the manifest."""
+    rows, path = _keyed(spark, sf_dir), _path(spark)
+    for half in (F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 2 == 1):
+        transactions.write_parts(sort.sort_exchange(rows.where(half), ORDER, PARTS), path)
+    return transactions.read_parts(spark, path, "k string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+
+
 @query("SELECT user_id AS worker, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS ms FROM events GROUP BY user_id")
 def sink_stats(spark, sf_dir):
     at = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -127,10 +164,22 @@ def sort_sampled_bounds(spark, sf_dir):
 
 @query(f"WITH {BOUNDS} SELECT bucket, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM bucketed GROUP BY bucket")
 def sort_map_stage(spark, sf_dir):
-    staged = sort.sort_map(_keyed(spark, sf_dir), F.col("k"), PARTS, _path(spark))
+    keyed = _keyed(spark, sf_dir)
+    staged = sort.sort_map(keyed, F.col("k"), PARTS, _path(spark), sort.quantile_bounds(keyed, F.col("k"), PARTS))
     return staged.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
+@query(RANKED)
+def sort_fragments(spark, sf_dir):
+    """A sort of text files whose buckets are planned from 20 seeded fragments of them."""
+    columns = ("k", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    _keyed(spark, sf_dir).select(*columns).write.csv(path := _path(spark))
+    rows = byteranges.read_range_table(spark, path, len(columns), PARTS).toDF(*columns)
+    rows = rows.select("k", *[F.col(c).cast("long") for c in columns[1:]])
+    bounds = sort.fragment_bounds(spark, path, 0, PARTS, length=1 << 12, seed=7)
+    return sort.staged_sort(rows, F.col("k"), ORDER, PARTS, bounds).select("rank", "l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey", "l_suppkey")
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS rank, o_orderkey FROM orders")
 def sort_reduce_stage(spark, sf_dir):
     # buckets that any other map stage has written will do
