@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.exprs import fold_node, owner_block
+from weft.operators.combine import Combiner, combine
 from weft.operators.multibfs import bfs_masks, bfs_regions
 from weft.session import joined_by_part_of_keys, materialize, materialize_by, parallelism, ship
 
@@ -172,12 +173,13 @@ def compare_distances(found: DataFrame, expected: DataFrame) -> DataFrame:
     return both.agg(F.count("a").alias("n_found"), F.count("b").alias("n_expected"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("long")).alias("n_wrong"))
 
 
-def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, error: float = 5e-5, most: int = 30) -> tuple[DataFrame, list[float]]:
+def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, error: float = 5e-5, most: int = 30, combiner: Combiner | None = None) -> tuple[DataFrame, list[float]]:
     """((node, rank), errors): power iteration without damping over distinct edges, and each step's L2 change.
 
     All n_nodes nodes start with 1 / n_nodes; a node's rank goes in equal parts to its distinct targets, and what
     nodes without any hold is lost. Targets beyond the nodes wrap around. Stops after `iterations`, or without it once the
-    change is below `error`, and after `most` steps at the latest.
+    change is below `error`, and after `most` steps at the latest. With a combiner (of states dst, got) that puts together
+    what nodes are given, instead of a sum.
     """
     spark = edges.sparkSession
     if n_nodes <= 0:
@@ -189,7 +191,8 @@ def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, erro
     ranks, _ = materialize_by(spark.range(n_nodes).select(F.col("id").alias("node"), F.lit(1.0 / n_nodes).alias("rank")), "node")
     errors: list[float] = []
     while len(errors) < (iterations if iterations is not None else most):
-        given = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        parts = links.join(ranks, links.src == ranks.node).select("dst", (F.col("rank") / F.col("deg")).alias("got"))
+        given = combine(parts, ["dst"], combiner) if combiner else parts.groupBy("dst").agg(F.sum("got").alias("got"))
         step = ranks.join(given, ranks.node == given.dst, "left").select("node", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("rank"))
         change = Observation()
         step = step.observe(change, F.sum(F.pow(F.col("rank") - F.col("old"), 2)).alias("e"))

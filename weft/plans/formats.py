@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.exprs import epoch_micros, epoch_millis, part_name
-from weft.operators import collectives, graph, kmeans, sort, trace
-from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, RANKED, USERS, _bipartite, _from, _keyed, _transitions, _walk, query, table
+from weft.operators import actions, collectives, combine, graph, kmeans, sort, trace
+from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, RANKED, USERS, _bipartite, _from, _keyed, _lloyd, _power, _transitions, _walk, query, table
 from weft.session import shared_dir
 from weft.sources import byteranges, csr, sinks, tables, transactions
 
@@ -287,6 +287,23 @@ def kmeans_empty_cluster(spark, sf_dir):
     return found.select("cluster", F.posexplode("centroid").alias("j", "v")).select("cluster", "j", F.round("v", 6).alias("value"))
 
 
+@query(f"{_lloyd(2)} SELECT c.cluster, CAST(unnest(range(64)) AS INTEGER) AS j, round(unnest(c.x), 6) AS value FROM c3 c")
+def kmeans_bounded(spark, sf_dir):
+    """Three steps with bounds kept for each point."""
+    points = table(spark, sf_dir, "embeddings")
+    found, _ = kmeans.bounded_fit(points, kmeans.first_points(points, "vec_id", "embedding", CLUSTERS), "embedding", 3)
+    return kmeans.centroid_frame(spark, found).withColumn("value", F.round("value", 6))
+
+
+@query(f"{_lloyd(3)} SELECT 1 AS iteration, count(*) AS n, count(*) AS moved, 1.0::DOUBLE AS delta FROM a0" + "".join(
+    f" UNION ALL SELECT {i + 1}, count(*), count(*) FILTER (a.cluster <> b.cluster), round(count(*) FILTER (a.cluster <> b.cluster) / count(*), 9) FROM a{i - 1} a JOIN a{i} b USING (vec_id)" for i in range(1, 4)))
+def kmeans_delta_trace(spark, sf_dir):
+    """Points that change cluster in each of four steps."""
+    points = table(spark, sf_dir, "embeddings")
+    _, trace_ = kmeans.bounded_fit(points, kmeans.first_points(points, "vec_id", "embedding", CLUSTERS), "embedding", 4)
+    return spark.createDataFrame([(t["iteration"], t["n"], t["moved"], round(t["delta"], 9)) for t in trace_], "iteration int, n long, moved long, delta double")
+
+
 @query("SELECT CAST(5 AS BIGINT) AS n_clusters, CAST(320 AS BIGINT) AS n_values, CAST(320 AS BIGINT) AS n_inside, (SELECT count(*) FROM embeddings) AS n_points")
 def kmeans_random_start(spark, sf_dir):
     """Centroids drawn evenly from 0 to 100, and the points of a step from them."""
@@ -349,6 +366,38 @@ def trace_gantt(spark, sf_dir):
     return trace.gantt(rows.withColumn("start", F.col("submit") + F.col("fn")))
 
 
+@query(f"{_power(4)} SELECT node, round(r, 9) AS rank FROM r4")
+def pagerank_combined(spark, sf_dir):
+    """Four steps with the caller's own sum of what nodes are given."""
+    edges, n = _transitions(spark, sf_dir)
+    return graph.pagerank(edges, n, iterations=4, combiner=combine.sums(["dst"]))[0].select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(f"SELECT l_partkey % {MEMBERS} AS member, count(DISTINCT l_suppkey) AS n_nodes FROM lineitem GROUP BY 1")
+def frontier_combined(spark, sf_dir):
+    """Each member's union of node sets, as bitmaps joined by the caller's function."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % MEMBERS).alias("member"), F.floor(F.col("l_suppkey") / 32768).alias("block"), (F.col("l_suppkey") % 32768).alias("bit"))
+    # a bitmap for each task's rows of a member, not for each row
+    states = rows.groupBy("member", "block", F.spark_partition_id().alias("p")).agg(F.bitmap_construct_agg("bit").alias("bits")).select("member", "block", "bits")
+    found = combine.combine(states, ["member", "block"], combine.bitmap_union(["member", "block"], "bits"))
+    return found.groupBy("member").agg(F.sum(F.bitmap_count("bits")).alias("n_nodes"))
+
+
+def _describe(event_id: int, user_id: int, event_type: str) -> dict:
+    """An action that refuses some of its calls."""
+    if event_id % 97 == 5:
+        raise ValueError(f"event {event_id} is refused")
+    return {"worker": user_id % 8, "name": f"{event_type}-{event_id % 10}"}
+
+
+@query("""SELECT event_id AS call, CASE WHEN event_id % 97 <> 5 THEN user_id % 8 END AS worker, CASE WHEN event_id % 97 <> 5 THEN event_type || '-' || (event_id % 10) END AS name,
+    CASE WHEN event_id % 97 = 5 THEN 'ValueError: event ' || event_id || ' is refused' END AS error FROM events""")
+def action_events(spark, sf_dir):
+    """A function run by name over all events; calls that fail are rows with their error."""
+    params = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return actions.run_action(params, {"describe": (_describe, "worker long, name string")}, "describe", "event_id").select("call", "worker", "name", "error")
+
+
 @query("SELECT event_id, printf('part-%05d', event_id) AS part, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us FROM events")
 def scalar_formats(spark, sf_dir):
     """Part names, and times from text in milliseconds and microseconds since 1970."""
