@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.exprs import epoch_micros, epoch_millis, part_name
-from weft.operators import actions, collectives, combine, graph, kmeans, sort, trace
-from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, RANKED, USERS, _bipartite, _from, _keyed, _lloyd, _power, _transitions, _walk, query, table
-from weft.session import shared_dir
+from weft.operators import actions, collectives, combine, graph, gridsearch, kmeans, sort, trace, training
+from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, QUERIES, RANKED, USERS, _bipartite, _from, _keyed, _labelled, _lloyd, _power, _transitions, _walk, query, table
+from weft.session import materialize, shared_dir
 from weft.sources import byteranges, csr, sinks, tables, transactions
 
 
@@ -314,6 +314,29 @@ def kmeans_random_start(spark, sf_dir):
     return shape.crossJoin(F.broadcast(kmeans.step(table(spark, sf_dir, "embeddings"), first, "embedding").agg(F.sum("n").alias("n_points"))))
 
 
+# training
+
+
+@query()
+def grid_refit(spark, sf_dir):
+    """The best configuration of the search, trained on all labelled texts but a fold: rows and accuracy of both sides."""
+    rows = materialize(gridsearch.assign_folds(_labelled(spark, sf_dir).where("text is not null and label is not null"), "id", "label"))
+    best = QUERIES["grid_best"](spark, sf_dir).first()
+    _, said = training.refit(rows, best.asDict() if best else {"ngram_max": 1, "norm": "l2", "alpha": 1e-4, "max_iter": 10, "penalty": "l2"})
+    right = F.avg((F.col("label") == F.col("predicted")).cast("double"))
+    return said.groupBy(F.when(F.col("fold") == 0, "test").otherwise("train").alias("part")).agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy"))
+
+
+@query("""WITH f AS (SELECT quality AS label, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL)
+    SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS part, CAST(label AS INTEGER) AS label, count(*) AS n FROM f GROUP BY ALL""")
+def refit_sides(spark, sf_dir):
+    """Rows of each label that a model is trained on and scored on."""
+    rows = gridsearch.assign_folds(_labelled(spark, sf_dir).where("text is not null and label is not null"), "id", "label")
+    cfg = {"ngram_max": 1, "norm": "l2", "alpha": 1e-4, "max_iter": 2, "penalty": "l2"}
+    _, said = training.refit(rows, cfg)
+    return said.groupBy(F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # collectives and traces
 
 
