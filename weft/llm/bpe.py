@@ -23,6 +23,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a cache before it is emptied: bounds a worker's memory.
 CACHE = 250_000
+#: Bytes of pieces whose queue entries hold the place in 13 bits.
+SHORT = 8_192
 
 
 def byte_letters() -> list[str]:
@@ -57,12 +59,17 @@ class BytePairCodec:
         for token, i in self.special.items():
             self.strings[i] = token.encode()
         self.bytes_to_id = [vocab[c] for c in letters]
-        self.rank: dict[int, int] = {}
+        # ranks of the pairs that begin with a symbol, by the second one
+        self.rank: list[dict[int, int]] = [{} for _ in range(size)]
         self.made: list[int] = []
         for pair in vocabulary["model"]["merges"]:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank.setdefault(vocab[left] << 32 | vocab[right], len(self.made))
+            self.rank[vocab[left]].setdefault(vocab[right], len(self.made))
             self.made.append(vocab[left + right])
+        ids = list(enumerate(self.bytes_to_id))
+        self.first_rank = {(a, b): self.rank[i].get(j, -1) for a, i in ids for b, j in ids}
+        # numbers of places, to be copied from; entries of pieces that fit stay small integers
+        self.places = list(range(-1, SHORT + 1))
         self.split = regex.compile(SPLIT)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         # a space between two characters that aren't white space always begins a piece
@@ -76,23 +83,27 @@ class BytePairCodec:
 
         A queue entry holds a rank and the place of the pair's left symbol; it is stale once that place has another rank.
         """
-        symbols = [self.bytes_to_id[b] for b in piece]
+        symbols = list(map(self.bytes_to_id.__getitem__, piece))
         n = len(symbols)
         if n < 2:
             return symbols
-        get, made = self.rank.get, self.made
-        ranks = [get(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:])]
-        queue = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
+        made, rank_of = self.made, self.rank
+        ranks = list(map(self.first_rank.__getitem__, zip(piece, piece[1:])))
+        shift = 13 if n <= SHORT else 32
+        queue = [r << shift | i for i, r in enumerate(ranks) if r >= 0]
         if not queue:
             return symbols
         ranks.append(-1)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        if n <= SHORT:
+            after, before = self.places[2 : n + 2], self.places[:n]
+        else:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        mask = (1 << shift) - 1
         heapq.heapify(queue)
         pop, push = heapq.heappop, heapq.heappush
         while queue:
             entry = pop(queue)
-            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            i, rank = entry & mask, entry >> shift
             if ranks[i] != rank:
                 continue
             new = symbols[i] = made[rank]
@@ -101,16 +112,16 @@ class BytePairCodec:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                ranks[i] = rank = get(new << 32 | symbols[k], -1)
+                ranks[i] = rank = rank_of[new].get(symbols[k], -1)
                 if rank >= 0:
-                    push(queue, rank << 32 | i)
+                    push(queue, rank << shift | i)
             else:
                 ranks[i] = -1
             h = before[i]
             if h >= 0:
-                ranks[h] = rank = get(symbols[h] << 32 | new, -1)
+                ranks[h] = rank = rank_of[symbols[h]].get(new, -1)
                 if rank >= 0:
-                    push(queue, rank << 32 | h)
+                    push(queue, rank << shift | h)
         return [s for s in symbols if s >= 0]
 
     def chunk(self, text: str) -> list[int]:
@@ -132,7 +143,8 @@ class BytePairCodec:
         """The ids of a space and what follows it, which the newest cache doesn't hold."""
         ids = self.earlier.get(part)
         if ids is None:
-            ids = self.chunk(" " + part)
+            # a space and plain letters are one piece
+            ids = self.merge(b" " + part.encode()) if part.isascii() and part.isalpha() else self.chunk(" " + part)
         if len(part) <= 32:
             if len(self.after_space) >= CACHE:
                 self.earlier = dict(self.after_space)
