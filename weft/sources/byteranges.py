@@ -8,6 +8,7 @@ themselves a reader touches at most a line and a block at each end.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -201,8 +202,6 @@ def read_fragments(spark: SparkSession, path: str, n: int, length: int, seed: in
 
 def read_range_table(spark: SparkSession, path: str, n_columns: int, ranges: int, delimiter: str = ",") -> DataFrame:
     """A headerless, unquoted table of strings, columns c0, c1, .., read by byte ranges; missing fields are null."""
-    import re
-
     fields = F.split(F.col("line").cast("string"), re.escape(delimiter), -1)
     return read_lines(spark, path, ranges).select(*[F.get(fields, F.lit(i)).alias(f"c{i}") for i in range(n_columns)])
 
@@ -217,11 +216,11 @@ def read_reviews_head(spark: SparkSession, path: str, mib: float, ranges: int |
     """
     total, limit = sum(size for _, size in list_files(path)), int(mib * 2**20)
     n = ranges or parallelism(spark)
-    upto, length, chars, label_of = 0, max(limit, n), 0, label_and_text
+    upto, length, chars = 0, max(limit, n), 0
     rounds, sizes = [], []
     while upto < total and chars <= limit:
         window = (upto, min(upto + length, total))
-        label, text = label_of(F.col("line").cast("string"))
+        label, text = label_and_text(F.col("line").cast("string"))
         rows = _load(spark, path, ranges=n, **{"from": window[0], "upto": window[1]}).select("file", (F.col("range") + n * 1000 * len(rounds)).alias("part"), "offset", label.alias("label"), text.alias("text")).where("label is not null")
         found = rows.groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()
         sizes += [(r["part"], r["n"]) for r in found]
