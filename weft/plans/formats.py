@@ -11,7 +11,7 @@ from weft.functions.exprs import epoch_micros, epoch_millis, part_name
 from weft.operators import actions, collectives, combine, graph, gridsearch, kmeans, sort, trace, training
 from weft.plans.catalogue import BOUNDS, CLUSTERS, DISTANCE, EDGES, FROM_0, MEMBERS, ORDER, PARTS, QUERIES, RANKED, USERS, _bipartite, _from, _keyed, _labelled, _lloyd, _power, _transitions, _walk, query, table
 from weft.session import materialize, shared_dir
-from weft.sources import byteranges, csr, sinks, tables, transactions
+from weft.sources import byteranges, csr, eventlog, sinks, tables, transactions
 
 
 def _path(spark: SparkSession) -> str:
@@ -353,6 +353,23 @@ def collective_concat(spark, sf_dir):
     return collectives.concat_ordered(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
+@query("SELECT count(*) AS records_read, TRUE AS phases_add_up, TRUE AS within_makespan FROM events")
+def trace_own_run(spark, sf_dir):
+    """The log of a run of this library over events: records that its tasks read, and whether the phases of each task add up
+    to its time and no task takes longer than the run."""
+    edges, _ = _transitions(spark, sf_dir)
+    with eventlog.recorded(spark) as log:
+        graph.out_degree(edges).write.format("noop").mode("overwrite").save()
+    tasks = eventlog.read_tasks(spark, log)
+    marks = materialize(trace.parse_trace(eventlog.task_trace(tasks)))
+    phases = trace.phase_durations(marks).groupBy("worker", "trial").agg(F.sum("ms").alias("parts"))
+    times = trace.trial_times(marks).join(phases, ["worker", "trial"], "left").crossJoin(F.broadcast(trace.makespan(marks).withColumnRenamed("ms", "whole")))
+    checks = times.agg(F.bool_and(F.col("parts").eqNullSafe(F.col("ms"))).alias("phases_add_up"), F.bool_and(F.col("ms") <= F.col("whole")).alias("within_makespan"))
+    # a stage that is run again reads its records again
+    read = tasks.where("succeeded").groupBy("stage", "part").agg(F.max("records_read").alias("n")).agg(F.sum("n").alias("records_read"))
+    return read.crossJoin(F.broadcast(checks))
+
+
 @query("SELECT CAST(user_id % 4 AS INTEGER) AS trial, count(DISTINCT event_id % 7) AS n_iterations, CAST(min(event_id % 7) AS INTEGER) AS first, CAST(max(event_id % 7) AS INTEGER) AS last FROM events GROUP BY user_id % 4")
 def trace_trials(spark, sf_dir):
     key = F.format_string("trial_%d_iter_%d_compute", F.col("user_id") % 4, F.col("event_id") % 7)
