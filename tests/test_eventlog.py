@@ -53,6 +53,6 @@ def test_log_of_a_run(spark, tmp_path):
 def test_failing_run_is_logged_too(spark):
     with pytest.raises(Exception, match="no such thing"):
         with eventlog.recorded(spark) as log:
-            spark.range(1).select(F.raise_error(F.lit("no such thing"))).collect()
+            spark.range(0, 1, 1, 1).select(F.raise_error(F.lit("no such thing"))).collect()
     tasks = eventlog.read_tasks(spark, log)
     assert tasks.where("not succeeded").count() >= 1 and trace.makespan(trace.parse_trace(eventlog.task_trace(tasks))).first()["ms"] is None

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import graph
+from weft.operators.combine import sums
 from weft.operators.components import connected_components
 from weft.session import joined_by_part_of_keys, materialize_by
 from weft.sources import csr, tables
@@ -50,6 +51,30 @@ def test_golden_pagerank(spark):
     assert sorted(r["rank"] for r in ranks.collect()) == pytest.approx([0, 0, 1 / 3])
 
 
+def test_pagerank_with_hubs_in_parts(spark):
+    rng = random.Random(8)
+    edges = [(3, i) for i in range(150)] + [(4, i) for i in range(0, 150, 2)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(400)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+    rank = [1 / 150] * 150
+    for _ in range(3):
+        given = [0.0] * 150
+        for a, to in links.items():
+            for b in to:
+                given[b] += rank[a] / len(to)
+        rank = given
+    light, heavy, hubs = graph.split_hubs(frame(spark, edges).distinct(), 20)
+    assert {r["node"] for r in hubs.collect()} == {3, 4}
+    assert light.count() + heavy.count() == sum(map(len, links.values())) and {r["src"] for r in heavy.collect()} == {3, 4}
+    # a hub's edges lie in all parts alike
+    sizes = [r["count"] for r in heavy.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(heavy.inputFiles()) == 4 and sum(sizes) == len(links[3]) + len(links[4])
+    for options in ({"hub_edges": 20}, {"hub_edges": 20, "combiner": sums(["dst"])}, {}):
+        found = graph.pagerank(frame(spark, edges), 150, iterations=3, **options)[0].collect()
+        assert [r["rank"] for r in sorted(found, key=lambda r: r["node"])] == pytest.approx(rank)
+
+
 def test_sources_and_degrees(spark):
     df = frame(spark, EDGES + [(0, 1)])
     assert {r["node"]: r["degree"] for r in graph.out_degree(df).collect()} == {0: 2, 1: 2, 2: 1, 3: 1, 4: 3}
@@ -79,6 +104,20 @@ def test_edge_files(spark, tmp_path):
     assert tables.read_edge_tsv(spark, str(tmp_path / "part-*.tsv")).count() == 9
 
 
+def test_graph_file_of_a_table(spark, tmp_path):
+    rng = random.Random(9)
+    edges = [(5, i) for i in range(300)] + [(rng.randrange(900), rng.randrange(1000)) for _ in range(3000)] + [(70_000, 3), (70_001, 80_000), (5, 7)]
+    odd = edges + [(None, 1), (2, None)]
+    for n, parts in ((1, edges), (7, odd), (7, [(2, 2)]), (3, [])):
+        a, b = str(tmp_path / "a.sg"), str(tmp_path / "b.sg")
+        csr.write_csr(a, sorted(x for x in parts if None not in x), directed=False)
+        csr.write_csr_frame(frame(spark, parts).repartition(5), b, directed=False, partitions=n)
+        with open(a, "rb") as x, open(b, "rb") as y:
+            assert x.read() == y.read(), n
+    csr.write_csr_frame(frame(spark, edges), b)
+    assert [tuple(r) for r in csr.read_csr(spark, b).collect()] == sorted(edges)
+
+
 def test_result_files(spark, tmp_path):
     path = tmp_path / "out.json"
     path.write_text(json.dumps([{"worker_id": 1, "timestamps": [], "local_distances": [[0, 0], [3, 1]]}]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.exprs import fold_node, owner_block
 from weft.operators.combine import Combiner, combine
-from weft.operators.multibfs import bfs_masks, bfs_regions
+from weft.operators.multibfs import bfs_masks, bfs_regions, find_hubs
 from weft.session import joined_by_part_of_keys, materialize, materialize_by, parallelism, ship
 
 #: A frontier of at most so many nodes is broadcast; a larger one is shuffled.
@@ -173,25 +173,47 @@ def compare_distances(found: DataFrame, expected: DataFrame) -> DataFrame:
     return both.agg(F.count("a").alias("n_found"), F.count("b").alias("n_expected"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("long")).alias("n_wrong"))
 
 
-def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, error: float = 5e-5, most: int = 30, combiner: Combiner | None = None) -> tuple[DataFrame, list[float]]:
+def split_hubs(links: DataFrame, least: int | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(light, heavy, hubs): edges of all other nodes, edges of hubs dealt evenly over the partitions, and the hubs (node).
+    Hubs have more than a quarter of a partition's share of the edges, and of `least`; without any, heavy and hubs are None."""
+    hubs = materialize(find_hubs(links, least).select("node"))
+    if hubs.isEmpty():
+        return links, None, None
+    of_hub = F.broadcast(hubs)
+    heavy = links.join(of_hub, links.src == hubs.node, "left_semi").repartition(parallelism(links.sparkSession))
+    return links.join(of_hub, links.src == hubs.node, "left_anti"), materialize(heavy), hubs
+
+
+def shares(links: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(dst, got): what each edge (src, dst, deg) gives to its target of its node's rank."""
+    return links.join(ranks, links.src == ranks.node).select("dst", (F.col("rank") / F.col("deg")).alias("got"))
+
+
+def pagerank(edges: DataFrame, n_nodes: int, iterations: int | None = None, error: float = 5e-5, most: int = 30, combiner: Combiner | None = None, hub_edges: int | None = None) -> tuple[DataFrame, list[float]]:
     """((node, rank), errors): power iteration without damping over distinct edges, and each step's L2 change.
 
     All n_nodes nodes start with 1 / n_nodes; a node's rank goes in equal parts to its distinct targets, and what
     nodes without any hold is lost. Targets beyond the nodes wrap around. Stops after `iterations`, or without it once the
     change is below `error`, and after `most` steps at the latest. With a combiner (of states dst, got) that puts together
-    what nodes are given, instead of a sum.
+    what nodes are given, instead of a sum. Edges of hubs (see `split_hubs`) don't lie with their node: they stay in parts of
+    even size, to which the hubs' ranks are sent. What is given to one node is added up in each task before it moves.
     """
     spark = edges.sparkSession
     if n_nodes <= 0:
         raise ValueError("a graph needs nodes")
     links = edges.select("src", "dst").distinct()
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    weighted = materialize(links.join(degree, "src").select("src", fold_node(F.col("dst"), n_nodes).alias("dst"), "deg"))
     # edges and ranks lie bucketed by node: in each step only what nodes are given moves
-    links, _ = materialize_by(links.join(degree, "src").select("src", fold_node(F.col("dst"), n_nodes).alias("dst"), "deg"), "src")
+    light, heavy, hubs = split_hubs(weighted, hub_edges)
+    links, _ = materialize_by(light, "src")
     ranks, _ = materialize_by(spark.range(n_nodes).select(F.col("id").alias("node"), F.lit(1.0 / n_nodes).alias("rank")), "node")
     errors: list[float] = []
     while len(errors) < (iterations if iterations is not None else most):
-        parts = links.join(ranks, links.src == ranks.node).select("dst", (F.col("rank") / F.col("deg")).alias("got"))
+        parts = shares(links, ranks)
+        if heavy is not None:
+            # at most four hubs for each partition
+            parts = parts.union(shares(heavy, F.broadcast(ranks.join(F.broadcast(hubs), "node", "left_semi"))))
         given = combine(parts, ["dst"], combiner) if combiner else parts.groupBy("dst").agg(F.sum("got").alias("got"))
         step = ranks.join(given, ranks.node == given.dst, "left").select("node", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("rank"))
         change = Observation()

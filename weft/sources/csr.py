@@ -7,14 +7,20 @@ destination for each edge.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weft.session import materialize, parallelism, ship
+
 HEADER = 17
+#: Offsets in a block of bytes that a task writes: 512 KB.
+BLOCK = 1 << 16
 
 
 def _file_system(path: str):
@@ -117,30 +123,93 @@ def write_csr(path: str, edges: list[tuple[int, int]], directed: bool = True) ->
         f.write(np.array([edges[i][1] for i in order], "<i4").tobytes())
 
 
-def write_csr_frame(edges: DataFrame, path: str, directed: bool = True) -> None:
-    """A graph file from (src, dst), nodes in order and a node's targets in order. The format is one file, so the sorted
-    table passes the driver, a partition at a time; nothing is held whole but the partition."""
-    from pyspark.sql import functions as F
-
-    links = edges.select("src", "dst").where("src is not null and dst is not null")
-    size = links.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).alias("n")).first()
-    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("d")).orderBy("src")
+def write_csr_frame(edges: DataFrame, path: str, directed: bool = True, partitions: int | None = None) -> None:
+    """A graph file from (src, dst), nodes in order and a node's targets in order. Rows with a null end are left out.
+
+    Tasks sort runs of node ids and write each run's offsets and destinations as binary rows, in the file's own bytes. The
+    format is one file, so the driver then appends these bytes in order: no row passes it, and it holds one block at a time.
+    Runs are even in edges by a sketch of the sources; a hub's edges can't be parted, as its targets lie in order.
+    """
+    spark = edges.sparkSession
+    ship()
+    links = materialize(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null"))
+    parts = partitions or parallelism(spark)
+    size = links.agg(
+        F.count(F.lit(1)).alias("m"), F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).alias("n"),
+        F.percentile_approx("src", [i / parts for i in range(1, parts)], 100 * parts).alias("b") if parts > 1 else F.lit(None).alias("b"),
+    ).first()
+    if size["n"] > 1 << 31:
+        raise ValueError("destinations of a graph file have 32 bits")
+    firsts = [0, *sorted({b for b in size["b"] or () if b > 0})]
+    lasts = [*firsts[1:], size["n"]]
+    run = F.array_size(F.filter(F.array(*[F.lit(b).cast("long") for b in firsts]), lambda b: b <= F.col("src"))) - 1
+    # an edge's place before it is sorted, so that a task meets whole runs
+    ordered = links.select(run.alias("run"), "src", "dst").repartition(len(firsts), "run").sortWithinPartitions("run", "src", "dst")
+    written = materialize(ordered.mapInArrow(lambda batches: _blocks(batches, firsts, lasts), BLOCKS))
+    # where each run's offsets begin: at most a number for each partition
+    edges_of = {r["run"]: r["n"] for r in written.groupBy("run").agg(F.sum("n_edges").alias("n")).collect()}
     fs, inner = _file_system(path)
     with fs.open_output_stream(inner) as f:
         f.write(bytes([directed]))
         f.write(np.array([size["m"], size["n"], 0], "<u8").tobytes())
-        at, upto = 0, 0
-        for r in degrees.toLocalIterator():
-            # nodes without edges begin where the next one does
-            f.write(np.full(r["src"] - at, upto, "<u8").tobytes())
-            upto += r["d"]
-            f.write(np.array([upto], "<u8").tobytes())
-            at = r["src"] + 1
-        f.write(np.full(size["n"] - at, upto, "<u8").tobytes())
-        held: list[int] = []
-        for r in links.orderBy("src", "dst").toLocalIterator():
-            held.append(r["dst"])
-            if len(held) >= 1 << 16:
-                f.write(np.array(held, "<i4").tobytes())
-                held.clear()
-        f.write(np.array(held, "<i4").tobytes())
+        # runs without edges have no block: their nodes begin where the next run's do
+        begin, run = 0, 0
+        for r in chain(_in_order(written, True), [None]):
+            upto = len(firsts) if r is None else r["run"]
+            while run < upto:
+                if run not in edges_of:
+                    f.write(np.full(lasts[run] - firsts[run], begin, "<u8").tobytes())
+                begin += edges_of.get(run, 0)
+                run += 1
+            if r is not None:
+                f.write((np.frombuffer(r["bytes"], "<u8") + np.uint64(begin)).tobytes())
+        for r in _in_order(written, False):
+            f.write(bytes(r["bytes"]))
+
+
+def _in_order(written: DataFrame, offsets: bool) -> Iterator:
+    rows = written.where(F.col("offsets") == offsets).select("run", "block", "bytes")
+    return rows.orderBy("run", "block").toLocalIterator()
+
+
+BLOCKS = "run int, offsets boolean, block long, n_edges long, bytes binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], firsts: list[int], lasts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the file from edges in order of (run, src, dst): a run's destinations, and the ends of its nodes' edges
+    counted from the run's beginning. BLOCK numbers at a time, so a node of many edges is never held whole."""
+    schema = pa.schema([("run", pa.int32()), ("offsets", pa.bool_()), ("block", pa.int64()), ("n_edges", pa.int64()), ("bytes", pa.binary())])
+    numbers = {True: 0, False: 0}
+
+    def block(run: int, offsets: bool, n: int, data: np.ndarray) -> pa.RecordBatch:
+        numbers[offsets] += 1
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((run, offsets, numbers[offsets], n, data.tobytes()), schema.types)], schema=schema)
+
+    def ends(run: int, upto: int, node: int, last: int) -> Iterator[pa.RecordBatch]:
+        """The same end for all nodes from `node` to before `last`."""
+        for a in range(node, last, BLOCK):
+            yield block(run, True, 0, np.full(min(BLOCK, last - a), upto, "<u8"))
+
+    now, node, upto = -1, 0, 0
+    for batch in batches:
+        runs, src, dst = (batch.column(i).to_numpy() for i in range(3))
+        for run in np.unique(runs).tolist():
+            if run != now:
+                if now >= 0:
+                    yield from ends(now, upto, node, lasts[now])
+                now, node, upto = run, firsts[run], 0
+            mine = runs == run
+            own, to = src[mine], dst[mine]
+            yield block(run, False, len(to), to.astype("<i4"))
+            # nodes before the batch's last one are complete
+            high = int(own[-1])
+            if high > node:
+                low, places = node, np.searchsorted(own, np.arange(node, min(high, node + BLOCK)), "right")
+                while low < high:
+                    yield block(run, True, 0, (upto + places).astype("<u8"))
+                    low += len(places)
+                    places = np.searchsorted(own, np.arange(low, min(high, low + BLOCK)), "right")
+                node = high
+            upto += len(to)
+    if now >= 0:
+        yield from ends(now, upto, node, lasts[now])
