@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.helpers import ODD, docs_frame, prose
-from weft.llm.chunks import LEAST, LEFT, MOST, RUN, cut_points, gear_hash, gear_table, repeated_stretches, without_repeats
+from weft.llm.chunks import GEAR, RUN, SIDE, WINDOW, cut_points, gear_hash, gear_table, op5_chunk_dedup, repeated_stretches, without_repeats
 
 
 def brute_gear(data, table):
@@ -22,11 +22,35 @@ def test_gear_hash_and_cuts():
         assert gear_hash(data, table).tolist() == brute_gear(data, table)
     data = rng.integers(0, 256, 50_000).astype(np.uint8)
     cuts = cut_points(data, table)
-    sizes = np.diff([0, *cuts])
-    assert cuts[-1] == len(data) and sizes.max() <= MOST and (sizes[:-1] >= LEAST).all()
+    assert cuts[-1] == len(data) and np.diff(cuts[:-1]).max() <= WINDOW and 0.4 * WINDOW < len(data) / len(cuts) < 0.6 * WINDOW
     # an insertion moves the cuts near it only
     shifted = cut_points(np.concatenate([data[:1000], data[:7], data[1000:]]), table)
-    assert len(set(cuts) & {c - 7 for c in shifted}) > 0.9 * len(cuts)
+    assert {c for c in cuts if c >= 1000 + GEAR + WINDOW} <= {c - 7 for c in shifted}
+
+
+def brute_cuts(data, table):
+    """Last place of the least hash of each window, without those that repeat the hash of the one before within a window."""
+    h = brute_gear(data, table)
+    places = set()
+    for a in range(GEAR - 1, len(data) - WINDOW + 1):
+        part = h[a : a + WINDOW]
+        places.add(a + max(i for i, x in enumerate(part) if x == min(part)) + 1)
+    out = []
+    for c in sorted(places):
+        if not out or h[c - 1] != h[out[-1] - 1] or c - out[-1] >= WINDOW:
+            out.append(c)
+    return out if out and out[-1] == len(data) or not len(data) else [*out, len(data)]
+
+
+def test_cuts_against_brute_force():
+    rng = random.Random(2)
+    table = gear_table()
+    texts = [prose(rng, n) for n in (0, 1, 5, 14, 17, 30, 90)] + ["x" * 900, "ab " * 300, "a" * 94, "a" * 95, "a" * 96, "abcd" * 40 + prose(rng, 40) + "z" * 300]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert cut_points(data, table) == brute_cuts(data, table), text[:30]
+    # one letter in a row doesn't make a chunk of each
+    assert len(cut_points(np.full(100_000, 120, np.uint8), table)) < 100_000 / WINDOW + 2
 
 
 def brute(texts):
@@ -37,7 +61,7 @@ def brute(texts):
     for d, raw in enumerate(raws):
         runs = []
         for n, (s, e) in enumerate(zip(cuts[d], cuts[d][1:])):
-            f = seen.setdefault(raw[s:e], (d, n))
+            f = seen.setdefault(raw[max(s - GEAR, 0) : e], (d, n))
             if f == (d, n):
                 continue
             if runs and runs[-1][1] + 1 == n and runs[-1][2] == f[0] and runs[-1][4] + 1 == f[1]:
@@ -50,11 +74,11 @@ def brute(texts):
             room = s - cuts[d][fb + 1] if fd == d else len(raw)
             left = right = 0
             if not k or runs[k - 1][1] + 1 < a:
-                x, y = raw[max(s - LEFT, 0) : s], raws[fd][max(cuts[fd][fa] - LEFT, 0) : cuts[fd][fa]]
+                x, y = raw[max(s - SIDE, 0) : s], raws[fd][max(cuts[fd][fa] - SIDE, 0) : cuts[fd][fa]]
                 while left < min(len(x), len(y)) and x[-1 - left] == y[-1 - left]:
                     left += 1
             if k + 1 == len(runs) or b + 1 < runs[k + 1][0]:
-                x, y = raw[e : cuts[d][min(b + 2, len(cuts[d]) - 1)]], raws[fd][cuts[fd][fb + 1] : cuts[fd][min(fb + 2, len(cuts[fd]) - 1)]]
+                x, y = raw[e : e + SIDE], raws[fd][cuts[fd][fb + 1] : cuts[fd][fb + 1] + SIDE]
                 while right < min(len(x), len(y)) and x[right] == y[right]:
                     right += 1
             left = min(left, room)
@@ -108,6 +132,47 @@ def test_passages_of_51_words_in_other_surroundings(spark):
         assert sum(max(0, min(x["e"], e) - max(x["s"], s)) for x in rows[i]) >= 0.95 * (e - s), i
 
 
+def test_recall_of_short_passages(spark):
+    """Of exact passages of each length in other surroundings, from the least length that is removed."""
+    rng = random.Random(21)
+    lengths = (RUN, 170, 200, 260, 400)
+    assert GEAR - 1 + 2 * WINDOW <= RUN
+    texts, planted = [], []
+    for length in lengths:
+        for _ in range(150):
+            passage = prose(rng, 100)[:length]
+            for again in (False, True):
+                before = prose(rng, rng.randint(1, 60)) + "#$"[again]
+                texts.append(before + passage + "$#"[again] + prose(rng, rng.randint(1, 60)))
+                planted.append((length, again, len(before)))
+    found = dict.fromkeys(lengths, 0)
+    rows = {r["id"]: r["spans"] for r in repeated_stretches(docs_frame(spark, texts)).collect()}
+    for i, (length, again, at) in enumerate(planted):
+        if not again:
+            assert not rows[i]
+        else:
+            found[length] += [(x["s"], x["e"]) for x in rows[i]] == [(at, at + length)]
+    assert all(n == 150 for n in found.values()), found
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    passages = [prose(rng, 70) for _ in range(3)]
+    texts = [f"{prose(rng, rng.randint(5, 150))} {rng.choice(passages)} {prose(rng, rng.randint(5, 150))}" for _ in range(25)] + [prose(rng, 120) for _ in range(10)] + ODD
+    docs_frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in op5_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(len(texts)))
+    table = gear_table()
+    for i, spans in enumerate(brute(texts)):
+        r, raw = rows[i], (texts[i] or "").encode()
+        cuts = cut_points(np.frombuffer(raw, np.uint8), table)
+        assert (r["n_chunks"], r["n_bytes"], r["n_spans"]) == (len(cuts), len(raw), len(spans)), i
+        assert r["removed_bytes"] == sum(e - s for s, e in spans) and r["has_repeats"] == bool(spans)
+        assert r["spans"] == ",".join(f"{s}:{e}" for s, e in spans)
+        assert bool(r["n_repeated"]) == bool(spans) and r["n_repeated"] <= r["n_chunks"]
+    assert sum(r["has_repeats"] for r in rows.values()) >= 20
+
+
 def test_rows_that_share_an_id_but_not_the_text(spark):
     rng = random.Random(12)
     passage = prose(rng, 80)

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from weft.llm.common import FILTER_KEYS, lists, map_batches, maybe_in, mix, read, spare_name, text_bytes
 from weft.session import materialize
 
-#: Chunk sizes in bytes: no cut before LEAST, a cut by chance about every 2**BITS bytes after it, always one at MOST.
-LEAST, BITS, MOST = 32, 5, 1024
+#: Bytes that decide a gear hash.
+GEAR = 32
+#: Of so many places in a row the one with the least hash is a cut, so chunks have half as many bytes on average. A passage
+#: of GEAR - 1 + 2 * WINDOW bytes, one less than RUN, holds two cuts that don't depend on what surrounds it, and so a whole
+#: chunk: no exact copy of RUN bytes is missed.
+WINDOW = 64
 #: A repeated stretch is removed if it holds so many bytes in a row, about 25 words; less may be chance.
 RUN = 160
-#: Bytes before a stretch that are held against those before its first occurrence: cuts before a stretch needn't agree.
-LEFT = 384
+#: Bytes on both sides of a stretch that are held against those of its first occurrence: cuts near its ends needn't agree.
+SIDE = 384
 
 
 def gear_table() -> np.ndarray:
@@ -40,23 +44,32 @@ def gear_hash(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(data: np.ndarray, table: np.ndarray, least: int = LEAST, bits: int = BITS, most: int = MOST) -> list[int]:
-    """Ends of the chunks. Cuts fall where the top bits of the hash are zero, so an insertion moves few of them."""
+def cut_points(data: np.ndarray, table: np.ndarray, window: int = WINDOW) -> list[int]:
+    """Ends of the chunks. A cut is the last place with the least hash of some `window` places in a row: bytes further away
+    than that never move it, and no chunk is longer than the window, but for those between repetitions. Where least hashes
+    repeat within a window, as in a run of one letter, only the first of them is a cut."""
     n = len(data)
-    likely = np.flatnonzero((gear_hash(data, table) >> np.uint32(32 - bits)) == 0) + 1
-    out, at = [], 0
-    i = 0
-    places = likely.tolist()
-    while n - at > least:
-        low, high = at + least, at + most
-        while i < len(places) and places[i] < low:
-            i += 1
-        end = places[i] if i < len(places) and places[i] <= high else high
-        if end >= n:
-            break
-        out.append(end)
-        at = end
-    if n > at:
+    if n < GEAR - 1 + window:
+        return [n] if n else []
+    h = gear_hash(data, table)[GEAR - 1 :].astype(np.uint64)
+    # by hash, then from the last place on
+    top = np.uint64(2**32 - 1)
+    key = h << np.uint64(32) | (top - np.arange(len(h), dtype=np.uint64))
+    # least of each window: of the end of one block and the beginning of the next
+    blocks = np.concatenate([key, np.full(-len(key) % window, np.iinfo(np.uint64).max)]).reshape(-1, window)
+    begins = np.minimum.accumulate(blocks, axis=1).ravel()
+    ends = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(ends[: len(key) - window + 1], begins[window - 1 : len(key)])
+    places = (top - (np.unique(least[np.flatnonzero(np.diff(least, prepend=least[0] + np.uint64(1)))]) & top)).astype(np.int64)
+    places.sort()
+    out: list[int] = []
+    last = -1
+    for at, value in zip((places + GEAR).tolist(), h[places].tolist()):
+        if value == last and at - out[-1] < window:
+            continue
+        out.append(at)
+        last = value
+    if not out or out[-1] < n:
         out.append(n)
     return out
 
@@ -67,8 +80,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64(F.coalesce("t", F.lit(""))).alias("h"), "t")
 
 
-def chunk_table(rows: DataFrame, least: int, bits: int, most: int) -> DataFrame:
-    """(id, h, ends, d1, d2) per row of (id, h, t): the chunks' ends in bytes and their 128-bit digests as pairs of longs."""
+def chunk_table(rows: DataFrame, window: int) -> DataFrame:
+    """(id, h, ends, d1, d2) per row of (id, h, t): the chunks' ends in bytes and their 96-bit digests as a long and an int.
+    A digest is of a chunk and the GEAR bytes before it, which its first cut comes from, so that no digest is of a few bytes."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -77,26 +91,26 @@ def chunk_table(rows: DataFrame, least: int, bits: int, most: int) -> DataFrame:
         for batch in batches:
             ends, counts, digests = [], [], []
             for text in text_bytes(batch.column(2)):
-                cuts = cut_points(np.frombuffer(text, np.uint8), table, least, bits, most)
+                cuts = cut_points(np.frombuffer(text, np.uint8), table, window)
                 counts.append(len(cuts))
                 ends += cuts
                 at = 0
                 for end in cuts:
-                    digests.append(blake(text[at:end], digest_size=16).digest())
+                    digests.append(blake(text[max(at - GEAR, 0) : end], digest_size=12).digest())
                     at = end
-            halves = np.frombuffer(b"".join(digests), "<i8")
+            halves = np.frombuffer(b"".join(digests), [("d1", "<i8"), ("d2", "<i4")])
             n = np.array(counts, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], lists(np.array(ends, np.int32), n, pa.int32()), lists(halves[0::2], n, pa.int64()), lists(halves[1::2], n, pa.int64())],
+                [*batch.columns[:2], lists(np.array(ends, np.int32), n, pa.int32()), lists(np.ascontiguousarray(halves["d1"]), n, pa.int64()), lists(np.ascontiguousarray(halves["d2"]), n, pa.int32())],
                 names=["id", "h", "ends", "d1", "d2"],
             )
 
-    return map_batches(rows, run, f"id {kind}, h bigint, ends array<int>, d1 array<bigint>, d2 array<bigint>")
+    return map_batches(rows, run, f"id {kind}, h bigint, ends array<int>, d1 array<bigint>, d2 array<int>")
 
 
-def _edges(rows: DataFrame, wanted: DataFrame, least: int, bits: int, most: int) -> DataFrame:
-    """(id, h, n, left, bytes): what lies next to chunk n, from `wanted` (id, h, n, left): LEFT bytes before it, or the
-    chunk after it. Only texts with something wanted are shuffled."""
+def _edges(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(id, h, n, left, bytes): what lies next to chunk n, from `wanted` (id, h, n, left): SIDE bytes before it, or
+    after it. Only texts with something wanted are shuffled."""
     kind = rows.schema["id"].dataType.simpleString()
     asked = materialize(wanted.groupBy("id", "h").agg(F.collect_set(F.struct("n", "left")).alias("ask")))
     some = rows.where("t is not null")
@@ -110,13 +124,13 @@ def _edges(rows: DataFrame, wanted: DataFrame, least: int, bits: int, most: int)
         for batch in batches:
             at, ns, lefts, parts = [], [], [], []
             for i, (text, ask) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist())):
-                ends = [0, *cut_points(np.frombuffer(text, np.uint8), table, least, bits, most)]
+                ends = [0, *cut_points(np.frombuffer(text, np.uint8), table, window)]
                 for x in ask:
                     n = x["n"]
                     at.append(i)
                     ns.append(n)
                     lefts.append(x["left"])
-                    parts.append(text[max(ends[n] - LEFT, 0) : ends[n]] if x["left"] else text[ends[n + 1] : ends[min(n + 2, len(ends) - 1)]])
+                    parts.append(text[max(ends[n] - SIDE, 0) : ends[n]] if x["left"] else text[ends[n + 1] : ends[n + 1] + SIDE])
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ns, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(parts, pa.binary())], names=["id", "h", "n", "left", "bytes"])
 
@@ -135,19 +149,18 @@ def shared_length(a: bytes, b: bytes, at_end: bool) -> int:
 
 
 def repeated_stretches(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, bits: int = BITS, most: int = MOST, run: int = RUN
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN
 ) -> DataFrame:
     """(id, h, n_chunks, n_bytes, n_repeated, spans): each row's stretches that occurred before. h is a hash of the text.
 
     A chunk occurs before if an equal one (by digest) is in a row of smaller id or earlier in the same text; the first
     occurrence always stays. Neighbouring repeated chunks form a stretch, which is then held byte by byte against its
-    first occurrence to both sides of it, so that a passage counts whole although chunks cross its ends. To the right
-    that ends inside the next chunk, as equal bytes after a cut are cut alike; to the left LEFT bytes are compared. Stretches of under `run` bytes are left, as short ones may be chance; n_repeated counts the
-    chunks of the others. spans: (start, end) in bytes of the UTF-8 text, by start. A null text is empty and has no
+    first occurrence, SIDE bytes to both sides of it, so that a passage counts whole although chunks cross its ends.
+    Stretches of under `run` bytes are left, as short ones may be chance; n_repeated counts the chunks of the others. spans: (start, end) in bytes of the UTF-8 text, by start. A null text is empty and has no
     chunks; rows with a null id come after all others; rows that share an id and the text count as one place.
     """
     rows = _rows(docs, id_col, text_col)
-    table = materialize(chunk_table(rows, least, bits, most))
+    table = materialize(chunk_table(rows, window))
     chunk = table.select("id", "h", F.posexplode(F.arrays_zip("d1", "d2")).alias("n", "c")).select("id", "h", "n", "c.d1", "c.d2")
     # ids that are null come last
     place = F.struct(F.col("id").isNull().alias("z"), "id", "h", "n")
@@ -160,7 +173,7 @@ def repeated_stretches(
     right = sides.where("r.open_right").select("id", "h", F.col("r.b").alias("n"), F.lit(False).alias("left"), F.col("r.fid").alias("fid"), F.col("r.fh").alias("fh"), F.col("r.fb").alias("fn"))
     ends = materialize(left.union(right))
     wanted = ends.select("id", "h", "n", "left").union(ends.select(F.col("fid").alias("id"), F.col("fh").alias("h"), F.col("fn").alias("n"), "left"))
-    edges = materialize(_edges(rows, wanted, least, bits, most))
+    edges = materialize(_edges(rows, wanted, window))
     kind = docs.schema[id_col].dataType.simpleString()
     own = edges.select(F.col("id").alias("i"), F.col("h").alias("g"), F.col("n").alias("m"), F.col("left").alias("l"), F.col("bytes").alias("x"))
     first = edges.select(F.col("id").alias("i2"), F.col("h").alias("g2"), F.col("n").alias("m2"), F.col("left").alias("l2"), F.col("bytes").alias("y"))
