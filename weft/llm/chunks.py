@@ -21,7 +21,8 @@ WINDOW = 64
 #: A repeated stretch is removed if it holds so many bytes in a row, about 25 words; less may be chance.
 RUN = 160
 #: Bytes on both sides of a stretch that are held against those of its first occurrence: cuts near its ends needn't agree.
-SIDE = 384
+#: A window within a copy has a cut, at most a window late where hashes repeat, and a digest needs GEAR bytes before that.
+SIDE = GEAR + 3 * WINDOW
 
 
 def gear_table() -> np.ndarray:
