@@ -16,7 +16,7 @@ from weft.session import materialize
 GEAR = 32
 #: Of so many places in a row the one with the least hash is a cut, so chunks have half as many bytes on average. A passage
 #: of GEAR - 1 + 2 * WINDOW bytes, one less than RUN, holds two cuts that don't depend on what surrounds it, and so a whole
-#: chunk: no exact copy of RUN bytes is missed.
+#: chunk: no exact copy of RUN bytes is missed, unless its hashes repeat within a window.
 WINDOW = 64
 #: A repeated stretch is removed if it holds so many bytes in a row, about 25 words; less may be chance.
 RUN = 160
