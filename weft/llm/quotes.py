@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import map_batches, read
+from weft.llm.common import lists, map_batches, read, shingle_hashes
 from weft.session import materialize
 
 #: Marks of a quoted line: any number of ">" with spaces between.
@@ -19,6 +19,12 @@ LEVEL = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 INTRO = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|(?:am|le|el)\b.{0,200}(?:schrieb|écrit|escribió).{0,80}|[-_]{2,}\s*original message\s*[-_]{2,}|.{1,80}\b(?:wrote|said))\s*:?\s*$", re.I)
 #: A passage or line without so many letters and digits proves nothing and isn't linked.
 LEAST = 2
+#: One of fewer words is linked only where the message begins with a quote, or a line announces the quote.
+LEAST_WORDS = 3
+#: Words of a shingle, and the share of a quote's words that shingles of earlier messages must cover.
+SHINGLE, CONTAINED = 5, 0.8
+#: The end of a sentence, with the quotes and brackets that close after it.
+SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=。)""")
 
 
 def normal(text: str) -> str:
@@ -89,23 +95,77 @@ def without_quotes(parts: list[tuple[int, str, bool]], linked: set[int]) -> tupl
     return "\n".join(own).strip(), n
 
 
+def passages(text: str) -> set[str]:
+    """The normalised texts by which a text can be found: the whole, each paragraph, line and sentence, if long enough."""
+    paragraphs = re.split(r"\n\s*\n", text)
+    parts = [text, *paragraphs, *text.split("\n"), *(x for p in paragraphs for x in SENTENCE.split(p))]
+    return {x for x in map(normal, parts) if len(x) >= LEAST}
+
+
 def marks(text: str) -> set[int]:
-    """Digests by which a text can be found: of the whole, of each paragraph and of each line, if long enough."""
+    """Digests of the passages."""
+    return set(map(digest, passages(text)))
+
+
+def quote_marks(parts: list[tuple[int, str, bool]]) -> list[tuple[int, int, int]]:
+    """(digest, level, place of the stretch) of what a parsed message quotes; see LEAST_WORDS."""
+    begins = next((level != 0 for level, text, _ in parts if text.strip()), False)
     out = set()
-    for part in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]:
-        plain = normal(part)
-        if len(plain) >= LEAST:
-            out.add(digest(plain))
-    return out
+    for place, (level, text, announced) in enumerate(parts):
+        if level > 0:
+            out |= {(digest(x), level, place) for x in passages(quoted(text)) if begins or announced or x.count(" ") + 1 >= LEAST_WORDS}
+    return sorted(out)
+
+
+def _contained(placed: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(conv, turn, h, level, p, source) of the stretches of quotes without a digest of their own in `found`, but with at
+    least CONTAINED of their words in shingles that earlier messages have; None if all stretches are linked.
+
+    Each shingle counts for the latest message before that has it, and the stretch for the message with most of them.
+    """
+    kind = {c: placed.schema[c].dataType.simpleString() for c in ("conv", "turn")}
+    stretches = placed.select("conv", "turn", "h", F.posexplode("parts").alias("p", "x")).where("x.level > 0")
+    stretches = stretches.select("conv", "turn", "h", "p", "x.level", "x.t").dropDuplicates(["conv", "turn", "h", "p"])
+    stretches = materialize(stretches.join(found.select("conv", "turn", "h", "p").distinct(), ["conv", "turn", "h", "p"], "left_anti"))
+    if not stretches.limit(1).count():
+        return None
+
+    def shingled(batches):
+        for batch in batches:
+            n = batch.num_columns - 1
+            plain = [normal(quoted(t) if n > 2 else t).encode("utf-8", "surrogatepass") for t in batch.column(n).to_pylist()]
+            h, counts = shingle_hashes(plain, SHINGLE)
+            n_words = pa.array([t.count(b" ") + 1 for t in plain], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n_words, lists(h.view("int64"), counts, pa.int64())], names=[*batch.schema.names[:-1], "n_words", "s"])
+
+    shapes = "n_words int, s array<bigint>"
+    asked = map_batches(stretches, shingled, f"conv {kind['conv']}, turn {kind['turn']}, h bigint, p int, level int, {shapes}")
+    asked = materialize(asked.where(F.col("n_words") >= SHINGLE).select("conv", "turn", "h", "p", "level", "n_words", F.posexplode("s").alias("at", "s")))
+    # of the originals only conversations with such stretches, and of them only shingles that one of these has
+    own = placed.join(stretches.select("conv").distinct(), "conv", "left_semi")
+    own = own.select("conv", "turn", F.expr("array_join(transform(filter(parts, x -> x.level = 0), x -> x.t), '\\n')").alias("t"))
+    original = map_batches(own, shingled, f"conv {kind['conv']}, turn {kind['turn']}, {shapes}").where(F.col("n_words") >= SHINGLE).select("conv", "turn", F.explode("s").alias("s"))
+    original = original.join(asked.select("conv", "s").distinct(), ["conv", "s"], "left_semi").distinct()
+    names = ("h", "p", "level", "n_words", "at")
+    both = original.select("conv", "s", "turn", *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in names)).union(asked.select("conv", "s", "turn", *names))
+    before = Window.partitionBy("conv", "s").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    hit = both.withColumn("source", F.max(F.when(F.col("p").isNull(), F.col("turn"))).over(before)).where("p is not null and source is not null")
+    stretch = ["conv", "turn", "h", "level", "p"]
+    by_source = hit.groupBy(*stretch, "n_words", "source").agg(F.count(F.lit(1)).alias("n"), F.collect_list("at").alias("at"))
+    whole = by_source.groupBy(*stretch, "n_words").agg(F.max(F.struct("n", "source"))["source"].alias("source"), F.flatten(F.collect_list("at")).alias("at"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (SHINGLE - 1))))))
+    return whole.where(covered >= CONTAINED * F.col("n_words")).select(*stretch, "source")
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turn, role, text, n_quotes, parent, root) for every message, texts without their quotes.
 
     A passage behind quote marks is a quote if it is linked to an earlier message or a line before it announces it ("On
-    .. wrote:"); only these go, so code and other lines that begin with the mark stay. parent: the turn of the
-    conversation that the message's quotes of level 1 come from (the one with most of their passages, paragraphs and
-    lines, of equals the latest), null if they come from none or there are none; deeper quotes count if no level 1 quote
+    .. wrote:"); only these go, so code and other lines that begin with the mark stay. It is linked by its whole, a
+    paragraph, a line or a sentence (such of one or two words only in a message that begins with a quote, or if announced),
+    or else if shingles of five words that earlier messages of the conversation have cover 0.8 of its words. parent: the turn of the
+    conversation that the message's quotes of level 1 come from (the one with most of their passages, of equals
+    the latest; a quote linked by shingles counts once), null if they come from none or there are none; deeper quotes count if no level 1 quote
     is found. Only earlier turns can be parents. root: where the chain of parents ends. In order of (conv, root, turn) a
     conversation reads thread by thread, and each reply after what it answers.
 
@@ -131,7 +191,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 found = parse_message(text)
                 parts.append([{"level": level, "t": t, "a": a} for level, t, a in found])
                 originals.append(sorted(marks("\n".join(t for level, t, _ in found if level == 0).strip())))
-                quotes.append([{"m": m, "level": level, "p": p} for p, (level, t, _) in enumerate(found) if level > 0 for m in sorted(marks(quoted(t)))])
+                quotes.append([{"m": m, "level": level, "p": p} for m, level, p in quote_marks(found)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], batch.column(4), pa.array(parts, parts_type), pa.array(originals, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("m", pa.int64()), ("level", pa.int32()), ("p", pa.int32())])))],
                 names=["conv", "turn", "role", "h", "parts", "marks", "quotes"],
@@ -149,6 +209,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     before = Window.partitionBy("conv", "m").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("source", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null and source is not null")
     found = materialize(found.select("conv", "turn", "h", "level", "p", "source"))
+    contained = _contained(placed, found)
+    if contained is not None:
+        found = materialize(found.union(contained))
     votes = found.groupBy("conv", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "source"))["source"].alias("parent"))
     links = materialize(best)
