@@ -113,3 +113,24 @@ def test_op4_columns(spark, tmp_path):
     found = QUERIES["op4_host_suffixes"](spark, str(tmp_path)).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in found), key=key) == sorted(expected, key=key)
+
+
+def test_op1_columns(spark, tmp_path):
+    rng = random.Random(15)
+    # items of 40 characters and more, of 12 to 39, and of under 12, which aren't looked for
+    items = [prose(rng, 14) for _ in range(8)] + [prose(rng, 4)[:30].strip() for _ in range(3)] + ["a b c", "", None]
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(20)]
+    for _ in range(22):
+        i = rng.randrange(20)
+        texts[i] = f"{texts[i]} {rng.choice(items[:11])} {prose(rng, rng.randint(1, 20))}".strip()
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, items[0]), (30, None), (31, ""), (32, "a b c")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    expected = []
+    for i, t in docs:
+        padded = f" {t or ''} "
+        spans = sorted((a, k, a + len(item)) for k, item in enumerate(items) if item and len(item) >= 12 for a in range(len(t or "")) if padded[a : a + len(item) + 2] == f" {item} ")
+        expected.append((i, bool(spans), len(spans), sorted({k for _, k, _ in spans}), ",".join(f"{k}:{a}:{b}:0" for a, k, b in spans)))
+    found = QUERIES["op1_decontaminate"](spark, str(tmp_path)).select("doc_id", "contaminated", "n_leaks", "item_ids", "spans").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+    assert sum(x[1] for x in expected) > 8
