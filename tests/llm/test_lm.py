@@ -224,6 +224,69 @@ def test_rare_pairs_and_other_layouts_give_the_same_scores(spark, small, monkeyp
     assert np.allclose(found[0], found[1], rtol=1e-4) and np.allclose(found[0], found[2], rtol=1e-4)
 
 
+def test_the_order_of_words_in_every_training_text_counts(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "FIRST_WINDOWS", 4)
+    rng = random.Random(11)
+    texts = [prose(rng, 40) for _ in range(40)]
+    scores = []
+    for turned in (None, 3, 22):
+        # neither words nor subwords nor pairs inside words are counted otherwise
+        some = [" ".join(reversed(t.split())) if i == turned else t for i, t in enumerate(texts)]
+        found = score_documents(docs_frame(spark, some), F.col("doc_id") < 38).where("id >= 38").orderBy("id").collect()
+        scores.append([r["score"] for r in found])
+    assert not np.allclose(scores[0], scores[1], rtol=1e-9) and not np.allclose(scores[0], scores[2], rtol=1e-9)
+
+
+def test_neighbours_and_slopes_of_all_training_texts_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "FIRST_WINDOWS", 5)
+    monkeypatch.setattr(lm, "ONE_IN", 3)
+    monkeypatch.setattr(lm, "RUN_WINDOWS", 7)
+    monkeypatch.setattr(lm, "COMMON", 20)
+    seen, added, adam = {}, lm.added_slopes, []
+
+    def tables(counts, table, is_first, f=lm.word_classes):
+        seen["counts"], seen["table"] = counts, table
+        return f(counts, table, is_first)
+
+    def slopes(texts, net, fixed):
+        out = added(texts, net, fixed)
+        adam.append(({k: x.copy() for k, x in net.items()}, fixed.value, [r["toks"] for r in texts.collect()], out))
+        return out
+
+    monkeypatch.setattr(lm, "word_classes", tables)
+    monkeypatch.setattr(lm, "added_slopes", slopes)
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(1, 90)) for _ in range(60)] + ["", None, "x" * 500]
+    score_documents(docs_frame(spark, texts), ~held_out("doc_id", 7)).count()
+    subwords = lm.Subwords(load_ranks())
+    streams = [[i for w in (t or "").split() for i in subwords.word(w.encode())] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(x for s in streams for x in [*s, END])
+    assert {i: n for i, n in enumerate(seen["counts"]) if n} == counts
+    # of every text, each subword and its end are a target once
+    assert sum(a[3][-1] for a in adam) == counts.total()
+    assert sorted(x for a in adam for x in a[2]) == sorted(np.array(s, "<u2").tobytes() for s in streams)
+    some, row, column = lm.ranked(seen["counts"])
+    pairs = Counter((a, b) for s in streams for a, b in zip([END, *s], [*s, END]))
+    table = np.zeros((len(some), 40), np.int64)
+    for (a, b), n in pairs.items():
+        if row[b] >= 0 and column[a] >= 0:
+            table[row[b], column[a]] += n
+        if row[a] >= 0 and column[b] >= 0:
+            table[row[a], 20 + column[b]] += n
+    assert np.array_equal(seen["table"], table.ravel())
+    for net, (rows, classes), packed, total in adam:
+        expected, net = 0, Attention.of(net)
+        for toks in packed:
+            ids = np.frombuffer(toks, "<u2").tolist()
+            inputs, targets = [END, *ids], [*ids, END]
+            for at in range(0, len(targets), WINDOW):
+                i, t = (np.array([[*x[at : at + WINDOW], *[0] * (at + WINDOW - len(x))]]) for x in (inputs, targets))
+                n = min(WINDOW, len(targets) - at)
+                g = net.step(rows[i], classes[t], np.arange(WINDOW)[None] < n)[1]
+                expected = expected + n * np.concatenate([g[k].ravel().astype(float) for k in Attention.NAMES])
+        assert np.allclose(total[:-1], expected, atol=1e-3)
+
+
 def test_no_rows(spark, small):
     docs = docs_frame(spark, ["a b"])
     row = score_documents(docs, F.lit(False)).first()

@@ -9,6 +9,7 @@ Class and subword probabilities each add to one, and so do their products over t
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,14 @@ END, VOCABULARY = 50256, 50257
 CLASSES, WIDTH, HIDDEN, INPUTS = 64, 24, 32, 4096
 #: Tokens that a window sees, and how far windows lie apart: all but a text's first score their last STRIDE tokens.
 WINDOW, STRIDE = 32, 26
-#: Windows that the driver begins with, and passes over them; subwords with a class of their choice.
-FIRST_WINDOWS, EPOCHS, SEEN = 20_000, 3, 8192
-#: One in so many windows of the training texts trains the model afterwards, in so many rounds; windows of one worker's run
-#: between two averages.
-ONE_IN, ROUNDS, RUN_WINDOWS = 64, 2, 4000
+#: Windows that the driver begins with, and passes over them; subwords with a class of their choice, and those whose
+#: neighbourhood tells which.
+FIRST_WINDOWS, EPOCHS, SEEN, COMMON = 20_000, 3, 8192, 256
+#: One in so many training texts moves the weights in each round, and as many rounds take all of them; windows that a
+#: worker cuts at once.
+ONE_IN, RUN_WINDOWS = 8, 4000
+#: Windows that go through the network together while weights are learnt, and the pace of the first round.
+TOGETHER, PACE = 24, 0.004
 #: Words of a share of at least 1 / HEAVY of the training tokens (so at most HEAVY words) are broadcast with their counts.
 HEAVY = 1_000_000
 #: Likewise of pairs of subwords inside words, and how much a subword's share of its class weighs beside a pair's count.
@@ -171,41 +175,80 @@ class Attention:
         z = h @ self.u + self.b2
         return {"x": x, "q": q, "k": k, "v": v, "s": s, "o": o, "h": h, "z": z}
 
+    def slopes(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, skip: int = 0) -> tuple[float, int, dict]:
+        """(summed loss, number of valid places, summed gradients); places before `skip` are seen but not asked for. Of the
+        input vectors those of the rows that occur: (rows, gradients)."""
+        b, asked_places, kind = len(rows), WINDOW - skip, self.embed.dtype
+        kv, qx = np.concatenate([self.wk, self.wv], axis=1), np.concatenate([self.wq, self.wx], axis=1)
+        x = self.embed.take(rows, axis=0)
+        x += self.place
+        flat, asked = x.reshape(-1, WIDTH), x[:, skip:].reshape(-1, WIDTH)
+        found = (flat @ kv).reshape(b, WINDOW, 2 * WIDTH)
+        k, v = found[:, :, :WIDTH], found[:, :, WIDTH:]
+        both = asked @ qx
+        q = both[:, :WIDTH].reshape(b, asked_places, WIDTH)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s *= kind.type(WIDTH**-0.5)
+        # as the Scorer does it
+        np.clip(s, -60, 60, out=s)
+        np.exp(s, out=s)
+        s *= self.mask[skip:] == 0
+        s *= (1 / (s @ np.ones(WINDOW, kind)))[:, :, None]
+        o = np.matmul(s, v)
+        h = both[:, WIDTH:] + o.reshape(-1, WIDTH) @ self.wo
+        h += self.b1
+        np.maximum(h, 0, out=h)
+        z = h @ self.u
+        z += self.b2
+        np.clip(z, -60, 60, out=z)
+        ok = valid[:, skip:].ravel().astype(kind)
+        at = np.arange(0, len(z) * CLASSES, CLASSES) + classes[:, skip:].ravel()
+        hit = z.ravel().take(at)
+        np.exp(z, out=z)
+        total = z @ np.ones(CLASSES, kind)
+        loss = float(ok @ (np.log(total) - hit))
+        z *= (ok / total)[:, None]
+        z.ravel()[at] -= ok
+        one = np.ones(len(z), kind)
+        g = {"u": h.T @ z, "b2": one @ z}
+        dqx = np.empty((len(z), WIDTH + HIDDEN), kind)
+        dh = z @ self.u.T
+        dh *= h > 0
+        dqx[:, WIDTH:] = dh
+        g["wo"], g["b1"] = o.reshape(-1, WIDTH).T @ dh, one @ dh
+        do = (dh @ self.wo.T).reshape(o.shape)
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        # what a place adds to the output, less the mean over all that is seen
+        ds -= ((do * o) @ np.ones(WIDTH, kind))[:, :, None]
+        ds *= s
+        ds *= kind.type(WIDTH**-0.5)
+        dqx[:, :WIDTH] = np.matmul(ds, k).reshape(-1, WIDTH)
+        dkv = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], axis=2).reshape(-1, 2 * WIDTH)
+        g_kv, g_qx = flat.T @ dkv, asked.T @ dqx
+        g["wk"], g["wv"], g["wq"], g["wx"] = g_kv[:, :WIDTH], g_kv[:, WIDTH:], g_qx[:, :WIDTH], g_qx[:, WIDTH:]
+        dx = (dkv @ kv.T).reshape(b, WINDOW, WIDTH)
+        dx[:, skip:] += (dqx @ qx.T).reshape(b, asked_places, WIDTH)
+        g["place"] = (np.ones(b, kind) @ dx.reshape(b, -1)).reshape(WINDOW, WIDTH)
+        # equal rows lie together once sorted
+        inputs = rows.ravel().astype(np.uint16)
+        order = np.argsort(inputs, kind="stable")
+        inputs = inputs[order]
+        first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+        g["embed"] = inputs[first], np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+        return loss, int(ok.sum()), g
+
     def step(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the valid places, and gradients."""
-        a = self.forward(rows)
-        z = a["z"] - a["z"].max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        at, ok = np.arange(len(z)), valid.ravel()
-        n = max(int(ok.sum()), 1)
-        loss = -np.log(p[at, classes.ravel()] + 1e-12)[ok].mean() if ok.any() else 0.0
-        p[at, classes.ravel()] -= 1
-        p *= (ok / n)[:, None]
-        dz = p.astype(np.float32)
-        g = {"u": a["h"].T @ dz, "b2": dz.sum(0)}
-        dh = (dz @ self.u.T) * (a["h"] > 0)
-        x = a["x"].reshape(-1, WIDTH)
-        g["wx"], g["wo"], g["b1"] = x.T @ dh, a["o"].reshape(-1, WIDTH).T @ dh, dh.sum(0)
-        dx = dh @ self.wx.T
-        do = (dh @ self.wo.T).reshape(a["o"].shape)
-        ds = np.matmul(do, a["v"].transpose(0, 2, 1))
-        dv = np.matmul(a["s"].transpose(0, 2, 1), do).reshape(-1, WIDTH)
-        ds = a["s"] * (ds - (ds * a["s"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq = np.matmul(ds, a["k"]).reshape(-1, WIDTH)
-        dk = np.matmul(ds.transpose(0, 2, 1), a["q"]).reshape(-1, WIDTH)
-        g["wq"], g["wk"], g["wv"] = x.T @ dq, x.T @ dk, x.T @ dv
-        dx += dq @ self.wq.T + dk @ self.wk.T + dv @ self.wv.T
-        g["place"] = dx.reshape(a["x"].shape).sum(axis=0)
+        loss, n, g = self.slopes(rows, classes, valid)
+        at, some = g["embed"]
         g["embed"] = np.zeros_like(self.embed)
-        np.add.at(g["embed"], rows.ravel(), dx)
-        return float(loss), g
+        g["embed"][at] = some
+        return loss / max(n, 1), {k: x / max(n, 1) for k, x in g.items()}
 
     def train(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 11) -> float:
         """Adam over shuffled batches of windows, its pace falling to 0; gives the last epoch's mean loss."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        adam = Adam(self.weights())
         steps, total, losses = 0, max(1, epochs * -(-len(rows) // batch)), [0.0]
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -215,12 +258,7 @@ class Attention:
                 loss, g = self.step(rows[pick], classes[pick], valid[pick])
                 losses.append(loss)
                 steps += 1
-                pace = rate * (1 - steps / (total + 1))
-                for k in self.NAMES:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                    value = getattr(self, k)
-                    value -= (pace * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-8)).astype(np.float32)
+                adam.step(g, rate * (1 - steps / (total + 1)))
         return float(np.mean(losses))
 
     def weights(self) -> dict[str, np.ndarray]:
@@ -234,6 +272,22 @@ class Attention:
         return out
 
 
+class Adam:
+    """Steps of Adam on weights, in place."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.weights, self.steps = weights, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], pace: float) -> None:
+        self.steps += 1
+        m, v = self.m, self.v
+        for k, value in self.weights.items():
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            value -= (pace * (m[k] / (1 - 0.9**self.steps)) / (np.sqrt(v[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+
+
 class Scorer:
     """The forward pass alone. What an input row adds to keys, values and queries is worked out once for each row."""
 
@@ -270,35 +324,44 @@ class Scorer:
         return np.clip(z, -60, 60, out=z)
 
 
-def word_classes(inputs: np.ndarray, targets: np.ndarray, is_first: np.ndarray, seed: int = 5) -> np.ndarray:
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the SEEN most frequent subwords but END in order of ids, the row of each subword among them, the column of each
+    among the COMMON most frequent ones), -1 where it isn't among them."""
+    order = np.argsort(-counts, kind="stable")
+    seen = order[:SEEN]
+    seen = np.sort(seen[(counts[seen] > 0) & (seen != END)])
+    row, column = np.full(VOCABULARY, -1, np.int16), np.full(VOCABULARY, -1, np.int16)
+    row[seen] = np.arange(len(seen))
+    column[order[:COMMON]] = np.arange(COMMON)
+    return seen, row, column
+
+
+def neighbour_places(inputs: np.ndarray, targets: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The place in the table of neighbours, a row for each subword and 2 * COMMON columns, of what precedes and what follows
+    a subword."""
+    out = []
+    for a, b, shift in ((row[targets], column[inputs], 0), (row[inputs], column[targets], COMMON)):
+        ok = np.flatnonzero((a >= 0) & (b >= 0))
+        out.append(a[ok].astype(np.int32) * (2 * COMMON) + b[ok] + shift)
+    return np.concatenate(out)
+
+
+def word_classes(counts: np.ndarray, table: np.ndarray, is_first: np.ndarray) -> np.ndarray:
     """A class for each subword: those with like neighbours share one (k-means on damped, reduced neighbour counts).
 
     Subwords that begin a word and those inside a word have classes of their own. END has class 0 to itself; of either
-    kind, those that aren't among the SEEN most frequent of the sample share one of the last two classes.
+    kind, those that aren't among the SEEN most frequent share one of the last two classes. table: see neighbour_places.
     """
-    rng = np.random.default_rng(seed)
     out = np.where(is_first, CLASSES - 2, CLASSES - 1)
     out[END] = 0
-    sample = np.bincount(targets, minlength=VOCABULARY)
-    common = np.argsort(-sample, kind="stable")[:256]
-    column = np.full(VOCABULARY, -1)
-    column[common] = np.arange(len(common))
-    seen = np.argsort(-sample, kind="stable")[:SEEN]
-    seen = np.sort(seen[(sample[seen] > 0) & (seen != END)])
+    seen = ranked(counts)[0]
     if len(seen) < 2:
         return out
-    row = np.full(VOCABULARY, -1)
-    row[seen] = np.arange(len(seen))
-    wide = 2 * len(common)
-    table = np.zeros(len(seen) * wide, np.float32)
-    for a, b, shift in ((targets, inputs, 0), (inputs, targets, len(common))):
-        ok = (row[a] >= 0) & (column[b] >= 0)
-        table += np.bincount(row[a[ok]] * wide + column[b[ok]] + shift, minlength=len(table)).astype(np.float32)
-    x = np.sqrt(table.reshape(len(seen), wide))
+    x = np.sqrt(table.reshape(len(seen), 2 * COMMON)).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
     _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
     x = x @ axes[:, ::-1][:, :32]
-    weight = np.sqrt(sample[seen]).astype(np.float64)
+    weight = np.sqrt(counts[seen]).astype(np.float64)
     spare = CLASSES - 3
     for kind, begin, most in ((True, 1, spare // 2), (False, 1 + spare // 2, spare - spare // 2)):
         at = np.flatnonzero(is_first[seen] == kind)
@@ -402,12 +465,18 @@ def sampled_windows(ids: np.ndarray, lengths: np.ndarray, keys: np.ndarray, low:
     return draw[pick], inputs[places].astype("<u2"), targets[places].astype("<u2"), np.minimum(end[pick] - start[pick], WINDOW).astype("<u2")
 
 
-def fit_first(inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, is_first: np.ndarray) -> dict:
-    """Classes, input rows and first attention weights from the sample's windows."""
-    ok = valid.ravel()
-    flat_in, flat_out = inputs.ravel()[ok].astype(np.int64), targets.ravel()[ok].astype(np.int64)
-    classes = word_classes(flat_in, flat_out, is_first)
-    own = np.argsort(-np.bincount(flat_in, minlength=VOCABULARY), kind="stable")[:INPUTS]
+def fit_first(inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, is_first: np.ndarray, counts: np.ndarray | None = None, table: np.ndarray | None = None) -> dict:
+    """Classes, input rows and first attention weights from windows. counts, table: how often each subword occurs and its
+    neighbours do in all training texts; without them those of the windows."""
+    if counts is None:
+        ok = valid.ravel()
+        flat_in, flat_out = inputs.ravel()[ok], targets.ravel()[ok]
+        counts = np.bincount(flat_out, minlength=VOCABULARY)
+        seen, row, column = ranked(counts)
+        table = np.bincount(neighbour_places(flat_in, flat_out, row, column), minlength=len(seen) * 2 * COMMON)
+    classes = word_classes(counts, table, is_first)
+    # each text has END once before it and once behind it, so subwords are inputs as often as targets
+    own = np.argsort(-counts, kind="stable")[:INPUTS]
     rows = INPUTS + classes
     rows[own] = np.arange(len(own))
     net = Attention()
@@ -574,8 +643,56 @@ def pair_groups(pairs: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.n
     return group, np.bincount(inverse, weights=n, minlength=len(group)).astype(np.int64)
 
 
-def _windows(encoded: DataFrame, low: float, high: float, groups: int) -> DataFrame:
-    """(g, d, i, t, n): the training windows whose draws lie from low to below high, packed, in groups of equal ranges."""
+def _learnt(encoded: DataFrame) -> DataFrame:
+    """The training texts in a few partitions for each core, so that what a partition adds up doesn't grow with the corpus."""
+    return encoded.where("bucket = -2 and learn").coalesce(4 * encoded.sparkSession.sparkContext.defaultParallelism)
+
+
+def neighbour_table(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The table of neighbours (see neighbour_places) of all training texts. Slices of rows are added up in a task each."""
+    seen, row, column = ranked(counts)
+    size, slice_size = len(seen) * 2 * COMMON, 256 * 2 * COMMON
+    shared = encoded.sparkSession.sparkContext.broadcast((row, column))
+
+    def run(batches):
+        row, column = shared.value
+        total = np.zeros(size, np.int64)
+        held: list[np.ndarray] = []
+
+        def add_up():
+            places = np.concatenate(held)
+            held.clear()
+            return np.bincount(places, minlength=size)
+
+        for batch in batches:
+            # END stands before, between and behind texts
+            stream = np.concatenate([np.array([END], "<u2"), *(y for x in batch.column(0).to_pylist() for y in (np.frombuffer(x, "<u2"), np.array([END], "<u2")))])
+            held.append(neighbour_places(stream[:-1], stream[1:], row, column))
+            if sum(map(len, held)) > 4_000_000:
+                total += add_up()
+        if held:
+            total += add_up()
+        cut = [(i, np.flatnonzero(total[i * slice_size : (i + 1) * slice_size]).astype(np.int32)) for i in range(-(-size // slice_size))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int32()), pa.array([at.tobytes() for _, at in cut], pa.binary()), pa.array([total[i * slice_size + at].tobytes() for i, at in cut], pa.binary())], names=["slice", "at", "n"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(slice_size, np.int64)
+        for at, c in zip(pdf["at"], pdf["n"]):
+            n[np.frombuffer(at, np.int32)] += np.frombuffer(c, np.int64)
+        at = np.flatnonzero(n).astype(np.int32)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "at": [at.tobytes()], "n": [n[at].tobytes()]})
+
+    schema = "slice int, at binary, n binary"
+    found = map_batches(_learnt(encoded).select("toks"), run, schema)
+    ship()
+    out = np.zeros(size, np.int64)
+    for r in found.groupBy("slice").applyInPandas(merge, schema).collect():
+        out[r["slice"] * slice_size + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return out
+
+
+def _windows(encoded: DataFrame, high: float) -> DataFrame:
+    """(d, i, t, n): the training windows whose draws lie below high, packed."""
 
     def run(batches):
         for batch in batches:
@@ -583,14 +700,10 @@ def _windows(encoded: DataFrame, low: float, high: float, groups: int) -> DataFr
             if not toks:
                 continue
             lengths = np.array([len(x) for x in toks], np.int64)
-            draw, i, t, n = sampled_windows(np.concatenate(toks).astype(np.int32), lengths, batch.column(1).to_numpy(), low, high)
-            group = np.minimum(((draw - low) / (high - low) * groups).astype(np.int64), groups - 1)
-            order = np.argsort(group, kind="stable")
-            cut = np.searchsorted(group[order], np.arange(groups + 1)) if groups > 1 else np.array([0, len(order)])
-            some = [g for g in range(groups) if cut[g + 1] > cut[g]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[order[cut[g] : cut[g + 1]]].tobytes() for g in some], pa.binary()) for x in (draw, i, t, n))], names=["g", "d", "i", "t", "n"])
+            found = sampled_windows(np.concatenate(toks).astype(np.int32), lengths, batch.column(1).to_numpy(), 0.0, high)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], names=["d", "i", "t", "n"])
 
-    return map_batches(encoded.where("bucket = -2 and learn").select("toks", "k"), run, "g int, d binary, i binary, t binary, n binary")
+    return map_batches(encoded.where("bucket = -2 and learn").select("toks", "k"), run, "d binary, i binary, t binary, n binary")
 
 
 def _unpacked(d, i, t, n) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -601,52 +714,74 @@ def _unpacked(d, i, t, n) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return draw[order], i[order], t[order], np.arange(WINDOW) < n[order, None]
 
 
-def _runner(shared, rate: float):
-    """A function that trains from the shared weights on a group of packed windows and gives the weights times the number
-    of windows, and that number."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = shared.value
-        net = Attention.of(start["net"])
-        _, inputs, targets, valid = _unpacked(pdf["d"], pdf["i"], pdf["t"], pdf["n"])
-        net.train(start["rows"][inputs], start["classes"][targets], valid, 1, rate=rate)
-        flat = np.concatenate([getattr(net, x).ravel() for x in Attention.NAMES]).astype(np.float64) * len(inputs)
-        return pd.DataFrame({"b": [np.append(flat, len(inputs)).tobytes()]})
+def all_windows(ids: np.ndarray, lengths: np.ndarray):
+    """(inputs, targets, valid places) of windows of texts end to end, at most RUN_WINDOWS at once: each subword and each
+    end is the target of one place."""
+    inputs, targets, begins = sequences(ids, lengths)
+    sizes = lengths + 1
+    n = -(-sizes // WINDOW)
+    start = np.repeat(begins, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    end = np.repeat(begins + sizes, n)
+    for at in range(0, len(start), RUN_WINDOWS):
+        places = start[at : at + RUN_WINDOWS, None] + np.arange(WINDOW)
+        ok = places < end[at : at + RUN_WINDOWS, None]
+        places = np.minimum(places, len(inputs) - 1)
+        yield inputs[places], targets[places], ok
 
-    return run
 
+def added_slopes(texts: DataFrame, net: dict, fixed) -> np.ndarray | None:
+    """The gradients of all windows of texts (toks) added up, in a row in the order of Attention.NAMES, then the number of
+    targets; None without texts. fixed: a broadcast of (rows, classes)."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
 
-def fit_model(encoded: DataFrame, n_windows: int, is_first: np.ndarray) -> dict:
+    def run(batches):
+        net, (rows, classes) = Attention.of(shared.value), fixed.value
+        total = {k: np.zeros(getattr(net, k).shape) for k in Attention.NAMES}
+        count = 0
+        for batch in batches:
+            toks = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
+            if not toks:
+                continue
+            for inputs, targets, ok in all_windows(np.concatenate(toks).astype(np.int32), np.array([len(x) for x in toks], np.int64)):
+                inputs, targets = rows[inputs], classes[targets]
+                for at in range(0, len(inputs), TOGETHER):
+                    _, n, g = net.slopes(*(x[at : at + TOGETHER] for x in (inputs, targets, ok)))
+                    count += n
+                    own, some = g.pop("embed")
+                    total["embed"][own] += some
+                    for k, x in g.items():
+                        total[k] += x
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(np.concatenate([total[k].ravel() for k in Attention.NAMES]), count).tobytes()], pa.binary())], names=["b"])
+
+    return _added(map_batches(texts, run, "b binary"), "<f8")
+
+
+def fit_model(encoded: DataFrame, subword_counts: np.ndarray, is_first: np.ndarray) -> dict:
     """Classes and attention weights.
 
-    FIRST_WINDOWS windows, drawn by hash, give the classes and the first weights on the driver. Then one in ONE_IN of all
-    training windows, so a share of the corpus of any size, goes on with the training: in each round every run of about
-    RUN_WINDOWS windows trains from the shared weights in a task, and the mean of the runs' weights is the next round's
-    start. Which windows form a run depends on their draws alone and not on how the rows lie in files.
+    Classes and the subwords with an input vector of their own come from counts over all training texts. FIRST_WINDOWS
+    windows, drawn by hash, give weights to begin with on the driver. Then all training texts move them: in each of ONE_IN
+    rounds, executors add up the gradients of the texts whose hashes leave the round's number, each subword and end once, and
+    Adam takes a step along their mean. Sums don't depend on how the rows lie in files.
     """
-    share = min(1.0, FIRST_WINDOWS / max(n_windows, 1))
-    rows = _windows(encoded, 0.0, share, 1).select("d", "i", "t", "n").collect()
-    draw, inputs, targets, valid = _unpacked(*([r[c] for r in rows] for c in ("d", "i", "t", "n")))
-    fitted = fit_first(inputs, targets, valid, is_first)
-    spark = encoded.sparkSession
-    for k in range(ROUNDS):
-        low, high = share + k / (ROUNDS * ONE_IN), share + (k + 1) / (ROUNDS * ONE_IN)
-        if high > 1:
-            # the first windows are most of a small corpus
-            break
-        groups = max(1, round(n_windows * (high - low) / RUN_WINDOWS))
-        shared = spark.sparkContext.broadcast(fitted)
-
-        ship()
-        total = _added(_windows(encoded, low, high, groups).groupBy("g").applyInPandas(_runner(shared, 0.004 / (k + 1)), "b binary"), "<f8")
+    # about as many windows as there are strides, and one more for each text
+    n_windows = int(subword_counts.sum()) // STRIDE + int(subword_counts[END])
+    rows = _windows(encoded, min(1.0, FIRST_WINDOWS / max(n_windows, 1))).collect()
+    _, inputs, targets, valid = _unpacked(*([r[c] for r in rows] for c in ("d", "i", "t", "n")))
+    fitted = fit_first(inputs, targets, valid, is_first, subword_counts, neighbour_table(encoded, subword_counts))
+    fixed = encoded.sparkSession.sparkContext.broadcast((fitted["rows"].astype(np.uint16), fitted["classes"].astype(np.uint8)))
+    texts, adam = _learnt(encoded), Adam(fitted["net"])
+    for k in range(ONE_IN):
+        total = added_slopes(texts.where(F.pmod("k", F.lit(ONE_IN)) == k).select("toks"), fitted["net"], fixed)
         if total is None:
-            break
-        mean, at, net = total[:-1] / total[-1], 0, {}
-        for x in Attention.NAMES:
-            old = fitted["net"][x]
-            net[x] = mean[at : at + old.size].reshape(old.shape).astype(np.float32)
-            at += old.size
-        fitted = fitted | {"net": net}
+            continue
+        mean, at, g = total[:-1] / total[-1], 0, {}
+        for name in Attention.NAMES:
+            shape = fitted["net"][name].shape
+            g[name] = mean[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        adam.step(g, PACE * (1 - k / ONE_IN))
     return fitted
 
 
@@ -674,8 +809,8 @@ def score_documents(docs: DataFrame, learn: Column | None = None, id_col: str =
     Tokens are words (A-Z in lower case) and one end for each text; a null text is empty and has its end only. n_known
     counts tokens that the training texts hold, base_score adds log10((c + 1) / (N + V + 1)) over the tokens, score is
     the attention model's log10 probability of the text's subwords and end. Words, subwords, pairs of subwords and the
-    base counts come from all training texts, the attention weights from a share of their windows (see fit_model). Each
-    row gives a row, also with null or repeated ids; without training texts every token is unknown. Words are told apart
+    base counts come from all training texts, and so do the classes and the attention weights (see fit_model). Each row
+    gives a row, also with null or repeated ids; without training texts every token is unknown. Words are told apart
     by 64-bit hashes. A text is split into words and subwords once.
 
     Counts of words that make up 1 / HEAVY of the training tokens or more, so HEAVY words at most, are broadcast, and
@@ -703,8 +838,7 @@ def score_documents(docs: DataFrame, learn: Column | None = None, id_col: str =
     n_pairs = int(pairs.agg(F.sum("n").alias("n")).first()["n"] or 0)
     least_pairs = max(1, -(-n_pairs // HEAVY_PAIRS))
     pair_h, pair_c = _heavy(pairs, least_pairs)
-    # about as many windows as there are strides, and one more for each text
-    fitted = fit_model(encoded, int(subword_counts.sum()) // STRIDE + ends, is_first)
+    fitted = fit_model(encoded, subword_counts, is_first)
     groups, group_c = pair_groups(pairs, fitted["classes"])
     shared = spark.sparkContext.broadcast(
         {"fitted": fitted, "subword_counts": subword_counts, "first": is_first, "h": heavy_h, "c": heavy_c, "pairs": pair_h.astype(np.int64), "pair_counts": pair_c, "groups": groups, "group_counts": group_c, "light": least_pairs > 1}
