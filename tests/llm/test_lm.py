@@ -287,6 +287,91 @@ def test_neighbours_and_slopes_of_all_training_texts_against_brute_force(spark,
         assert np.allclose(total[:-1], expected, atol=1e-3)
 
 
+def test_slopes_gathered_by_row_are_those_of_every_window():
+    rng = np.random.default_rng(8)
+    net = Attention()
+    for k in Attention.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    net.b1 += 0.2
+    # a row many times, others a few times or once
+    rows = np.minimum(rng.zipf(1.3, (2 * lm.TOGETHER + 5, WINDOW)), lm.INPUTS)
+    classes, valid = rng.integers(0, lm.CLASSES, rows.shape), rng.random(rows.shape) < 0.8
+    slopes = lm.Slopes(net)
+    for some in (slice(0, 50), slice(50, 50), slice(50, None)):
+        slopes.add(rows[some], classes[some], valid[some])
+    found, expected, loss = slopes.gradients(), {k: 0.0 for k in Attention.NAMES}, 0.0
+    for r, c, ok in zip(rows, classes, valid):
+        # one window at a time, and its loss from the plain forward pass
+        mean, g = net.step(r[None], c[None], ok[None])
+        z = net.forward(r[None])["z"]
+        own = (np.log(np.exp(z).sum(1)) - z[np.arange(WINDOW), c])[ok].sum()
+        assert mean * ok.sum() == pytest.approx(own)
+        loss += own
+        expected = {k: expected[k] + ok.sum() * x for k, x in g.items()}
+    assert slopes.count == valid.sum() and slopes.loss == pytest.approx(loss)
+    assert all(np.allclose(found[k], expected[k], atol=1e-9) for k in Attention.NAMES)
+
+
+def test_rows_are_added_up_in_groups():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 7, 8, 9, 30_000):
+        rows, values = rng.integers(0, 300, n) ** 2 % 400, rng.integers(0, 9, (n + 1, 3)).astype(np.float32)
+        values[-1] = 0
+        found, expected = np.ones((400, 3)), np.ones((400, 3))
+        lm.add_rows(found, rows, values)
+        np.add.at(expected, rows, values[:n])
+        assert np.array_equal(found, expected), n
+
+
+def test_products_beyond_the_bound_are_clipped():
+    rng = np.random.default_rng(10)
+    net = Attention()
+    net.wq *= 400
+    rows = rng.integers(0, lm.INPUTS, (3, WINDOW))
+    assert not Scorer(net).bounded and Scorer(Attention()).bounded
+    assert np.isfinite(Scorer(net).logits(rows)).all()
+
+
+def test_batches_of_words_are_those_of_each_word_alone(monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(lm, "CACHE", 120)
+    subwords = lm.Subwords(load_ranks())
+    words = [prose(rng, 1) for _ in range(300)] + ["x" * 300, "\u00a0x", "'s", "\x00\x1f"]
+    for _ in range(12):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        ids, lengths = flat_ids(subwords.batch([t.encode() for t in texts]))
+        expected = [[i for w in t.split(" ") if w for i in subwords.encoder.encode_ordinary(" " + w)] for t in texts]
+        assert lengths.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+        assert len(subwords.known) <= 320 and np.all(np.diff(subwords.known.hashes) > 0)
+
+
+def test_pairs_inside_words_against_brute_force():
+    rng = np.random.default_rng(15)
+    lengths = np.array([0, 40, 0, 300, 1])
+    ids = rng.integers(0, 12, int(lengths.sum())).astype(np.int32)
+    # ids up to 5 begin a word; of the pairs those with an even first id are at hand
+    first = np.arange(VOCABULARY) < 6
+    pairs = np.array([a << 17 | b for a in range(0, 12, 2) for b in range(6, 12)])
+    counts, classes = rng.integers(1, 90, len(pairs)), np.arange(VOCABULARY) % lm.CLASSES
+    groups = np.array([a * lm.CLASSES + c for a in range(12) for c in range(12)])
+    group_counts, within = rng.integers(100, 200, len(groups)), np.log(rng.random(VOCABULARY))
+    model = {"within": within, "first": first, "pairs": pairs, "pair_counts": counts, "groups": groups, "group_counts": group_counts, "classes": classes, "light": True}
+    starts = np.cumsum(lengths) - lengths
+    value, at, key = in_class(model, ids, starts)
+    light = {}
+    for i, own in enumerate(ids.tolist()):
+        expected = within[own]
+        if own >= 6 and i not in starts:
+            k = int(ids[i - 1]) << 17 | own
+            n = dict(zip(pairs.tolist(), counts.tolist())).get(k)
+            if n is None:
+                light[i] = k
+            top = 0.0 if n is None else math.log(n + lm.PRIOR * math.exp(within[own]))
+            expected = top - math.log(dict(zip(groups.tolist(), group_counts.tolist()))[ids[i - 1] * lm.CLASSES + classes[own]] + lm.PRIOR)
+        assert value[i] == pytest.approx(expected)
+    assert len(light) > 20 and dict(zip(at.tolist(), key.tolist())) == light and len(at) == len(light)
+
+
 def test_no_rows(spark, small):
     docs = docs_frame(spark, ["a b"])
     row = score_documents(docs, F.lit(False)).first()

@@ -32,9 +32,11 @@ WINDOW, STRIDE = 32, 26
 FIRST_WINDOWS, EPOCHS, SEEN, COMMON = 20_000, 3, 8192, 256
 #: One in so many training texts moves the weights in each round, and as many rounds take all of them; windows that a
 #: worker cuts at once.
-ONE_IN, RUN_WINDOWS = 8, 4000
+ONE_IN, RUN_WINDOWS = 8, 1000
 #: Windows that go through the network together while weights are learnt, and the pace of the first round.
 TOGETHER, PACE = 24, 0.004
+#: Gradients of one input row that are added up at a time.
+EQUAL = 8
 #: Words of a share of at least 1 / HEAVY of the training tokens (so at most HEAVY words) are broadcast with their counts.
 HEAVY = 1_000_000
 #: Likewise of pairs of subwords inside words, and how much a subword's share of its class weighs beside a pair's count.
@@ -50,8 +52,39 @@ def load_ranks(path: str | None = None) -> tuple[str, dict[bytes, int]]:
         return public_tokenizers.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Kept:
+    """Subword ids of words, found by the hashes of the words: those in order, where each one's ids begin and their number."""
+
+    def __init__(self):
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u2")
+        self.begin, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it isn't here."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.where(self.hashes[place] == hashes, place, -1)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        """hashes: in order, none of them here."""
+        where = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, where, len(self.flat) + np.cumsum(n) - n)
+        self.hashes, self.n = np.insert(self.hashes, where, hashes), np.insert(self.n, where, n)
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def taken(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at `begin` and are n long, in a row."""
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 class Subwords:
-    """Subword ids of words, each encoded with a space before it. Keeps what it has seen, within bounds."""
+    """Subword ids of words, each encoded with a space before it. Keeps what it has seen, within bounds; words are told apart
+    by their hashes."""
 
     def __init__(self, vocabulary: tuple[str, dict[bytes, int]]):
         import tiktoken
@@ -59,34 +92,43 @@ class Subwords:
         self.encoder = tiktoken.Encoding("weft", pat_str=vocabulary[0], mergeable_ranks=vocabulary[1], special_tokens={})
         self.first = first_table(vocabulary[1])
         # ids of two bytes each
-        self.known: dict[bytes, bytes] = {}
-        self.earlier: dict[bytes, bytes] = {}
+        self.known, self.earlier = Kept(), Kept()
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of words, all encoded in one go: each begins with the one of its ids that has a space."""
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words in a row, number of each one's), all encoded in one go: each begins with the one of its ids that has
+        a space."""
         ids = np.array(self.encoder.encode_ordinary(" " + b" ".join(words).decode()), "<u2")
         begin = np.flatnonzero(self.first[ids])
         if len(begin) != len(words):
-            return [np.array(self.encoder.encode_ordinary(" " + w.decode()), "<u2").tobytes() for w in words]
-        packed = ids.tobytes()
-        cut = [*(begin * 2).tolist(), len(packed)]
-        return [packed[a:b] for a, b in zip(cut, cut[1:])]
+            alone = [np.array(self.encoder.encode_ordinary(" " + w.decode()), "<u2") for w in words]
+            return np.concatenate(alone), np.array([len(x) for x in alone], np.int64)
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def ids(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of each one's) of words with distinct hashes in order, which stand in data."""
+        known = self.known.find(hashes)
+        missing = np.flatnonzero(known < 0)
+        earlier = self.earlier.find(hashes[missing])
+        new = missing[earlier < 0]
+        found = self.encode([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]) if len(new) else (np.zeros(0, "<u2"), np.zeros(0, np.int64))
+        flat = np.concatenate([self.known.flat, self.earlier.flat, found[0]])
+        begin, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for at, kept, place, shift in ((known >= 0, self.known, known[known >= 0], 0), (missing[earlier >= 0], self.earlier, earlier[earlier >= 0], len(self.known.flat))):
+            begin[at], n[at] = kept.begin[place] + shift, kept.n[place]
+        begin[new], n[new] = len(flat) - len(found[0]) + np.cumsum(found[1]) - found[1], found[1]
+        if len(self.known) + len(missing) > CACHE:
+            self.earlier, self.known = self.known, Kept()
+        keep = missing[(ends - starts)[missing] <= 64]
+        self.known.add(hashes[keep], taken(flat, begin[keep], n[keep]), n[keep])
+        return taken(flat, begin, n), n
 
     def packed(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of distinct words."""
-        get, earlier = self.known.get, self.earlier.get
-        out = [get(w) for w in words]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        for i in missing:
-            out[i] = earlier(words[i])
-        new = [i for i in missing if out[i] is None]
-        if new:
-            for i, ids in zip(new, self.encode([words[i] for i in new])):
-                out[i] = ids
-        if len(self.known) + len(missing) > CACHE:
-            self.earlier, self.known = self.known, {}
-        self.known.update((words[i], out[i]) for i in missing if len(words[i]) <= 64)
-        return out
+        data, starts, ends, hashes, _ = word_spans([b" ".join(words)])
+        order = np.argsort(hashes)
+        flat, n = self.ids(hashes[order], data, starts[order], ends[order])
+        cut = np.cumsum(n)
+        return [flat[cut[i] - n[i] : cut[i]].tobytes() for i in np.argsort(order)]
 
     def word(self, word: bytes) -> list[int]:
         return np.frombuffer(self.packed([word])[0], "<u2").tolist()
@@ -95,11 +137,14 @@ class Subwords:
         """Words and subwords of the texts: hashes of the distinct words and how often each occurs, the subwords of each of
         them in a row, which of them the words of the texts are, and the number of words of each text."""
         data, starts, ends, hashes, counts = word_spans(texts)
-        distinct, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        per_word = self.packed([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-        n = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 2
-        flat = np.frombuffer(b"".join(per_word), "<u2").astype(np.int32)
-        return {"hashes": distinct, "times": times, "inverse": inverse, "counts": counts, "n": n, "flat": flat}
+        order = np.argsort(hashes)
+        run = hashes[order]
+        at = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+        distinct, times, one = run[at], np.diff(np.append(at, len(run))), order[at]
+        inverse = np.empty(len(run), np.int64)
+        inverse[order] = np.repeat(np.arange(len(at)), times)
+        flat, n = self.ids(distinct, data, starts[one], ends[one])
+        return {"hashes": distinct, "times": times, "inverse": inverse, "counts": counts, "n": n, "flat": flat.astype(np.int32)}
 
 
 def flat_ids(batch: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -175,75 +220,12 @@ class Attention:
         z = h @ self.u + self.b2
         return {"x": x, "q": q, "k": k, "v": v, "s": s, "o": o, "h": h, "z": z}
 
-    def slopes(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, skip: int = 0) -> tuple[float, int, dict]:
-        """(summed loss, number of valid places, summed gradients); places before `skip` are seen but not asked for. Of the
-        input vectors those of the rows that occur: (rows, gradients)."""
-        b, asked_places, kind = len(rows), WINDOW - skip, self.embed.dtype
-        kv, qx = np.concatenate([self.wk, self.wv], axis=1), np.concatenate([self.wq, self.wx], axis=1)
-        x = self.embed.take(rows, axis=0)
-        x += self.place
-        flat, asked = x.reshape(-1, WIDTH), x[:, skip:].reshape(-1, WIDTH)
-        found = (flat @ kv).reshape(b, WINDOW, 2 * WIDTH)
-        k, v = found[:, :, :WIDTH], found[:, :, WIDTH:]
-        both = asked @ qx
-        q = both[:, :WIDTH].reshape(b, asked_places, WIDTH)
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= kind.type(WIDTH**-0.5)
-        # as the Scorer does it
-        np.clip(s, -60, 60, out=s)
-        np.exp(s, out=s)
-        s *= self.mask[skip:] == 0
-        s *= (1 / (s @ np.ones(WINDOW, kind)))[:, :, None]
-        o = np.matmul(s, v)
-        h = both[:, WIDTH:] + o.reshape(-1, WIDTH) @ self.wo
-        h += self.b1
-        np.maximum(h, 0, out=h)
-        z = h @ self.u
-        z += self.b2
-        np.clip(z, -60, 60, out=z)
-        ok = valid[:, skip:].ravel().astype(kind)
-        at = np.arange(0, len(z) * CLASSES, CLASSES) + classes[:, skip:].ravel()
-        hit = z.ravel().take(at)
-        np.exp(z, out=z)
-        total = z @ np.ones(CLASSES, kind)
-        loss = float(ok @ (np.log(total) - hit))
-        z *= (ok / total)[:, None]
-        z.ravel()[at] -= ok
-        one = np.ones(len(z), kind)
-        g = {"u": h.T @ z, "b2": one @ z}
-        dqx = np.empty((len(z), WIDTH + HIDDEN), kind)
-        dh = z @ self.u.T
-        dh *= h > 0
-        dqx[:, WIDTH:] = dh
-        g["wo"], g["b1"] = o.reshape(-1, WIDTH).T @ dh, one @ dh
-        do = (dh @ self.wo.T).reshape(o.shape)
-        ds = np.matmul(do, v.transpose(0, 2, 1))
-        # what a place adds to the output, less the mean over all that is seen
-        ds -= ((do * o) @ np.ones(WIDTH, kind))[:, :, None]
-        ds *= s
-        ds *= kind.type(WIDTH**-0.5)
-        dqx[:, :WIDTH] = np.matmul(ds, k).reshape(-1, WIDTH)
-        dkv = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], axis=2).reshape(-1, 2 * WIDTH)
-        g_kv, g_qx = flat.T @ dkv, asked.T @ dqx
-        g["wk"], g["wv"], g["wq"], g["wx"] = g_kv[:, :WIDTH], g_kv[:, WIDTH:], g_qx[:, :WIDTH], g_qx[:, WIDTH:]
-        dx = (dkv @ kv.T).reshape(b, WINDOW, WIDTH)
-        dx[:, skip:] += (dqx @ qx.T).reshape(b, asked_places, WIDTH)
-        g["place"] = (np.ones(b, kind) @ dx.reshape(b, -1)).reshape(WINDOW, WIDTH)
-        # equal rows lie together once sorted
-        inputs = rows.ravel().astype(np.uint16)
-        order = np.argsort(inputs, kind="stable")
-        inputs = inputs[order]
-        first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
-        g["embed"] = inputs[first], np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
-        return loss, int(ok.sum()), g
-
     def step(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the valid places, and gradients."""
-        loss, n, g = self.slopes(rows, classes, valid)
-        at, some = g["embed"]
-        g["embed"] = np.zeros_like(self.embed)
-        g["embed"][at] = some
-        return loss / max(n, 1), {k: x / max(n, 1) for k, x in g.items()}
+        slopes = Slopes(self)
+        slopes.add(rows, classes, valid)
+        n = max(slopes.count, 1)
+        return slopes.loss / n, {k: x / n for k, x in slopes.gradients().items()}
 
     def train(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 11) -> float:
         """Adam over shuffled batches of windows, its pace falling to 0; gives the last epoch's mean loss."""
@@ -289,40 +271,140 @@ class Adam:
 
 
 class Scorer:
-    """The forward pass alone. What an input row adds to keys, values and queries is worked out once for each row."""
+    """The forward pass alone. What an input row and a place add to keys, values, queries and the layer is worked out once for
+    each; values are those that the layer gets."""
 
-    def __init__(self, net: Attention):
-        # one more value of 1 adds up the attention's weights
-        kv = np.concatenate([net.wk, net.wv], axis=1)
-        one = np.zeros((1, 1), np.float32)
-        self.kv_row = np.concatenate([net.embed @ kv, np.broadcast_to(one, (len(net.embed), 1))], axis=1)
-        self.kv_place = np.concatenate([net.place @ kv, np.broadcast_to(one + 1, (WINDOW, 1))], axis=1)
-        qx = np.concatenate([net.wq * np.float32(WIDTH**-0.5), net.wx], axis=1)
-        self.qx_row = net.embed @ qx
-        self.qx_place = net.place @ qx + np.concatenate([np.zeros(WIDTH, np.float32), net.b1])
-        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        self.wo, self.u, self.b2 = net.wo, net.u, net.b2
+    #: Columns of keys, values, queries and the layer.
+    KEY, VALUE, QUERY, LAYER = slice(0, WIDTH), slice(WIDTH, WIDTH + HIDDEN), slice(WIDTH + HIDDEN, 2 * WIDTH + HIDDEN), slice(2 * WIDTH + HIDDEN, 2 * (WIDTH + HIDDEN))
 
-    def logits(self, rows: np.ndarray, skip: int = 0) -> np.ndarray:
-        """Class logits for windows of input rows, from place `skip` on."""
-        kv = self.kv_row.take(rows, axis=0)
-        kv += self.kv_place
-        qx = self.qx_row.take(rows[:, skip:], axis=0)
-        qx += self.qx_place[skip:]
-        s = np.matmul(qx[:, :, :WIDTH], kv[:, :, :WIDTH].transpose(0, 2, 1))
-        # far beyond what a trained model asks for, and still finite in single precision
-        np.clip(s, -60, 60, out=s)
+    def __init__(self, net: Attention):
+        self.kind = net.embed.dtype
+        self.ways = np.concatenate([net.wk, net.wv @ net.wo, net.wq * self.kind.type(WIDTH**-0.5), net.wx], axis=1)
+        self.of_row, self.of_place = net.embed @ self.ways, net.place @ self.ways
+        self.of_place[:, self.LAYER] += net.b1
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), self.kind))
+        self.u, self.b2 = net.u, net.b2
+        self.ones = np.ones(max(WINDOW, CLASSES, TOGETHER), self.kind)
+        # products of queries and keys are bounded by their lengths
+        longest = [np.linalg.norm(self.of_row[:, c], axis=1).max() + np.linalg.norm(self.of_place[:, c], axis=1).max() for c in (self.QUERY, self.KEY)]
+        self.bounded = bool(longest[0] * longest[1] < 60)
+
+    def attend(self, rows: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(what rows and places give, weights of what is seen, 1 / their sums, their mean of values, the layer) for windows of
+        input rows, all but the first from place `skip` on."""
+        x = self.of_row.take(rows, axis=0)
+        x += self.of_place
+        s = np.matmul(x[:, skip:, self.QUERY], x[:, :, self.KEY].transpose(0, 2, 1))
+        if not self.bounded:
+            # far beyond what a trained model asks for, and still finite in single precision
+            np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
         s *= self.seen[skip:]
-        o = np.matmul(s, kv[:, :, WIDTH:])
-        o = (o[:, :, :WIDTH] / o[:, :, WIDTH:]).reshape(-1, WIDTH)
-        h = o @ self.wo
-        h += qx[:, :, WIDTH:].reshape(-1, HIDDEN)
+        share = 1 / (s @ self.ones[:WINDOW])
+        o = np.matmul(s, x[:, :, self.VALUE])
+        o *= share[:, :, None]
+        h = (o + x[:, skip:, self.LAYER]).reshape(-1, HIDDEN)
         np.maximum(h, 0, out=h)
+        return x, s, share, o, h
+
+    def outputs(self, h: np.ndarray) -> np.ndarray:
+        """Class logits of the layer."""
         z = h @ self.u
         z += self.b2
         return np.clip(z, -60, 60, out=z)
 
+    def logits(self, rows: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Class logits for windows of input rows, from place `skip` on."""
+        return self.outputs(self.attend(rows, skip)[-1])
+
+
+class Slopes(Scorer):
+    """Gradients of windows added up. Those of what rows and places give are gathered by row and place, and become those of
+    the weights at the end."""
+
+    def __init__(self, net: Attention):
+        super().__init__(net)
+        self.net = net
+        self.loss, self.count = 0.0, 0
+        self.by_row, self.by_place = np.zeros(self.of_row.shape), np.zeros(self.of_place.shape)
+        self.by_u, self.by_b2 = np.zeros(self.u.shape), np.zeros(self.b2.shape)
+        self.room = self.of_row[:0]
+
+    def add(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray) -> None:
+        """Adds the windows; places that aren't valid are no targets."""
+        n = len(rows)
+        if len(self.room) <= n * WINDOW:
+            self.room = np.empty((n * WINDOW + 1, self.ways.shape[1]), self.kind)
+        d = self.room[: n * WINDOW + 1]
+        # a last row of zeros, see add_rows
+        d[-1] = 0
+        windows = d[:-1].reshape(n, WINDOW, d.shape[1])
+        for at in range(0, n, TOGETHER):
+            some = slice(at, at + TOGETHER)
+            self._back(rows[some], classes[some], valid[some], windows[some])
+            self.by_place += (self.ones[: len(windows[some])] @ windows[some].reshape(-1, self.by_place.size)).reshape(self.by_place.shape)
+        add_rows(self.by_row, rows.ravel(), d)
+
+    def _back(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, d: np.ndarray) -> None:
+        """Fills d with the gradients of what the rows and places of windows give, and adds those of the outputs."""
+        x, s, share, o, h = self.attend(rows)
+        z = self.outputs(h)
+        ok = valid.ravel().astype(self.kind)
+        at = np.arange(0, z.size, CLASSES) + classes.ravel()
+        hit = z.ravel().take(at)
+        np.exp(z, out=z)
+        total = z @ self.ones[:CLASSES]
+        self.loss += float(ok @ (np.log(total) - hit))
+        self.count += int(ok.sum())
+        z *= (ok / total)[:, None]
+        z.ravel()[at] -= ok
+        self.by_u += h.T @ z
+        self.by_b2 += np.ones(len(z), self.kind) @ z
+        dh = z @ self.u.T
+        dh *= h > 0
+        dh = dh.reshape(o.shape)
+        d[:, :, self.LAYER] = dh
+        dh *= share[:, :, None]
+        ds = np.matmul(dh, x[:, :, self.VALUE].transpose(0, 2, 1))
+        # what a place adds to the output, less the mean over all that is seen
+        ds -= ((dh * o) @ self.ones[:HIDDEN])[:, :, None]
+        ds *= s
+        d[:, :, self.QUERY] = np.matmul(ds, x[:, :, self.KEY])
+        d[:, :, self.KEY] = np.matmul(ds.transpose(0, 2, 1), x[:, :, self.QUERY])
+        d[:, :, self.VALUE] = np.matmul(s.transpose(0, 2, 1), dh)
+
+    def gradients(self) -> dict[str, np.ndarray]:
+        """The summed gradients of the weights."""
+        net, scale = self.net, WIDTH**-0.5
+        there = np.flatnonzero(self.by_row.any(axis=1))
+        some = self.by_row[there]
+        ways = net.embed[there].T @ some + net.place.T @ self.by_place
+        value = ways[:, self.VALUE]
+        embed = np.zeros(net.embed.shape)
+        embed[there] = some @ self.ways.T
+        return {
+            "embed": embed, "place": self.by_place @ self.ways.T,
+            "wq": ways[:, self.QUERY] * scale, "wk": ways[:, self.KEY], "wv": value @ net.wo.T, "wx": ways[:, self.LAYER],
+            "wo": net.wv.T @ value, "b1": self.by_place[:, self.LAYER].sum(axis=0), "u": self.by_u, "b2": self.by_b2,
+        }
+
+
+def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds values[i] to total[rows[i]]. values has one row more, of zeros: it fills each row's values up to whole groups of
+    EQUAL, which are added up together."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    n = np.bincount(rows, minlength=len(total))
+    there = np.flatnonzero(n)
+    n = n[there]
+    groups = -(-n // EQUAL)
+    begin = np.cumsum(groups) - groups
+    index = np.full(int(groups.sum()) * EQUAL, len(rows))
+    index[np.repeat(begin * EQUAL - (np.cumsum(n) - n), n) + np.arange(len(rows))] = order
+    step = 1024 * EQUAL
+    added = [values.take(index[at : at + step], axis=0).reshape(-1, EQUAL, values.shape[1]).sum(axis=1) for at in range(0, len(index), step)]
+    if added:
+        total[there] += np.add.reduceat(np.concatenate(added), begin, axis=0)
+
 
 def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the SEEN most frequent subwords but END in order of ids, the row of each subword among them, the column of each
@@ -409,19 +491,24 @@ def in_class(model: dict, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarr
     inner = ~model["first"][ids]
     inner[starts[starts < len(ids)]] = False
     at = np.flatnonzero(inner)
-    key = ids[at - 1].astype(np.int64) << 17 | ids[at]
-    distinct, inverse = np.unique(key, return_inverse=True)
+    # ids are of 16 bits, so that a pair and its place are sorted as one number
+    order = ids[at - 1].astype(np.uint64) << np.uint64(48) | ids[at].astype(np.uint64) << np.uint64(32) | np.arange(len(at), dtype=np.uint64)
+    order.sort()
+    pair, at = (order >> np.uint64(32)).astype(np.int64), at[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    times = np.diff(np.append(edge, len(pair)))
+    distinct = pair[edge] >> 16 << 17 | pair[edge] & 0xFFFF
     there, n = look_up(model["pairs"], model["pair_counts"], distinct)
     own = distinct & 0x1FFFF
     total = look_up(model["groups"], model["group_counts"], (distinct >> 17) * CLASSES + model["classes"][own])[1]
     light = ~there if model["light"] else np.zeros(len(distinct), bool)
     value = np.where(light, 0.0, np.log(n + PRIOR * np.exp(model["within"][own]))) - np.log(total + PRIOR)
-    out[at] = value[inverse]
-    which = light[inverse]
-    return out, at[which], key[which]
+    out[at] = np.repeat(value, times)
+    which = np.repeat(light, times)
+    return out, at[which], np.repeat(distinct[light], times[light])
 
 
-def score_texts(model: dict, ids: np.ndarray, lengths: np.ndarray, given: np.ndarray, batch: int = 64) -> np.ndarray:
+def score_texts(model: dict, ids: np.ndarray, lengths: np.ndarray, given: np.ndarray, batch: int = 48) -> np.ndarray:
     """log10 probability of each text: every token is scored once, in a window that shows it what precedes it.
 
     given: each id's log probability in its class. Batches of windows are small, so that their activations stay in cache.
@@ -735,24 +822,16 @@ def added_slopes(texts: DataFrame, net: dict, fixed) -> np.ndarray | None:
     shared = texts.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        net, (rows, classes) = Attention.of(shared.value), fixed.value
-        total = {k: np.zeros(getattr(net, k).shape) for k in Attention.NAMES}
-        count = 0
+        slopes, (rows, classes) = Slopes(Attention.of(shared.value)), fixed.value
         for batch in batches:
             toks = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
             if not toks:
                 continue
             for inputs, targets, ok in all_windows(np.concatenate(toks).astype(np.int32), np.array([len(x) for x in toks], np.int64)):
-                inputs, targets = rows[inputs], classes[targets]
-                for at in range(0, len(inputs), TOGETHER):
-                    _, n, g = net.slopes(*(x[at : at + TOGETHER] for x in (inputs, targets, ok)))
-                    count += n
-                    own, some = g.pop("embed")
-                    total["embed"][own] += some
-                    for k, x in g.items():
-                        total[k] += x
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(np.concatenate([total[k].ravel() for k in Attention.NAMES]), count).tobytes()], pa.binary())], names=["b"])
+                slopes.add(rows[inputs], classes[targets], ok)
+        if slopes.count:
+            g = slopes.gradients()
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(np.concatenate([g[k].ravel() for k in Attention.NAMES]), slopes.count).tobytes()], pa.binary())], names=["b"])
 
     return _added(map_batches(texts, run, "b binary"), "<f8")
 
