@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import collectives, gridsearch, kmeans, trace
-from weft.plans import catalogue
+from weft.plans import catalogue, formats
 from weft.sources import tables
 
 
@@ -25,6 +25,23 @@ def test_kmeans_on_a_line(spark):
         kmeans.assign(points, np.zeros((0, 1)), "id", "x")
 
 
+@pytest.fixture
+def thin_points(spark, monkeypatch):
+    """Six points in 32 partitions, so most tasks have none; for the registered queries by way of `table`."""
+    points = spark.createDataFrame([(i, [float(x)] * 64) for i, x in enumerate([0, 1, 2, 10, 11, 12])], "vec_id long, embedding array<float>").repartition(32, "vec_id")
+    for module in (catalogue, formats):
+        monkeypatch.setattr(module, "table", lambda spark, sf_dir, name: points)
+    return points
+
+
+def test_a_step_over_tasks_without_points(spark, thin_points):
+    rows = {(r["cluster"], r["j"]): (r["n"], r["value"]) for r in catalogue.kmeans_step(spark, "").collect()}
+    assert rows == {(c, j): x for c, x in enumerate([(1, 0.0), (1, 1.0), (4, 8.75)]) for j in range(64)}
+    # without any point all clusters go to the origin
+    none = kmeans.step(thin_points.where("vec_id < 0"), np.ones((2, 64)), "embedding").collect()
+    assert [(r["n"], set(r["centroid"])) for r in none] == [(0, {0.0})] * 2
+
+
 def test_ties_go_to_the_first_cluster(spark):
     points = spark.createDataFrame([(0, [1.0, 1.0])], "id long, x array<float>")
     assert kmeans.assign(points, np.array([[0.0, 1.0], [2.0, 1.0]]), "id", "x").first()["cluster"] == 0

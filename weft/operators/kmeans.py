@@ -80,7 +80,9 @@ def step(points: DataFrame, centroids: np.ndarray, features: str) -> DataFrame:
                 for j in range(d):
                     total[:, j] += np.bincount(owner, weights=x[:, j], minlength=k)
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": at.astype(np.int32), "n": n[at], "total": list(total[at])})
+        # a task without points has no rows: Arrow makes no lists of an empty column
+        if len(at):
+            yield pd.DataFrame({"cluster": at.astype(np.int32), "n": n[at], "total": list(total[at])})
 
     ship()
     parts = rows.mapInPandas(run, "cluster int, n bigint, total array<double>")
