@@ -42,6 +42,11 @@ def test_a_step_over_tasks_without_points(spark, thin_points):
     assert [(r["n"], set(r["centroid"])) for r in none] == [(0, {0.0})] * 2
 
 
+def test_change_of_clusters_over_tasks_without_points(spark, thin_points):
+    # first centroids 0, 1, 2; after a step 0, 1, 8.75: the point at 2 goes from the last cluster to the second
+    assert tuple(catalogue.kmeans_delta(spark, "").first()) == (6, 1, pytest.approx(1 / 6))
+
+
 def test_ties_go_to_the_first_cluster(spark):
     points = spark.createDataFrame([(0, [1.0, 1.0])], "id long, x array<float>")
     assert kmeans.assign(points, np.array([[0.0, 1.0], [2.0, 1.0]]), "id", "x").first()["cluster"] == 0
