@@ -47,6 +47,11 @@ def test_change_of_clusters_over_tasks_without_points(spark, thin_points):
     assert tuple(catalogue.kmeans_delta(spark, "").first()) == (6, 1, pytest.approx(1 / 6))
 
 
+def test_an_empty_cluster_over_tasks_without_points(spark, thin_points):
+    found = {(r["cluster"], r["value"]) for r in formats.kmeans_empty_cluster(spark, "").collect()}
+    assert found == {(0, 0.0), (1, 1.0), (2, 8.75), (3, 0.0)}
+
+
 def test_ties_go_to_the_first_cluster(spark):
     points = spark.createDataFrame([(0, [1.0, 1.0])], "id long, x array<float>")
     assert kmeans.assign(points, np.array([[0.0, 1.0], [2.0, 1.0]]), "id", "x").first()["cluster"] == 0
