@@ -52,6 +52,11 @@ def test_an_empty_cluster_over_tasks_without_points(spark, thin_points):
     assert found == {(0, 0.0), (1, 1.0), (2, 8.75), (3, 0.0)}
 
 
+def test_three_steps_over_tasks_without_points(spark, thin_points):
+    # means of 0 | 1 | 2 10 11 12, then of 0 | 1 2 | 10 11 12, which stays
+    assert {(r["cluster"], r["value"]) for r in catalogue.kmeans_fit_k(spark, "").collect()} == {(0, 0.0), (1, 1.5), (2, 11.0)}
+
+
 def test_ties_go_to_the_first_cluster(spark):
     points = spark.createDataFrame([(0, [1.0, 1.0])], "id long, x array<float>")
     assert kmeans.assign(points, np.array([[0.0, 1.0], [2.0, 1.0]]), "id", "x").first()["cluster"] == 0
