@@ -57,6 +57,10 @@ def test_three_steps_over_tasks_without_points(spark, thin_points):
     assert {(r["cluster"], r["value"]) for r in catalogue.kmeans_fit_k(spark, "").collect()} == {(0, 0.0), (1, 1.5), (2, 11.0)}
 
 
+def test_a_random_start_over_tasks_without_points(spark, thin_points):
+    assert tuple(formats.kmeans_random_start(spark, "").first()) == (5, 320, 320, 6)
+
+
 def test_ties_go_to_the_first_cluster(spark):
     points = spark.createDataFrame([(0, [1.0, 1.0])], "id long, x array<float>")
     assert kmeans.assign(points, np.array([[0.0, 1.0], [2.0, 1.0]]), "id", "x").first()["cluster"] == 0
