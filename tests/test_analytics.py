@@ -1,4 +1,5 @@
 import bz2
+import re
 
 import numpy as np
 import pytest
@@ -139,6 +140,42 @@ def test_grid_search(spark):
         gridsearch.grid_search(rows, grid, mib=1e6)
 
 
+def test_each_fold_of_a_slice_is_a_task(spark):
+    rng = np.random.default_rng(5)
+    words = ["good", "fine", "day", "bad", "poor", "night"]
+    docs = [(i, " ".join(words[k] for k in rng.integers(0, 4, 6) + 2 * (i % 3 == 0)), int(i % 3 > 0)) for i in range(61)]
+    grid = {"norm": ["l2", "l1"], "ngram_max": [1], "alpha": [1e-2, 1e-4], "max_iter": [2, 9], "penalty": ["l2", "elasticnet"]}
+    search = gridsearch.sliced_search(spark.createDataFrame(docs, "id long, text string, label int"), 2, grid)
+    # ten partitions that adaptive execution doesn't join again
+    assert re.search(r"Exchange shufflepartitionidpassthrough.*, 10\), REPARTITION_BY_NUM", search._jdf.queryExecution().executedPlan().toString())
+    cfgs = [r.asDict() for r in gridsearch.enumerate_grid(spark, grid).collect()]
+    want = {}
+    for worker in range(2):
+        mine, seen, data = [d for d in docs if d[0] % 2 == worker], {}, []
+        for _, text, label in mine:
+            data.append((text, label, seen.setdefault(label, 0) % 5))
+            seen[label] += 1
+        for c in cfgs:
+            rows = [gridsearch.features(t, 1, c["norm"]) for t, _, _ in data]
+            want[worker, c["cfg_id"]] = np.mean([gridsearch._fit_and_score(data, rows, [c], f)[0] for f in range(5)])
+    assert {(r["worker"], r["cfg_id"]): r["score"] for r in search.collect()} == pytest.approx(want)
+
+
+def test_models_that_stop_leave_the_others_as_they_are():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 50, 8)), None) for _ in range(60)]
+    rows = [(at, np.full(len(at), 0.3)) for at, _ in rows]
+    y = rng.choice([-1, 1], 60)
+    models = [(a, p) for a in (0.5, 1e-3, 1e-5) for p in gridsearch.GRID["penalty"]]
+    together, order = {}, []
+    gridsearch.train_together(rows, y, models, [3, 60], lambda k, n, w, b: (together.update({(k, n): (w, b)}), order.append(k)))
+    # some stop long before the others
+    assert set(together) == {(k, n) for k in range(len(models)) for n in (3, 60)} and order[len(models) :] != sorted(order[len(models) :])
+    for k, (alpha, penalty) in enumerate(models):
+        for n, (w, b) in gridsearch.train_sgd_path(rows, y, alpha, [3, 60], penalty).items():
+            assert np.allclose(together[k, n][0], w) and together[k, n][1] == pytest.approx(b)
+
+
 def test_one_run_serves_all_numbers_of_epochs():
     rng = np.random.default_rng(1)
     rows = [(np.unique(rng.integers(0, 50, 8)), None) for _ in range(60)]
