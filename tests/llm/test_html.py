@@ -232,3 +232,31 @@ def test_every_run_of_a_body_counts(spark, monkeypatch):
     for n in (512, 3):
         monkeypatch.setattr(html_module, "HOST_PAGES", n)
         assert [r["text"] for r in main_text(pages).orderBy("id").collect()] == expected
+
+
+def test_repeated_runs_count_over_the_whole_host(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = [prose(rng, 30) for _ in range(5)]
+    rows = []
+    for i in range(30):
+        # each line is on six pages; every third page has no article, and copies of a page are one content
+        own, line = prose(rng, 40), lines[i % 5]
+        html = f"<div>{line}</div><div>{own}</div>" if i % 3 == 0 else f"<nav>{line}</nav><article><p>{own}</p></article>"
+        rows += [(i, f"https://host.example.com/{i}", html)] + [(100 + i, f"https://host.example.com/{i}?copy", html)] * (i % 7 == 0)
+    # a line that only a page without an article and one with an article have
+    last = prose(rng, 20)
+    rows += [(200, "https://host.example.com/200", f"<div>{last}</div><div>{lines[0]} {prose(rng, 30)}</div>"), (201, "https://host.example.com/201", f"<article><p>{prose(rng, 30)}</p></article><footer>{last}</footer>")]
+    streams = [[*" ".join(b[0] for b in blocks_of(html)).split(" "), f"page {k}"] for k, (*_, html) in enumerate(rows)]
+    hit = iter(brute_repeated([w for x in streams for w in x], [k for k, x in enumerate(streams) for _ in x], 12))
+    repeated = [sum([next(hit) for _ in x]) for x in streams]
+    pages = spark.createDataFrame(rows, PAGES)
+    monkeypatch.setattr(html_module, "BUCKET_PAGES", 5)
+    monkeypatch.setattr(html_module, "HELD_RUNS", 300, raising=False)
+    whole = None
+    for n in (512, 3):
+        monkeypatch.setattr(html_module, "HOST_PAGES", n)
+        found = sorted(map(tuple, main_text(pages).collect()))
+        assert [r[3] for r in found] == [k for _, k in sorted(zip([r[0] for r in rows], repeated))]
+        assert not any(line in text for line in [*lines[1:], last] for _, _, text, _ in found)
+        whole = whole or found
+        assert found == whole
