@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,39 @@ def test_levels_are_limited(spark, random_graph, monkeypatch):
     assert {tuple(r) for r in multibfs.bfs_regions(e, s, 3, regions=4).collect()} == brute(edges, sources, 3)
 
 
+def test_a_region_follows_bounded_numbers_of_edges(monkeypatch):
+    # 400 nodes on each side, all joined: 400 x 64 places follow 400 edges each in the second level
+    side, trials = 400, 64
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(side), np.arange(side) + side))
+    edges = np.concatenate([a, b]), np.concatenate([b, a])
+    dists = np.full((2 * side, trials), multibfs.FAR, np.int32)
+    starts = np.arange(trials) * trials + np.arange(trials)
+    dists.reshape(-1)[starts] = 0
+    monkeypatch.setattr(multibfs, "FOLLOWED", 100_000, raising=False)
+    tracemalloc.start()
+    found = multibfs.search_region(edges, np.arange(2 * side), dists, starts, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.full((2 * side, trials), 1)
+    want[:side] = 2
+    want[np.arange(trials), np.arange(trials)] = 0
+    assert (found == want).all()
+    # the edges take 8 MB and are sorted; following all pairs at once took over 200 MB
+    assert peak < 40e6
+
+
+def test_fewer_trials_at_once_in_large_regions(spark, random_graph, monkeypatch):
+    edges, sources = random_graph
+    monkeypatch.setattr(multibfs, "REGION_PLACES", 2_000)
+    searches = []
+    search = multibfs._search
+    monkeypatch.setattr(multibfs, "_search", lambda placed, work, *a: searches.append(work.selectExpr("max(size(dists))").first()[0]) or search(placed, work, *a))
+    e, s = frames(spark, edges, sources)
+    assert {tuple(r) for r in multibfs.bfs_regions(e, s, regions=4, hub_edges=40).collect()} == brute(edges, sources)
+    # 470 edges or fewer in four regions: at least 17 trials at once, and 71 trials take several searches
+    assert len(searches) > 2 and max(searches) <= 2_000 // (len(set(edges)) // 4)
+
+
 @pytest.mark.parametrize("strategy", ["masks", "regions"])
 def test_deep_grid_and_small_cases(spark, strategy):
     found = graph.bfs(tables.grid_edges(spark, 40, 25), spark.createDataFrame([(0, 0), (1, 999)], "trial long, node long"), strategy)
